@@ -14,18 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from encircle.operators.skew import hot_keys, sliced_join
+
 AXIS_BITS = 26
 AXIS_MASK = (1 << AXIS_BITS) - 1
 EXPONENT_BITS = 11
-CELLS_PER_CIRCLE = 25
 
 #: Largest circle side, in cell rows, that is sent to every executor (about 100 bytes a row).
 BROADCAST_ROWS = 2_000_000
 
-#: A cell is hot when it holds more than 1/HOT_SHARE of all points, so there are at most
-#: HOT_SHARE hot cells and the table of them has a fixed size bound.
-HOT_SHARE = 256
-
 
 def _reach() -> Column:
     """|r| widened by a few units in the last place, so rounding never loses a candidate."""
@@ -134,31 +131,5 @@ def candidate_join(
     if grid.fits_broadcast(broadcast_rows):
         return placed.join(F.broadcast(grid.cells), "cell")
 
-    hot = _hot_cells(placed)
-    sliced_points = (
-        placed.join(F.broadcast(hot), "cell", "left")  # at most HOT_SHARE rows
-        .withColumn(
-            "_slice", F.pmod(F.xxhash64(*spread_by), F.coalesce("_slices", F.lit(1))).cast("int")
-        )
-        .drop("_slices")
-    )
-    sliced_circles = (
-        grid.cells.join(F.broadcast(hot), "cell", "left")
-        .withColumn(
-            "_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))
-        )
-        .drop("_slices")
-    )
-    return sliced_points.join(sliced_circles, ["cell", "_slice"]).drop("_slice")
-
-
-def _hot_cells(placed: DataFrame) -> DataFrame:
-    """``cell, _slices`` for the cells with more than 1/HOT_SHARE of all rows."""
     counts = placed.groupBy("cell").agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return (
-        counts.join(F.broadcast(total), F.col("_n") * HOT_SHARE > F.col("_total"))
-        .select(
-            "cell", F.ceil(F.col("_n") * HOT_SHARE / F.col("_total")).cast("int").alias("_slices")
-        )
-    )
+    return sliced_join(placed, grid.cells, "cell", hot_keys(counts, "cell", "_n"), spread_by)

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from encircle.functions.geometry import in_disc
 from encircle.operators.grid import BROADCAST_ROWS, CircleGrid, candidate_join, circle_grid, point_key
 
-_HIT = in_disc(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), F.col("r"))
-
 
 def hits(
     points: DataFrame,
@@ -18,7 +16,8 @@ def hits(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Point columns and circle columns for every point inside a circle."""
-    return candidate_join(points, circle_grid(circles), spread_by, broadcast_rows).where(_HIT)
+    inside = in_disc(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), F.col("r"))
+    return candidate_join(points, circle_grid(circles), spread_by, broadcast_rows).where(inside)
 
 
 def coverage_pairs(

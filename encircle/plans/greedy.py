@@ -75,18 +75,26 @@ class _Guess:
         return sum(pick[4] for pick in self.picks)
 
 
-def greedy_cover(
+@dataclass(frozen=True)
+class CoverRun:
+    """A finished run over the ladder."""
+
+    trace: DataFrame  #: one row per pick of every guess that was needed
+    guesses: list[tuple[int, float]]  #: the guesses that were needed, with their thresholds
+    total_points: int
+    k: int
+    epsilon: float
+
+
+def run_cover(
     points: DataFrame,
     circles: DataFrame,
     k: int,
     epsilon: float,
     window: int = WINDOW,
     broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Trace of the whole ladder: one row per pick of every guess that was needed.
-
-    Guesses after the first one that covers all points are left out.
-    """
+) -> CoverRun:
+    """Run the whole ladder.  Guesses after the first one that covers all points are left out."""
     check_parameters(k, epsilon)
     spark = points.sparkSession
     positions = _prepare(points)
@@ -98,7 +106,17 @@ def greedy_cover(
         total_points = positions.agg(F.sum("w")).first()[0] or 0
     finally:
         positions.unpersist()
-    return _trace(spark, _until_full(guesses, total_points))
+    needed = _until_full(guesses, total_points)
+    return CoverRun(
+        _trace(spark, needed), [(g.j, g.tau) for g in needed], total_points, k, epsilon
+    )
+
+
+def greedy_cover(
+    points: DataFrame, circles: DataFrame, k: int, epsilon: float, **options
+) -> DataFrame:
+    """Trace of the whole ladder, see :func:`run_cover`."""
+    return run_cover(points, circles, k, epsilon, **options).trace
 
 
 def greedy_threshold(
@@ -157,15 +175,15 @@ def greedy_solution(
     return solution_from(greedy_cover(points, circles, k, epsilon, **options), circles)
 
 
-def run_summary(trace: DataFrame, points: DataFrame) -> DataFrame:
+def run_summary(run: CoverRun) -> DataFrame:
     """One row: best guess, circles selected, points covered, total and percent."""
-    total = points.agg(F.count("*").alias("total_points"))
-    return best_guess(trace).join(F.broadcast(total)).select(  # one row each
+    total = F.lit(run.total_points).cast("bigint")
+    return best_guess(run.trace).select(
         "guess_j",
         "selected",
         "coverage",
-        "total_points",
-        percentage(F.col("coverage"), F.col("total_points")).alias("coverage_percentage"),
+        total.alias("total_points"),
+        percentage(F.col("coverage"), total).alias("coverage_percentage"),
     )
 
 
