@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encircle.operators.grid import BROADCAST_ROWS
-from encircle.operators.pairs import covered_points, hits, uncovered_points
+from encircle.operators.pairs import count_by_circle, covered_points, uncovered_points
+
+_CIRCLE = ("circle_id", "cx", "cy", "r")
 
 
 def point_count(points: DataFrame) -> DataFrame:
@@ -25,7 +27,9 @@ def coverage_by_circle(
     points: DataFrame, circles: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """``circle_id, coverage`` for every circle, zeros included."""
-    return _counts_for_all(points, circles, "coverage", broadcast_rows)
+    return count_by_circle(
+        points, circles.select(*_CIRCLE), "coverage", broadcast_rows
+    ).select("circle_id", "coverage")
 
 
 def best_single(
@@ -70,7 +74,9 @@ def marginal_gains(
     """``circle_id, gain`` for every remaining candidate, zeros included."""
     open_points = uncovered_points(points, selected, broadcast_rows)
     candidates = remaining_circles(circles, selected)
-    return _counts_for_all(open_points, candidates, "gain", broadcast_rows)
+    return count_by_circle(
+        open_points, candidates.select(*_CIRCLE), "gain", broadcast_rows
+    ).select("circle_id", "gain")
 
 
 def candidates_above(gains: DataFrame, threshold: float) -> DataFrame:
@@ -82,17 +88,3 @@ def first_candidate_above(gains: DataFrame, threshold: float) -> DataFrame:
     """The lowest-numbered candidate that reaches the threshold: one row or none."""
     first = F.min(F.struct("circle_id", "gain")).alias("first")
     return candidates_above(gains, threshold).agg(first).where("first IS NOT NULL").select("first.*")
-
-
-def _counts_for_all(
-    points: DataFrame, circles: DataFrame, name: str, broadcast_rows: int
-) -> DataFrame:
-    # partial counts leave each task with one row per circle, whatever the number of points
-    counted = (
-        hits(points, circles, broadcast_rows=broadcast_rows)
-        .groupBy("circle_id")
-        .agg(F.count("*").alias(name))
-    )
-    return circles.select("circle_id").join(counted, "circle_id", "left").select(
-        "circle_id", F.coalesce(name, F.lit(0)).alias(name)
-    )

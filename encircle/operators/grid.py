@@ -23,6 +23,10 @@ EXPONENT_BITS = 11
 #: Largest circle side, in cell rows, that is sent to every executor (about 100 bytes a row).
 BROADCAST_ROWS = 2_000_000
 
+#: Candidates per point above which the points are dealt out again before the join, so that the
+#: work does not follow the layout of the input files.
+DENSE = 32
+
 
 def _reach() -> Column:
     """|r| widened by a few units in the last place, so rounding never loses a candidate."""
@@ -57,56 +61,52 @@ def point_key(exponent: Column) -> Column:
 
 @dataclass(frozen=True)
 class CircleGrid:
-    """Circles spread over grid cells, with what the planner of a join needs to know."""
+    """Circles spread over grid cells, with what is needed to choose a join for them."""
 
     cells: DataFrame  #: the circle columns plus ``cell``
     exponents: tuple[int, ...]  #: grids in use; at most one per binary exponent of a double
-    circle_count: int
     cell_rows: int
+    occupied: int  #: estimated number of different cells
 
     def fits_broadcast(self, limit: int) -> bool:
         return self.cell_rows <= limit
 
+    @property
+    def is_dense(self) -> bool:
+        """Whether a point meets so many candidates that moving it once is the smaller cost."""
+        return len(self.exponents) * self.cell_rows > DENSE * max(self.occupied, 1)
+
 
 def circle_grid(circles: DataFrame) -> CircleGrid:
     """Spread circles over cells and measure the result (one small job over the circles)."""
-    exponent = grid_exponent()
     width = _width(F.col("_e"))
-    low_high = {
-        axis: (
-            F.floor((F.col(f"c{axis}") - F.col("_reach")) / width),
-            F.floor((F.col(f"c{axis}") + F.col("_reach")) / width),
-        )
-        for axis in ("x", "y")
-    }
-    spans = (
-        circles.withColumn("_reach", _reach())
-        .withColumn("_e", exponent)
-        .select(
-            *circles.columns,
-            "_e",
-            low_high["x"][0].alias("_x0"),
-            low_high["x"][1].alias("_x1"),
-            low_high["y"][0].alias("_y0"),
-            low_high["y"][1].alias("_y1"),
+    placed = circles.withColumn("_reach", _reach()).withColumn("_e", grid_exponent())
+    for axis in ("x", "y"):
+        low = F.floor((F.col(f"c{axis}") - F.col("_reach")) / width)
+        high = F.floor((F.col(f"c{axis}") + F.col("_reach")) / width)
+        placed = placed.withColumn(f"_g{axis}", F.explode(F.sequence(low, high)))
+    cell = pack_cell(F.col("_e"), F.col("_gx"), F.col("_gy")).alias("cell")
+    measured = (
+        placed.select("_e", cell)
+        .agg(
+            F.count("*").alias("rows"),
+            F.approx_count_distinct("cell").alias("occupied"),
+            F.array_sort(F.collect_set("_e")).alias("exponents"),
         )
+        .first()
     )
-    size = (F.col("_x1") - F.col("_x0") + 1) * (F.col("_y1") - F.col("_y0") + 1)
-    measured = spans.agg(
-        F.count("*").alias("circles"),
-        F.coalesce(F.sum(size), F.lit(0)).alias("rows"),
-        F.array_sort(F.collect_set("_e")).alias("exponents"),
-    ).first()
-    cells = (
-        spans.withColumn("_gx", F.explode(F.sequence("_x0", "_x1")))
-        .withColumn("_gy", F.explode(F.sequence("_y0", "_y1")))
-        .select(*circles.columns, pack_cell(F.col("_e"), F.col("_gx"), F.col("_gy")).alias("cell"))
+    return CircleGrid(
+        placed.select(*circles.columns, cell),
+        tuple(measured.exponents),
+        measured.rows,
+        measured.occupied,
     )
-    return CircleGrid(cells, tuple(measured.exponents), measured.circles, measured.rows)
 
 
 def with_cells(points: DataFrame, exponents: tuple[int, ...]) -> DataFrame:
     """One row per point and grid, with the point's ``cell`` there."""
+    if not exponents:
+        return points.withColumn("cell", F.lit(0).cast("bigint")).where(F.lit(False))
     if len(exponents) == 1:
         return points.withColumn("cell", point_key(F.lit(exponents[0])))
     grids = F.explode(F.array(*[F.lit(e) for e in exponents]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encircle.functions.geometry import in_disc
@@ -11,46 +11,81 @@ from encircle.operators.grid import BROADCAST_ROWS, CircleGrid, candidate_join,
 
 def hits(
     points: DataFrame,
-    circles: DataFrame,
+    grid: CircleGrid,
     spread_by: tuple[str, ...] = ("point_id",),
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Point columns and circle columns for every point inside a circle."""
     inside = in_disc(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), F.col("r"))
-    return candidate_join(points, circle_grid(circles), spread_by, broadcast_rows).where(inside)
+    return candidate_join(points, grid, spread_by, broadcast_rows).where(inside)
 
 
 def coverage_pairs(
     points: DataFrame, circles: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """``point_id, circle_id`` for every point inside a circle."""
-    return hits(points, circles, broadcast_rows=broadcast_rows).select("point_id", "circle_id")
+    grid = circle_grid(circles)
+    if grid.is_dense:
+        points = points.repartition("point_id")
+    return hits(points, grid, broadcast_rows=broadcast_rows).select("point_id", "circle_id")
 
 
-def with_circles_at(points: DataFrame, grid: CircleGrid, payload: list[str]) -> DataFrame:
-    """Append ``inside``: the payload structs of the circles that contain the point.
+def positions(points: DataFrame) -> DataFrame:
+    """Distinct ``x, y`` with their number of points ``w``.
 
-    For circle sets of a checked size only.  Each grid contributes one broadcast lookup of the
-    circles per cell, so the points are neither moved nor multiplied.  Points whose cells meet
-    no circle at all are dropped along the way.
+    Merged before the shuffle, so a popular position costs no more than any other, and spread
+    evenly however the input was laid out.
     """
+    return points.groupBy("x", "y").agg(F.count("*").alias("w"))
+
+
+def count_by_circle(
+    points: DataFrame, circles: DataFrame, name: str, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Circle columns plus the number of points inside, zeros included.
+
+    ``points`` has ``x, y`` and, where it is already merged by position, a weight ``w``.
+    """
+    grid = circle_grid(circles)
+    if "w" not in points.columns:
+        points = positions(points) if grid.is_dense else points.withColumn("w", F.lit(1))
+    # partial sums leave each task with one row per circle, whatever the number of points
+    counted = (
+        hits(points.select("x", "y", "w"), grid, ("x", "y"), broadcast_rows)
+        .groupBy("circle_id")
+        .agg(F.sum("w").alias("_n"))
+    )
+    return circles.join(counted, "circle_id", "left").select(
+        *circles.columns, F.coalesce("_n", F.lit(0)).alias(name)
+    )
+
+
+def _with_near(
+    points: DataFrame, grid: CircleGrid, payload: list[str]
+) -> tuple[DataFrame, list[Column]]:
+    """Points with one array of nearby circles per grid, by broadcast lookups of their cells."""
     entry = F.struct(*payload, "cx", "cy", "r")
-    per_cell = grid.cells.groupBy("cell").agg(F.array_sort(F.collect_list(entry)).alias("_near"))
-    per_cell = F.broadcast(per_cell)
-    placed = points
-    near = []
+    per_cell = grid.cells.groupBy("cell").agg(F.collect_list(entry).alias("_near"))
+    placed, near = points, []
     for number, exponent in enumerate(grid.exponents):
         name = f"_near{number}"
         placed = (
             placed.withColumn("cell", point_key(F.lit(exponent)))
-            .join(per_cell, "cell", "left")
+            .join(F.broadcast(per_cell), "cell", "left")
             .withColumnRenamed("_near", name)
             .drop("cell")
         )
         near.append(F.col(name))
-    touched = near[0].isNotNull()
-    for column in near[1:]:
-        touched = touched | column.isNotNull()
+    return placed, near
+
+
+def with_circles_at(points: DataFrame, grid: CircleGrid, payload: list[str]) -> DataFrame:
+    """Append ``inside``: the payload structs, in order, of the circles that contain the point.
+
+    For circle sets of a checked size only: the points are neither moved nor multiplied.  Points
+    outside all circles are dropped.
+    """
+    placed, near = _with_near(points, grid, payload)
     candidates = near[0]
     if len(near) > 1:
         candidates = F.flatten(F.array_compact(F.array(*near)))
@@ -60,23 +95,43 @@ def with_circles_at(points: DataFrame, grid: CircleGrid, payload: list[str]) ->
         ),
         lambda c: F.struct(*[c[name].alias(name) for name in payload]),
     )
-    return placed.where(touched).select(*points.columns, inside.alias("inside"))
+    return placed.select(*points.columns, F.array_sort(inside).alias("inside")).where(
+        F.size("inside") > 0
+    )
 
 
 def covered_points(
     points: DataFrame, selected: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Points inside at least one selected circle."""
-    return points.join(_covered_ids(points, selected, broadcast_rows), "point_id", "left_semi")
+    grid = circle_grid(selected)
+    if grid.fits_broadcast(broadcast_rows):
+        return points.where(F.lit(False)) if not grid.exponents else _split(points, grid, True)
+    return points.join(_covered_ids(points, grid, broadcast_rows), "point_id", "left_semi")
 
 
 def uncovered_points(
     points: DataFrame, selected: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Points inside none of the selected circles."""
-    return points.join(_covered_ids(points, selected, broadcast_rows), "point_id", "left_anti")
+    grid = circle_grid(selected)
+    if grid.fits_broadcast(broadcast_rows):
+        return points if not grid.exponents else _split(points, grid, False)
+    return points.join(_covered_ids(points, grid, broadcast_rows), "point_id", "left_anti")
+
+
+def _split(points: DataFrame, grid: CircleGrid, covered: bool) -> DataFrame:
+    """Covered or uncovered points, found where they are: no shuffle of the points."""
+    placed, near = _with_near(points, grid, [])
+    inside = F.lit(False)
+    for column in near:
+        found = F.exists(
+            column, lambda c: in_disc(F.col("x"), F.col("y"), c["cx"], c["cy"], c["r"])
+        )
+        inside = inside | F.coalesce(found, F.lit(False))
+    return placed.where(inside if covered else ~inside).select(*points.columns)
 
 
-def _covered_ids(points: DataFrame, selected: DataFrame, broadcast_rows: int) -> DataFrame:
+def _covered_ids(points: DataFrame, grid: CircleGrid, broadcast_rows: int) -> DataFrame:
     # distinct before the shuffle: a point inside many circles travels once
-    return hits(points, selected, broadcast_rows=broadcast_rows).select("point_id").distinct()
+    return hits(points, grid, broadcast_rows=broadcast_rows).select("point_id").distinct()

@@ -20,9 +20,12 @@ WARNING_ABOVE = 50
 
 
 def parsed(snapshots: DataFrame) -> DataFrame:
-    """Documents read with a declared schema; a document that is no JSON has null fields."""
+    """Documents read with a declared schema; a document that is no JSON has null fields.
+
+    The generator keeps the optimizer from repeating the parse for every field that is used.
+    """
     document = F.from_json("json", SNAPSHOT_SCHEMA)
-    return snapshots.select("snapshot_id", document.alias("s")).select("snapshot_id", "s.*")
+    return snapshots.select("snapshot_id", F.inline_outer(F.array(document)))
 
 
 def _text(column: str, default: str) -> Column:
@@ -35,10 +38,12 @@ def _number(column: str) -> Column:
 
 def worker_rows(snapshots: DataFrame) -> DataFrame:
     """One row per worker, missing fields replaced by their defaults."""
+    # the outer form with a filter on top: the plain one would add a filter below that needs
+    # the parsed array once more
     workers = parsed(snapshots).select(
-        "snapshot_id", F.posexplode("workers").alias("position", "w")
+        "snapshot_id", F.posexplode_outer("workers").alias("position", "w")
     )
-    return workers.select(
+    return workers.where("position IS NOT NULL").select(
         "snapshot_id",
         "position",
         _text("w.id", ""),
@@ -96,9 +101,9 @@ def active_apps(snapshots: DataFrame, app_name: str, now_ms: int) -> DataFrame:
     """One row per active application; the first one with the given name is "mine"."""
     first = F.array_position(F.transform("activeapps", lambda a: a["name"]), app_name) - 1
     apps = parsed(snapshots).select(
-        "snapshot_id", first.alias("first"), F.posexplode("activeapps").alias("position", "a")
+        "snapshot_id", first.alias("first"), F.posexplode_outer("activeapps").alias("position", "a")
     )
-    return apps.select(
+    return apps.where("position IS NOT NULL").select(
         "snapshot_id",
         "position",
         F.col("a.name").alias("name"),

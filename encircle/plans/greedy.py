@@ -23,23 +23,32 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import chain
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from encircle.functions.numbers import check_parameters, guess_count, percentage
-from encircle.operators.gains import coverage_by_circle
 from encircle.operators.grid import BROADCAST_ROWS, circle_grid
-from encircle.operators.pairs import hits, with_circles_at
-from encircle.session import cut_lineage
+from encircle.operators.pairs import count_by_circle, hits, positions, with_circles_at
+from encircle.session import cut_lineage, local_frame
 
 #: Candidates per guess settled in one round.
 WINDOW = 48
 
-TRACE_SCHEMA = (
-    "guess_j INT, tau DOUBLE, step INT, circle_id BIGINT, gain BIGINT, coverage BIGINT"
+#: Guesses worked on together; a set of them is one BIGINT.
+TOGETHER = 62
+
+TRACE_SCHEMA = pa.schema(
+    {
+        "guess_j": pa.int32(),
+        "tau": pa.float64(),
+        "step": pa.int32(),
+        "circle_id": pa.int64(),
+        "gain": pa.int64(),
+        "coverage": pa.int64(),
+    }
 )
-_LOCAL_CIRCLES = "circle_id BIGINT, cx DOUBLE, cy DOUBLE, r DOUBLE, {} ARRAY<INT>, {} ARRAY<INT>"
 
 
 def ladder(best_coverage: int, k: int, epsilon: float) -> list[tuple[int, float]]:
@@ -65,10 +74,6 @@ class _Guess:
     j: int
     tau: float
     picks: list[tuple] = field(default_factory=list)  # (circle_id, cx, cy, r, gain)
-    open: bool = True
-
-    def ids(self) -> list[int]:
-        return [pick[0] for pick in self.picks]
 
     @property
     def coverage(self) -> int:
@@ -97,15 +102,16 @@ def run_cover(
     """Run the whole ladder.  Guesses after the first one that covers all points are left out."""
     check_parameters(k, epsilon)
     spark = points.sparkSession
-    positions = _prepare(points)
+    placed = positions(points).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        gains = cut_lineage(_single_gains(positions, circles, broadcast_rows))
+        candidates = circles.select("circle_id", "cx", "cy", "r")
+        gains = cut_lineage(count_by_circle(placed, candidates, "gain", broadcast_rows))
         best = gains.agg(F.max("gain")).first()[0] or 0
         guesses = [_Guess(j, tau) for j, tau in ladder(best, k, epsilon)] if best > 0 else []
-        _run(spark, positions, gains, guesses, k, window, broadcast_rows)
-        total_points = positions.agg(F.sum("w")).first()[0] or 0
+        _run(spark, placed, gains, guesses, k, window, broadcast_rows)
+        total_points = placed.agg(F.sum("w")).first()[0] or 0
     finally:
-        positions.unpersist()
+        placed.unpersist()
     needed = _until_full(guesses, total_points)
     return CoverRun(
         _trace(spark, needed), [(g.j, g.tau) for g in needed], total_points, k, epsilon
@@ -131,13 +137,14 @@ def greedy_threshold(
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
     spark = points.sparkSession
-    positions = _prepare(points)
+    placed = positions(points).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        gains = cut_lineage(_single_gains(positions, circles, broadcast_rows))
+        candidates = circles.select("circle_id", "cx", "cy", "r")
+        gains = cut_lineage(count_by_circle(placed, candidates, "gain", broadcast_rows))
         guess = _Guess(0, float(threshold))
-        _run(spark, positions, gains, [guess], k, window, broadcast_rows)
+        _run(spark, placed, gains, [guess], k, window, broadcast_rows)
     finally:
-        positions.unpersist()
+        placed.unpersist()
     return _trace(spark, [guess])
 
 
@@ -197,125 +204,133 @@ def running_coverage(trace: DataFrame, keys: tuple[str, ...] = ("guess_j",)) ->
 # ---------------------------------------------------------------------------------------------
 
 
-def _prepare(points: DataFrame) -> DataFrame:
-    """Distinct positions with their number of points, kept for the passes to come.
-
-    Popular positions are merged before the shuffle, so they cost no more than any other.
-    """
-    positions = points.groupBy("x", "y").agg(F.count("*").alias("w"))
-    return positions.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def _single_gains(positions: DataFrame, circles: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Circle columns plus ``gain``, the coverage of the circle alone."""
-    counted = (
-        hits(positions, circles, ("x", "y"), broadcast_rows)
-        .groupBy("circle_id")
-        .agg(F.sum("w").alias("gain"))
-    )
-    return circles.join(counted, "circle_id", "left").select(
-        "circle_id", "cx", "cy", "r", F.coalesce("gain", F.lit(0)).alias("gain")
-    )
+def _run(
+    spark: SparkSession,
+    placed: DataFrame,
+    gains: DataFrame,
+    guesses: list[_Guess],
+    k: int,
+    window: int,
+    broadcast_rows: int,
+) -> None:
+    """Settle all guesses.  They do not depend on each other, so any grouping will do."""
+    for start in range(0, len(guesses), TOGETHER):
+        batch = guesses[start : start + TOGETHER]
+        _run_together(spark, placed, gains, batch, k, window, broadcast_rows)
 
 
-def _run(
+def _run_together(
     spark: SparkSession,
-    positions: DataFrame,
+    placed: DataFrame,
     gains: DataFrame,
     guesses: list[_Guess],
     k: int,
     window: int,
     broadcast_rows: int,
 ) -> None:
-    if not guesses:
-        return
-    levels = F.array(*[F.struct(F.lit(g.j).alias("j"), F.lit(g.tau).alias("tau")) for g in guesses])
+    levels = F.array(
+        *[F.struct(F.lit(b).alias("bit"), F.lit(g.tau).alias("tau")) for b, g in enumerate(guesses)]
+    )
     reached = F.filter(levels, lambda level: F.col("gain") >= level["tau"])
-    alive = gains.withColumn("level", F.explode(reached)).select(
-        "circle_id", "cx", "cy", "r", "gain", F.col("level.j").alias("j"),
-        F.col("level.tau").alias("tau"),
+    alive = gains.select(
+        "circle_id", "cx", "cy", "r", "gain", F.inline(reached).alias("bit", "tau")
     )
+    active = dict(enumerate(guesses))
     while True:
         windows = _next_windows(alive, window)
-        for guess in guesses:
-            guess.open = guess.open and guess.j in windows
-        active = [g for g in guesses if g.open]
+        active = {bit: guess for bit, guess in active.items() if bit in windows}
         if not active:
             return
-        earlier = {g.j: len(g.picks) for g in active}
-        regions = _regions(spark, positions, active, windows)
-        last = {}
-        for guess in active:
-            _walk(guess, windows[guess.j], regions.get(guess.j, []), k)
-            last[guess.j] = windows[guess.j][-1][0]
-            exhausted = len(windows[guess.j]) < window
-            guess.open = len(guess.picks) < k and not exhausted
-        active = [g for g in active if g.open]
+        before = {bit: list(guess.picks) for bit, guess in active.items()}
+        regions = _regions(spark, placed, {bit: windows[bit] for bit in active}, before)
+        for bit, guess in active.items():
+            _walk(guess, windows[bit], regions.get(bit, []), k)
+        active = {
+            bit: guess
+            for bit, guess in active.items()
+            if len(guess.picks) < k and len(windows[bit]) == window
+        }
         if not active:
             return
-        alive = cut_lineage(
-            _reduce_gains(spark, positions, alive, active, earlier, last, broadcast_rows)
-        )
+        new = {bit: guess.picks[len(before[bit]):] for bit, guess in active.items()}
+        last = {bit: windows[bit][-1][0] for bit in active}
+        behind = _behind(alive, last)
+        before = {bit: before[bit] for bit in active}
+        alive = cut_lineage(_reduce_gains(spark, placed, behind, new, before, broadcast_rows))
 
 
 def _next_windows(alive: DataFrame, window: int) -> dict[int, list[tuple]]:
     """The next candidates of every guess, by ascending id: guesses x window rows at most."""
-    rank = F.row_number().over(Window.partitionBy("j").orderBy("circle_id"))
+    rank = F.row_number().over(Window.partitionBy("bit").orderBy("circle_id"))
     rows = alive.withColumn("rank", rank).where(F.col("rank") <= window).collect()
     windows: dict[int, list[tuple]] = {}
-    for row in sorted(rows, key=lambda row: (row.j, row.circle_id)):
-        windows.setdefault(row.j, []).append((row.circle_id, row.cx, row.cy, row.r))
+    for row in sorted(rows, key=lambda row: (row.bit, row.circle_id)):
+        windows.setdefault(row.bit, []).append((row.circle_id, row.cx, row.cy, row.r))
     return windows
 
 
-def _local_circles(
-    spark: SparkSession, first: dict[int, list[tuple]], second: dict[int, list[tuple]], names
+def _in_use(
+    spark: SparkSession, first: dict[int, list[tuple]], second: dict[int, list[tuple]]
 ) -> DataFrame:
-    """Circles used by any guess, each with the guesses that use it in either role."""
-    roles: dict[int, tuple] = {}
+    """The circles some guess uses, with the set of guesses for either role as a bit mask."""
+    masks: dict[tuple, list[int]] = {}
     for role, use in enumerate((first, second)):
-        for j, used in use.items():
+        for bit, used in use.items():
             for circle in used:
-                entry = roles.setdefault(circle[0], (circle[:4], [], []))
-                entry[1 + role].append(j)
-    rows = [(*circle, sorted(a), sorted(b)) for circle, a, b in roles.values()]
-    return spark.createDataFrame(rows, _LOCAL_CIRCLES.format(*names))
+                masks.setdefault(circle[:4], [0, 0])[role] |= 1 << bit
+    schema = pa.schema(
+        {
+            "circle_id": pa.int64(),
+            **dict.fromkeys(("cx", "cy", "r"), pa.float64()),
+            **dict.fromkeys(("first", "second"), pa.int64()),
+        }
+    )
+    # one partition: a few hundred rows are not worth a shuffle when they are put into cells
+    rows = [(*circle, *mask) for circle, mask in masks.items()]
+    return local_frame(spark, rows, schema).coalesce(1)
+
+
+def _union(field: str) -> Column:
+    """Union of the masks of all circles around a point."""
+    return F.aggregate(
+        "inside", F.lit(0).cast("bigint"), lambda mask, circle: mask.bitwiseOR(circle[field])
+    )
+
+
+def _first_only() -> Column:
+    """Guesses that have the point in a circle of the first role and in none of the second."""
+    return _union("first").bitwiseAND(F.bitwise_not(_union("second")))
+
+
+def _bits(mask: Column) -> Column:
+    every = F.sequence(F.lit(0), F.lit(TOGETHER - 1))
+    return F.filter(every, lambda bit: F.getbit(mask, bit) == 1)
 
 
 def _regions(
     spark: SparkSession,
-    positions: DataFrame,
-    active: list[_Guess],
+    placed: DataFrame,
     windows: dict[int, list[tuple]],
+    taken: dict[int, list[tuple]],
 ) -> dict[int, list[tuple[list[int], int]]]:
     """Per guess: (window circles holding a point, number of such uncovered points)."""
-    used = _local_circles(
-        spark,
-        {g.j: windows[g.j] for g in active},
-        {g.j: g.picks for g in active},
-        ("window_of", "taken_by"),
-    )
-    placed = with_circles_at(
-        positions, circle_grid(used), ["circle_id", "window_of", "taken_by"]
-    )
+    grid = circle_grid(_in_use(spark, windows, taken))
+    around = with_circles_at(placed, grid, ["circle_id", "first", "second"])
     # identical sets are merged before anything is expanded per guess
-    regions = placed.groupBy("inside").agg(F.sum("w").alias("n"))
-    inside = F.col("inside")
-    wanted = F.flatten(F.transform(inside, lambda c: c["window_of"]))
-    taken = F.flatten(F.transform(inside, lambda c: c["taken_by"]))
+    regions = around.groupBy("inside").agg(F.sum("w").alias("n"))
     members = F.transform(
-        F.filter(inside, lambda c: F.array_contains(c["window_of"], F.col("j"))),
-        lambda c: c["circle_id"],
+        F.filter("inside", lambda circle: F.getbit(circle["first"], F.col("bit")) == 1),
+        lambda circle: circle["circle_id"],
     )
     rows = (
-        regions.withColumn("j", F.explode(F.array_except(wanted, taken)))
-        .groupBy("j", members.alias("members"))
+        regions.withColumn("bit", F.explode(_bits(_first_only())))
+        .groupBy("bit", members.alias("members"))
         .agg(F.sum("n").alias("n"))
         .collect()
     )
     result: dict[int, list[tuple[list[int], int]]] = {}
     for row in rows:
-        result.setdefault(row.j, []).append((row.members, row.n))
+        result.setdefault(row.bit, []).append((row.members, row.n))
     return result
 
 
@@ -338,48 +353,42 @@ def _walk(
             covered.update(fresh)
 
 
+def _behind(alive: DataFrame, last: dict[int, int]) -> DataFrame:
+    """Candidates of the open guesses behind the window they have just walked."""
+    ends = F.array(
+        *[F.struct(F.lit(bit).alias("bit"), F.lit(end).alias("id")) for bit, end in last.items()]
+    )
+    return alive.where(
+        F.exists(ends, lambda e: (e["bit"] == F.col("bit")) & (F.col("circle_id") > e["id"]))
+    )
+
+
 def _reduce_gains(
     spark: SparkSession,
-    positions: DataFrame,
-    alive: DataFrame,
-    active: list[_Guess],
-    earlier: dict[int, int],
-    last: dict[int, int],
+    placed: DataFrame,
+    behind: DataFrame,
+    new: dict[int, list[tuple]],
+    before: dict[int, list[tuple]],
     broadcast_rows: int,
 ) -> DataFrame:
-    """Candidates behind the window that still reach their threshold, with their new gain."""
-    used = _local_circles(
-        spark,
-        {g.j: g.picks[earlier[g.j]:] for g in active},
-        {g.j: g.picks[: earlier[g.j]] for g in active},
-        ("new_in", "taken_by"),
-    )
-    placed = with_circles_at(positions, circle_grid(used), ["new_in", "taken_by"])
-    gained = F.flatten(F.transform("inside", lambda c: c["new_in"]))
-    before = F.flatten(F.transform("inside", lambda c: c["taken_by"]))
-    lost = placed.select(
-        "x", "y", "w", F.array_sort(F.array_except(gained, before)).alias("lost_to")
-    ).where(F.size("lost_to") > 0)
-
-    behind = F.array(*[F.struct(F.lit(g.j).alias("j"), F.lit(last[g.j]).alias("id")) for g in active])
-    rest = alive.where(
-        F.exists(behind, lambda b: (b["j"] == F.col("j")) & (F.col("circle_id") > b["id"]))
-    )
-    candidates = rest.select("circle_id", "cx", "cy", "r").distinct()
+    """Candidates that still reach their threshold, with their new gain."""
+    around = with_circles_at(placed, circle_grid(_in_use(spark, new, before)), ["first", "second"])
+    lost = around.select("x", "y", "w", _first_only().alias("lost_to")).where("lost_to <> 0")
+    candidates = circle_grid(behind.select("circle_id", "cx", "cy", "r").distinct())
     losses = (
         hits(lost, candidates, ("x", "y"), broadcast_rows)
         .groupBy("circle_id", "lost_to")
         .agg(F.sum("w").alias("n"))
-        .withColumn("j", F.explode("lost_to"))
-        .groupBy("circle_id", "j")
+        .withColumn("bit", F.explode(_bits(F.col("lost_to"))))
+        .groupBy("circle_id", "bit")
         .agg(F.sum("n").alias("loss"))
     )
     gain = F.col("gain") - F.coalesce("loss", F.lit(0))
     return (
-        rest.join(losses, ["circle_id", "j"], "left")
+        behind.join(losses, ["circle_id", "bit"], "left")
         .withColumn("gain", gain)
         .where(F.col("gain") >= F.col("tau"))
-        .select(*alive.columns)
+        .select(*behind.columns)
     )
 
 
@@ -397,4 +406,4 @@ def _trace(spark: SparkSession, guesses: list[_Guess]) -> DataFrame:
             coverage += pick[4]
             yield (guess.j, guess.tau, step, pick[0], pick[4], coverage)
 
-    return spark.createDataFrame(list(chain.from_iterable(map(rows, guesses))), TRACE_SCHEMA)
+    return local_frame(spark, list(chain.from_iterable(map(rows, guesses))), TRACE_SCHEMA)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,3 +37,10 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_directory(spark))
     return frame.checkpoint(eager=True)
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A few rows held by the driver as a DataFrame, without starting Python workers for it."""
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))

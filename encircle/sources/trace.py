@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from encircle.functions.geometry import Bounds
 from encircle.functions.numbers import guess_count, percentage
 from encircle.plans.greedy import CoverRun, best_guess, solution_from
+from encircle.session import local_frame
 
 # The messages of the STATUS events.
 CALCULATING = "Calculating max single coverage f(e)..."
@@ -84,12 +87,16 @@ def trace_events(
     status_rows = [(1, "STATUS", CALCULATING, None)]
     if run.guesses:
         status_rows.append((2, "STATUS", STARTING, guess_count(run.k, run.epsilon)))
-    status = spark.createDataFrame(
-        status_rows, "seq BIGINT, type STRING, message STRING, total_guesses INT"
+    tag = {"seq": pa.int64(), "type": pa.string()}
+    status = local_frame(
+        spark,
+        status_rows,
+        pa.schema({**tag, "message": pa.string(), "total_guesses": pa.int32()}),
     )
-    starts = spark.createDataFrame(
+    starts = local_frame(
+        spark,
         [(3 + j * stride, "START_GUESS", j, tau) for j, tau in run.guesses],
-        "seq BIGINT, type STRING, value INT, threshold DOUBLE",
+        pa.schema({**tag, "value": pa.int32(), "threshold": pa.float64()}),
     )
     added = circles.join(F.broadcast(run.trace), "circle_id").select(
         (F.lit(3) + F.col("guess_j") * stride + F.col("step")).alias("seq"),
@@ -114,13 +121,13 @@ def trace_events(
         total.alias("total_points"),
         percentage(F.col("coverage"), total).alias("coverage_percentage"),
     )
-    finished = spark.createDataFrame([(end + 1, "FINISHED")], "seq BIGINT, type STRING")
+    finished = local_frame(spark, [(end + 1, "FINISHED")], pa.schema(tag))
 
     events = init
     for part in (status, starts, added, final, finished):
         events = events.unionByName(part, allowMissingColumns=True)
     events = events.withColumn("run_id", F.lit(run_id))
-    target = spark.createDataFrame([], TRACE_EVENT_SCHEMA).schema
+    target = StructType.fromDDL(TRACE_EVENT_SCHEMA)
     return events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target])
 
 
