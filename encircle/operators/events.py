@@ -73,8 +73,8 @@ def latest_run(events: DataFrame, key: str, seq: str, marker: Column) -> DataFra
         F.coalesce(F.max(F.when(marker, F.col(seq))), F.min(seq)).alias("_from"),
         F.count("*").alias("_n"),
     )
-    hot = hot_keys(last, key, "_n")
-    joined = sliced_join(events, last.select(key, "_from"), key, hot, (seq,))
+    hot = hot_keys(last, [key], "_n")
+    joined = sliced_join(events, last.select(key, "_from"), [key], hot, (seq,))
     return joined.where(F.col(seq) >= F.col("_from")).select(*events.columns)
 
 

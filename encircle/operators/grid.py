@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encircle.operators.skew import hot_keys, sliced_join
+from encircle.session import cut_lineage
 
 AXIS_BITS = 26
 AXIS_MASK = (1 << AXIS_BITS) - 1
@@ -27,6 +28,10 @@ BROADCAST_ROWS = 2_000_000
 #: work does not follow the layout of the input files.
 DENSE = 32
 
+#: Cost of a cell row (made, sent and put into a hash table) in disc tests.
+CELL_COST = 500
+MAX_DEPTH = 8
+
 
 def _reach() -> Column:
     """|r| widened by a few units in the last place, so rounding never loses a candidate."""
@@ -66,7 +71,7 @@ class CircleGrid:
     cells: DataFrame  #: the circle columns plus ``cell``
     exponents: tuple[int, ...]  #: grids in use; at most one per binary exponent of a double
     cell_rows: int
-    occupied: int  #: estimated number of different cells
+    candidates_per_point: float  #: expected number of circles to test in the area they cover
 
     def fits_broadcast(self, limit: int) -> bool:
         return self.cell_rows <= limit
@@ -74,33 +79,158 @@ class CircleGrid:
     @property
     def is_dense(self) -> bool:
         """Whether a point meets so many candidates that moving it once is the smaller cost."""
-        return len(self.exponents) * self.cell_rows > DENSE * max(self.occupied, 1)
+        return self.candidates_per_point > DENSE
 
+    @property
+    def is_very_dense(self) -> bool:
+        """Whether it is worth finding out if whole cells should be counted unseen."""
+        return self.candidates_per_point > 8 * DENSE
 
-def circle_grid(circles: DataFrame) -> CircleGrid:
-    """Spread circles over cells and measure the result (one small job over the circles)."""
+
+def _spread(circles: DataFrame) -> DataFrame:
+    """Circles with the grid ``_e`` and every cell ``_gx, _gy`` of their bounding box."""
     width = _width(F.col("_e"))
     placed = circles.withColumn("_reach", _reach()).withColumn("_e", grid_exponent())
     for axis in ("x", "y"):
         low = F.floor((F.col(f"c{axis}") - F.col("_reach")) / width)
         high = F.floor((F.col(f"c{axis}") + F.col("_reach")) / width)
         placed = placed.withColumn(f"_g{axis}", F.explode(F.sequence(low, high)))
-    cell = pack_cell(F.col("_e"), F.col("_gx"), F.col("_gy")).alias("cell")
-    measured = (
-        placed.select("_e", cell)
-        .agg(
-            F.count("*").alias("rows"),
-            F.approx_count_distinct("cell").alias("occupied"),
-            F.array_sort(F.collect_set("_e")).alias("exponents"),
-        )
-        .first()
+    return placed.select(*circles.columns, "_e", "_gx", "_gy")
+
+
+def _cell() -> Column:
+    return pack_cell(F.col("_e"), F.col("_gx"), F.col("_gy")).alias("cell")
+
+
+def circle_grid(circles: DataFrame) -> CircleGrid:
+    """Spread circles over cells and measure the result (one small job over the circles)."""
+    return _measured(circles.columns, _spread(circles))
+
+
+def _measured(columns: list[str], placed: DataFrame) -> CircleGrid:
+    # one row per grid in use reaches the driver
+    levels = (
+        placed.select("_e", _cell())
+        .groupBy("_e")
+        .agg(F.count("*").alias("rows"), F.approx_count_distinct("cell").alias("occupied"))
+        .collect()
     )
     return CircleGrid(
-        placed.select(*circles.columns, cell),
-        tuple(measured.exponents),
-        measured.rows,
-        measured.occupied,
+        placed.select(*columns, _cell()),
+        tuple(sorted(level["_e"] for level in levels)),
+        sum(level["rows"] for level in levels),
+        sum(level["rows"] / max(level["occupied"], 1) for level in levels),
+    )
+
+
+@dataclass(frozen=True)
+class SplitCircles:
+    """Circles taken apart into cells that lie inside them and cells their rim runs through."""
+
+    whole: DataFrame  #: the circle columns plus the cell as ``_e, _gx, _gy``
+    whole_rows: int
+    whole_exponents: tuple[int, ...]
+    rim: CircleGrid
+
+
+def split_circles(circles: DataFrame, depth: int) -> SplitCircles:
+    """Quarter the cells on the rim ``depth`` times.
+
+    A circle ends up with O(2^depth) cells of either kind, while the area of its rim cells, and
+    with it the number of points that need the disc test, halves with every step.  Cells within
+    rounding distance of the rim count as rim cells, so whole cells are safe to count unseen.
+    """
+    near, far = _distances()
+    margin = F.abs("r") * F.lit(1e-9) + (F.abs("cx") + F.abs("cy")) * F.lit(1e-14)
+    outer, inner = F.abs("r") + margin, F.abs("r") - margin
+    # cell numbers beyond 2^52 are not exact; such cells stay rim cells of their grid
+    exact = (F.abs("_gx") < F.lit(1 << 52)) & (F.abs("_gy") < F.lit(1 << 52))
+    touched = near <= outer * outer
+    whole = exact & (inner > 0) & (far < inner * inner)
+
+    # few rows in, many out: deal the circles out first
+    spread = _spread(circles.repartition("circle_id")).withColumn("_w", _width(F.col("_e")))
+    cells = spread.where(touched).withColumn("_whole", whole)
+    for _ in range(depth):
+        kept = F.array(F.struct("_e", "_gx", "_gy", "_w"))
+        quarters = F.array(
+            *[
+                F.struct(
+                    (F.col("_e") - 1).alias("_e"),
+                    (F.col("_gx") * 2 + right).alias("_gx"),
+                    (F.col("_gy") * 2 + up).alias("_gy"),
+                    (F.col("_w") / 2).alias("_w"),
+                )
+                for right in (0, 1)
+                for up in (0, 1)
+            ]
+        )
+        split = F.when(F.col("_whole") | ~exact, kept).otherwise(quarters)
+        cells = (
+            cells.select(*circles.columns, F.col("_whole").alias("_was"), F.inline(split))
+            .where(F.col("_was") | touched)
+            .withColumn("_whole", F.col("_was") | whole)
+            .drop("_was")
+        )
+    cells = cut_lineage(cells.drop("_w"))  # used four times
+    inside = cells.where("_whole")
+    levels = inside.groupBy("_e").agg(F.count("*").alias("rows")).collect()
+    return SplitCircles(
+        inside.drop("_whole"),
+        sum(level["rows"] for level in levels),
+        tuple(sorted(level["_e"] for level in levels)),
+        _measured(circles.columns, cells.where("NOT _whole")),
+    )
+
+
+def _distances() -> tuple[Column, Column]:
+    """Squared distance from the centre to the nearest and the farthest point of the cell."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for axis in ("x", "y"):
+        low = F.col(f"_g{axis}").cast("double") * F.col("_w") - F.col(f"c{axis}")
+        high = low + F.col("_w")
+        closest = F.greatest(low, -high, F.lit(0.0))
+        farthest = F.greatest(F.abs(low), F.abs(high))
+        near, far = near + closest * closest, far + farthest * farthest
+    return near, far
+
+
+def cell_totals(positions: DataFrame, exponents: tuple[int, ...]) -> DataFrame:
+    """``_e, _gx, _gy, _n``: number of points in every occupied cell of the given grids.
+
+    Points are counted on the finest grid first.  The grids nest, so any point of a fine cell
+    tells in which coarse cell all of them are.
+    """
+    finest = _width(F.lit(min(exponents)))
+    keys = []
+    for axis in ("x", "y"):
+        number = F.col(axis) / finest
+        # too far out for an exact cell number: leave such points apart
+        far_out = F.when(F.abs(number) >= F.lit(2.0**62), F.col(axis))
+        keys += [F.floor(number).alias(f"_f{axis}"), far_out.alias(f"_o{axis}")]
+    fine = positions.groupBy(*keys).agg(
+        F.min("x").alias("x"), F.min("y").alias("y"), F.sum("w").alias("w")
     )
+    width = _width(F.col("_e"))
+    return (
+        fine.withColumn("_e", F.explode(F.array(*[F.lit(e) for e in exponents])))
+        .groupBy("_e", F.floor(F.col("x") / width).alias("_gx"), F.floor(F.col("y") / width).alias("_gy"))
+        .agg(F.sum("w").alias("_n"))
+    )
+
+
+def split_depth(points: int, grid: CircleGrid) -> int:
+    """How often to quarter the rim cells: 0 unless it saves more tests than it adds rows."""
+    tests = points * grid.candidates_per_point
+    best, best_cost = 0, float(tests)
+    for depth in range(1, MAX_DEPTH + 1):
+        # rough shares: rim cells of depth 1 cover 2/5 of the bounding box cells, and there are
+        # about three times as many cells; from then on the area halves and the number doubles
+        step = 2.0 ** (depth - 1)
+        cost = tests * 0.4 / step + grid.cell_rows * 3 * step * CELL_COST
+        if cost < best_cost:
+            best, best_cost = depth, cost
+    return best
 
 
 def with_cells(points: DataFrame, exponents: tuple[int, ...]) -> DataFrame:
@@ -132,4 +262,4 @@ def candidate_join(
         return placed.join(F.broadcast(grid.cells), "cell")
 
     counts = placed.groupBy("cell").agg(F.count("*").alias("_n"))
-    return sliced_join(placed, grid.cells, "cell", hot_keys(counts, "cell", "_n"), spread_by)
+    return sliced_join(placed, grid.cells, ["cell"], hot_keys(counts, ["cell"], "_n"), spread_by)

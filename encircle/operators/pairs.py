@@ -6,7 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encircle.functions.geometry import in_disc
-from encircle.operators.grid import BROADCAST_ROWS, CircleGrid, candidate_join, circle_grid, point_key
+from encircle.operators.grid import (
+    BROADCAST_ROWS,
+    CircleGrid,
+    SplitCircles,
+    candidate_join,
+    cell_totals,
+    circle_grid,
+    point_key,
+    split_circles,
+    split_depth,
+)
+from encircle.operators.skew import hot_keys, sliced_join
 
 
 def hits(
@@ -40,26 +51,57 @@ def positions(points: DataFrame) -> DataFrame:
 
 
 def count_by_circle(
-    points: DataFrame, circles: DataFrame, name: str, broadcast_rows: int = BROADCAST_ROWS
+    points: DataFrame,
+    circles: DataFrame,
+    name: str,
+    broadcast_rows: int = BROADCAST_ROWS,
+    depth: int | None = None,
 ) -> DataFrame:
     """Circle columns plus the number of points inside, zeros included.
 
     ``points`` has ``x, y`` and, where it is already merged by position, a weight ``w``.
+    Where points meet very many circles, cells inside a circle are counted as a whole and only
+    points in the cells on its rim are tested; ``depth`` overrules how fine those cells are.
     """
     grid = circle_grid(circles)
+    if depth is None:
+        # counting the points costs far less than what it may save only where tests abound
+        depth = split_depth(points.count(), grid) if grid.is_very_dense else 0
     if "w" not in points.columns:
         points = positions(points) if grid.is_dense else points.withColumn("w", F.lit(1))
+    points = points.select("x", "y", "w")
+    if depth > 0:
+        parts = _counts_by_cells(points, split_circles(circles, depth), broadcast_rows)
+    else:
+        parts = _counts_by_tests(points, grid, broadcast_rows)
     # partial sums leave each task with one row per circle, whatever the number of points
-    counted = (
-        hits(points.select("x", "y", "w"), grid, ("x", "y"), broadcast_rows)
-        .groupBy("circle_id")
-        .agg(F.sum("w").alias("_n"))
-    )
+    counted = parts.groupBy("circle_id").agg(F.sum("_n").alias("_n"))
     return circles.join(counted, "circle_id", "left").select(
         *circles.columns, F.coalesce("_n", F.lit(0)).alias(name)
     )
 
 
+def _counts_by_tests(points: DataFrame, grid: CircleGrid, broadcast_rows: int) -> DataFrame:
+    return hits(points, grid, ("x", "y"), broadcast_rows).select(
+        "circle_id", F.col("w").cast("bigint").alias("_n")
+    )
+
+
+def _counts_by_cells(points: DataFrame, split: SplitCircles, broadcast_rows: int) -> DataFrame:
+    on_rim = _counts_by_tests(points, split.rim, broadcast_rows)
+    if not split.whole_rows:
+        return on_rim
+    cell = ["_e", "_gx", "_gy"]
+    totals = cell_totals(points, split.whole_exponents)
+    whole = split.whole.select("circle_id", *cell)
+    if split.whole_rows <= broadcast_rows:
+        inside = totals.join(F.broadcast(whole), cell)
+    else:
+        hot = hot_keys(whole.groupBy(*cell).agg(F.count("*").alias("_c")), cell, "_c")
+        inside = sliced_join(whole, totals, cell, hot, ("circle_id",))
+    return on_rim.unionByName(inside.select("circle_id", "_n"))
+
+
 def _with_near(
     points: DataFrame, grid: CircleGrid, payload: list[str]
 ) -> tuple[DataFrame, list[Column]]:

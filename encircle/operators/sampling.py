@@ -88,11 +88,11 @@ def display_sample(points: DataFrame, bounds: Bounds) -> DataFrame:
 
 def sampling_info(points: DataFrame, shown: DataFrame) -> DataFrame:
     """One row: how many points are shown, out of how many, and a label saying so."""
-    total = points.agg(F.count("*").alias("total"))
-    displayed = shown.agg(F.count("*").alias("displayed"))
+    total = points.agg(F.count("*")).scalar()
+    counted = shown.agg(F.count("*").alias("displayed")).withColumn("total", total)
     is_sampled = F.col("total") > F.col("displayed")
     whole = F.format_number("total", 0)
-    return total.join(F.broadcast(displayed)).select(  # one row each
+    return counted.select(
         "displayed",
         "total",
         is_sampled.alias("is_sampled"),

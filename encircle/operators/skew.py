@@ -14,24 +14,26 @@ from pyspark.sql import functions as F
 HOT_SHARE = 256
 
 
-def hot_keys(counts: DataFrame, key: str, count: str) -> DataFrame:
-    """``key, _slices`` for the hot keys of a per-key count: at most HOT_SHARE rows."""
-    total = counts.agg(F.sum(count).alias("_total"))
+def hot_keys(counts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """The keys and ``_slices`` for the hot keys of a per-key count: at most HOT_SHARE rows."""
+    total = counts.agg(F.sum(count)).scalar()
     share = F.col(count) * HOT_SHARE
-    return counts.join(F.broadcast(total), share > F.col("_total")).select(
-        key, F.ceil(share / F.col("_total")).cast("int").alias("_slices")
+    return counts.where(share > total).select(
+        *keys, F.ceil(share / F.nullif(total, F.lit(0))).cast("int").alias("_slices")
     )
 
 
 def sliced_join(
-    many: DataFrame, few: DataFrame, key: str, hot: DataFrame, spread_by: tuple[str, ...]
+    many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, spread_by: tuple[str, ...]
 ) -> DataFrame:
     """Inner equi-join that survives hot keys on the ``many`` side."""
     slices = F.coalesce("_slices", F.lit(1))
-    dealt = many.join(F.broadcast(hot), key, "left").withColumn(
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn(
         "_slice", F.pmod(F.xxhash64(*spread_by), slices).cast("int")
     )
-    repeated = few.join(F.broadcast(hot), key, "left").withColumn(
+    repeated = few.join(F.broadcast(hot), keys, "left").withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), slices - 1))
     )
-    return dealt.drop("_slices").join(repeated.drop("_slices"), [key, "_slice"]).drop("_slice")
+    return (
+        dealt.drop("_slices").join(repeated.drop("_slices"), [*keys, "_slice"]).drop("_slice")
+    )

@@ -46,7 +46,7 @@ def trace_events(
     total = F.lit(run.total_points).cast("bigint")
     selected_circle = F.struct("cx", "cy", "r")
 
-    candidates = circles.agg(F.count("*").alias("n_circles"))
+    n_circles = circles.agg(F.count("*")).scalar()
     sampled = shown.agg(
         F.count("*").alias("n_points"),
         F.transform(
@@ -60,7 +60,7 @@ def trace_events(
             for name, value in zip(("minX", "minY", "maxX", "maxY"), bounds, strict=True)
         ]
     )
-    init = sampled.join(F.broadcast(candidates)).select(  # one row each
+    init = sampled.withColumn("n_circles", n_circles).select(
         F.lit(0).alias("seq"),
         F.lit("INIT").alias("type"),
         F.lit(guess_count(run.k, run.epsilon)).alias("total_guesses"),
@@ -109,9 +109,9 @@ def trace_events(
     )
     end = 3 + guess_count(run.k, run.epsilon) * stride
     solution = solution_from(run.trace, circles).agg(
-        F.array_sort(F.collect_list(F.struct("step", "cx", "cy", "r"))).alias("picked")
+        F.array_sort(F.collect_list(F.struct("step", "cx", "cy", "r")))
     )
-    final = best_guess(run.trace).join(F.broadcast(solution)).select(  # one row each
+    final = best_guess(run.trace).withColumn("picked", solution.scalar()).select(
         F.lit(end).alias("seq"),
         F.lit("FINAL_SOLUTION").alias("type"),
         F.transform("picked", lambda c: F.struct(c["cx"], c["cy"], c["r"])).alias("circles"),

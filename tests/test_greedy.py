@@ -26,9 +26,9 @@ COLUMNS = ("guess_j", "step", "circle_id", "gain", "coverage")
 def test_trace_equals_rescanning(spark, seed):
     points, circles = instance(seed)
     p, c = points_frame(spark, points), circles_frame(spark, circles)
-    k, epsilon = [(5, 0.2), (1, 0.5), (20, 0.3), (3, 1.5)][seed]
+    k, epsilon = [(5, 0.2), (1, 0.5), (20, 0.6), (3, 1.5)][seed]
     want = brute.trace(points, circles, k, epsilon)
-    for window, limit in ((48, 10**6), (1, 10**6), (3, 0)):
+    for window, limit in ((48, 10**6), (4, 0)) if k > 3 else ((1, 10**6), (48, 0)):
         run = greedy.run_cover(p, c, k, epsilon, window=window, broadcast_rows=limit)
         assert rows(run.trace, *COLUMNS) == want
     j, coverage = brute.best_of(want)
