@@ -21,14 +21,10 @@ from encircle.plans.greedy import greedy_solution
 from encircle.sources.generate import PRESETS, generate_preset
 
 HEADLINE = [
-    "greedy_solution",
-    "coverage_by_circle",
-    "coverage_pairs",
     "covered_points",
     "marginal_gains",
     "set_coverage",
     "first_candidate",
-    "greedy_single_tau",
     "stratified_sample",
     "uniform_sample",
     "cell_density",
@@ -41,6 +37,10 @@ HEADLINE = [
     "stream_snapshot",
     "worker_utilisation",
     "active_apps",
+    "coverage_pairs",
+    "coverage_by_circle",
+    "greedy_single_tau",
+    "greedy_solution",
 ]
 
 

@@ -18,6 +18,7 @@ from encircle.operators.grid import (
     split_depth,
 )
 from encircle.operators.skew import hot_keys, sliced_join
+from encircle.session import shuffle_partitions
 
 
 def hits(
@@ -37,7 +38,7 @@ def coverage_pairs(
     """``point_id, circle_id`` for every point inside a circle."""
     grid = circle_grid(circles)
     if grid.is_dense:
-        points = points.repartition("point_id")
+        points = points.repartition(shuffle_partitions(points), "point_id")
     return hits(points, grid, broadcast_rows=broadcast_rows).select("point_id", "circle_id")
 
 
@@ -50,6 +51,12 @@ def positions(points: DataFrame) -> DataFrame:
     return points.groupBy("x", "y").agg(F.count("*").alias("w"))
 
 
+def _spread_positions(points: DataFrame) -> DataFrame:
+    # Adaptive execution sizes partitions by bytes and would leave many tests to few tasks.  The
+    # hash keeps this from being folded into the shuffle of the merge, which it may shrink.
+    return positions(points).repartition(shuffle_partitions(points), F.xxhash64("x", "y"))
+
+
 def count_by_circle(
     points: DataFrame,
     circles: DataFrame,
@@ -68,7 +75,7 @@ def count_by_circle(
         # counting the points costs far less than what it may save only where tests abound
         depth = split_depth(points.count(), grid) if grid.is_very_dense else 0
     if "w" not in points.columns:
-        points = positions(points) if grid.is_dense else points.withColumn("w", F.lit(1))
+        points = _spread_positions(points) if grid.is_dense else points.withColumn("w", F.lit(1))
     points = points.select("x", "y", "w")
     if depth > 0:
         parts = _counts_by_cells(points, split_circles(circles, depth), broadcast_rows)

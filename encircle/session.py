@@ -30,6 +30,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_directory(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def shuffle_partitions(frame: DataFrame) -> int:
+    """Number of partitions the session uses for shuffles."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint: the written copy survives the loss of any executor."""
     spark = frame.sparkSession
