@@ -21,6 +21,9 @@ AXIS_BITS = 26
 AXIS_MASK = (1 << AXIS_BITS) - 1
 EXPONENT_BITS = 11
 
+#: Most cells a circle can meet on its grid.
+CELLS_PER_CIRCLE = 25
+
 #: Largest circle side, in cell rows, that is sent to every executor (about 100 bytes a row).
 BROADCAST_ROWS = 2_000_000
 

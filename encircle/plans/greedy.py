@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from encircle.functions.numbers import check_parameters, guess_count, percentage
-from encircle.operators.grid import BROADCAST_ROWS, circle_grid
+from encircle.operators.grid import BROADCAST_ROWS, CELLS_PER_CIRCLE, circle_grid
 from encircle.operators.pairs import count_by_circle, hits, positions, with_circles_at
 from encircle.session import cut_lineage, local_frame
 
@@ -213,9 +213,15 @@ def _run(
     window: int,
     broadcast_rows: int,
 ) -> None:
-    """Settle all guesses.  They do not depend on each other, so any grouping will do."""
-    for start in range(0, len(guesses), TOGETHER):
-        batch = guesses[start : start + TOGETHER]
+    """Settle all guesses.  They do not depend on each other, so any grouping will do.
+
+    Window and picked circles are broadcast in each round, so the group is kept small enough for
+    their cell rows to stay below the broadcast limit.
+    """
+    fitting = BROADCAST_ROWS // (CELLS_PER_CIRCLE * (window + k))
+    size = max(1, min(TOGETHER, fitting))
+    for start in range(0, len(guesses), size):
+        batch = guesses[start : start + size]
         _run_together(spark, placed, gains, batch, k, window, broadcast_rows)
 
 
