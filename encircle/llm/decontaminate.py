@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from encircle.llm.shared import lower_ascii, replacing, written
+from encircle.llm.shared import lower_ascii, replacing, row_step, written
 
 WORDS = 10
 #: Characters of windows in one broadcast block.
@@ -86,18 +87,18 @@ class _Searcher:
 
 
 def _search(block):
-    """One pass: adds the occurrences of a block's windows to ``_spans`` and ``_items``."""
+    """Per task, the search of one block's windows: adds what it finds to spans and items."""
 
-    def run(batches):
+    def make():
         by_length: dict[int, list] = {}
         for window, items in block.value:
             pattern = tuple(window.encode("utf-8", "surrogatepass").split(b" "))
             by_length.setdefault(len(pattern), []).append((pattern, items))
         searchers = [_Searcher(m, patterns) for m, patterns in sorted(by_length.items())]
-        for batch in batches:
-            counts, spans, items = [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("_text", "_spans", "_items"))
-            for text, old_spans, old_items in zip(*columns):
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            counts, hits, items, spans = [], [], [], []
+            for text, old_items, old_spans in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(text)
                 found, held = list(old_spans), set(old_items)
                 for searcher in searchers:
@@ -108,16 +109,17 @@ def _search(block):
                             found += (start, start + searcher.length)
                         held.update(names)
                 counts.append(len(words))
-                spans.append(found)
+                hits.append(_hits(found))
                 items.append(sorted(held))
-            kept = [c for c in batch.schema.names if c not in ("_n_words", "_spans", "_items")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(counts, pa.int64()),
-                 pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                [*kept, "_n_words", "_spans", "_items"],
-            )
+                spans.append(found)
+            return [
+                pa.array(counts, pa.int64()), pa.array(hits, pa.int64()),
+                pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int32())),
+            ]
+
+        return work
 
-    return run
+    return make
 
 
 def _hits(spans: list[int]) -> int:
@@ -131,12 +133,6 @@ def _hits(spans: list[int]) -> int:
     return int(np.maximum(reach - np.maximum(ends[:, 0], before), 0).sum())
 
 
-def _counted(batches):
-    for batch in batches:
-        hits = [_hits(s) for s in batch.column("_spans").to_pylist()]
-        yield batch.append_column("_n_hit", pa.array(hits, pa.int64()))
-
-
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -153,31 +149,23 @@ def contamination(
     made = written(windows(benchmark, words=words), "windows")
     size = made.agg(F.sum(F.length("window") + F.length(F.array_join("items", ",")))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
-    names = docs.columns
-    hidden = docs.select(
-        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
-        F.col(f"`{text}`").cast("string").alias("_text"),
-        F.lit(0).cast("bigint").alias("_n_words"),
-        F.array().cast("array<int>").alias("_spans"),
-        F.array().cast("array<string>").alias("_items"),
-    )
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hidden.schema if f.name[0] == "c" or f.name == "_text")
-    schema += ", _n_words LONG, _spans ARRAY<INT>, _items ARRAY<STRING>"
+    results = {
+        "n_words": T.LongType(), "n_hit": T.LongType(),
+        "items": T.ArrayType(T.StringType()), "spans": T.ArrayType(T.IntegerType()),
+    }
+    own = F.col(f"`{text}`").cast("string")
+    found = replacing(docs, {"_text": own})
+    none = {"items": F.array().cast("array<string>"), "spans": F.array().cast("array<int>")}
     for block in range(blocks):
         mine = made.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast([(r.window, r["items"]) for r in mine])
-        hidden = hidden.mapInArrow(_search(shared), schema)
-    counted = hidden.mapInArrow(_counted, schema + ", _n_hit LONG")
-    shown = counted.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)],
-        "_n_words", "_n_hit", "_items", "_spans",
-    )
-    results = {"n_words": F.col("_n_words"), "n_hit": F.col("_n_hit"), "items": F.col("_items"), "spans": F.col("_spans")}
-    return replacing(shown, results).drop("_n_words", "_n_hit", "_items", "_spans")
+        before = {c: F.col(c) for c in none} if block else none
+        found = row_step(found, {"text": F.col("_text"), **before}, _search(shared), results)
+    return found.drop("_text")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window of the benchmark."""
-    own = docs.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(docs.columns)])
-    found = contamination(own, benchmark, f"d{docs.columns.index(text)}")
-    return found.where("n_hit = 0").select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)])
+    own = [f"d{i}" for i in range(len(docs.columns))]
+    found = contamination(docs.toDF(*own), benchmark, own[docs.columns.index(text)])
+    return found.where("n_hit = 0").select(*own).toDF(*docs.columns)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encircle.llm import decontaminate, ngram_join
-from encircle.llm.shared import table
+from encircle.llm import decontaminate, mixing, ngram_join, quality, sharding
+from encircle.llm.shared import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,11 +26,46 @@ def op2_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op3_source_mixing(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        "source",
+        word_count("text").alias("size"),
+        F.xxhash64("doc_id", "text").alias("mark"),
+    )
+    return mixing.mix(docs, "source", "size", "mark").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
+    return quality.quality(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_tokens", "chars_per_token", "tokens_per_word", "byte_share", "token_entropy",
+    )
+
+
+def op10_sharding(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        sharding.text_size("text").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        sharding.text_digest("text").alias("digest"),
+    )
+    placed = sharding.shard(docs, "doc_id", "size", "digest")
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return ngram_join.similar_groups(docs).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_benchmark_decontamination, op7_ngram_jaccard_join)
+    f.__name__: f
+    for f in (
+        op2_benchmark_decontamination, op3_source_mixing, op4_quality_rules, op7_ngram_jaccard_join, op10_sharding,
+    )
 }

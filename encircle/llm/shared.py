@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from encircle.session import scratch_path
 
 #: White space of the word contracts; words are the runs of everything else.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE_BYTES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,13 +28,57 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def lower_ascii(text: Column) -> Column:
+def lower_ascii(text: Column | str) -> Column:
     """A-Z in lower case, everything else untouched."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def word_count(text: Column | str) -> Column:
+    """Number of words; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
 def replacing(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Set result columns; a column of the same name (whatever its case) gives way."""
     taken = {name.lower() for name in columns}
-    kept = [f"`{c}`" for c in frame.columns if c.lower() not in taken]
+    kept = [F.col(f"`{c}`") for c in frame.columns if c.lower() not in taken]
     return frame.select(*kept, *[value.alias(name) for name, value in columns.items()])
+
+
+def row_step(
+    frame: DataFrame,
+    inputs: dict[str, Column],
+    make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
+    results: dict[str, T.DataType],
+) -> DataFrame:
+    """Append columns that Python works out row by row from ``inputs``, in Arrow batches.
+
+    ``make`` is called once per task.  The frame's own columns travel under numbers, so no name
+    can clash; a column named like a result gives way to it.
+    """
+    names = frame.columns
+    own = [f"c{i}" for i in range(len(names))]
+    made = [f"r{i}" for i in range(len(results))]
+    hidden = frame.select(
+        *[F.col(f"`{c}`").alias(o) for c, o in zip(names, own)],
+        *[v.alias(f"in_{k}") for k, v in inputs.items()],
+    )
+    kinds = {f.name: f.dataType for f in hidden.schema}
+    schema = T.StructType(
+        [T.StructField(o, kinds[o]) for o in own]
+        + [T.StructField(m, kind) for m, kind in zip(made, results.values())]
+    )
+    wanted = list(inputs)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            given = pa.RecordBatch.from_arrays([batch.column(f"in_{k}") for k in wanted], wanted)
+            yield pa.RecordBatch.from_arrays([*(batch.column(o) for o in own), *work(given)], [*own, *made])
+
+    stepped = hidden.mapInArrow(run, schema)
+    taken = {name.lower() for name in results}
+    return stepped.select(
+        *[F.col(o).alias(c) for c, o in zip(names, own) if c.lower() not in taken],
+        *[F.col(m).alias(name) for name, m in zip(results, made)],
+    )
