@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encircle.llm import decontaminate, mixing, ngram_join, quality, sharding
+from encircle.llm import (
+    decontaminate, license_scan, line_chunks, mixing, ngram_join, page_text, quality, sharding, url_filter, warc,
+)
 from encircle.llm.shared import table, word_count
+from encircle.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filters(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", "url")
+    judged = url_filter.judge_urls(pages, table(spark, d, "labels").select("doc_id", "quality", "toxic"))
+    return judged.select(F.col("page_id").cast("bigint").alias("page_id"), "host", "path", "rule", "verdict", "template")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, d, "benchmark").select("item_id", "text"))
@@ -44,6 +53,15 @@ def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op8_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return page_text.extract_text(table(spark, d, "pages"))
+
+
+def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return line_chunks.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_sharding(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -58,6 +76,24 @@ def op10_sharding(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, d, "pages").select("page_id", "url", "html"), path)
+    records = warc.resolved(warc.read_archives(spark, path, with_payload=False))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_license_scans(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return license_scan.scan_licenses(docs).select(
+        "doc_id",
+        F.size("matches").cast("bigint").alias("n_matches"),
+        F.array_join("matches.license", ",").alias("licenses"),
+        F.array_max("matches.coverage").alias("best_coverage"),
+        F.array_join(F.transform("matches", lambda m: F.concat_ws("-", m.first.cast("string"), m.past.cast("string"))), ",").alias("spans"),
+    )
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return ngram_join.similar_groups(docs).select("doc_id", "n_shingles", "component_id")
@@ -66,6 +102,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op2_benchmark_decontamination, op3_source_mixing, op4_quality_rules, op7_ngram_jaccard_join, op10_sharding,
+        op1_url_filters, op2_benchmark_decontamination, op3_source_mixing, op4_quality_rules, op5_warc,
+        op6_license_scans, op7_ngram_jaccard_join, op8_html_extraction, op9_line_dedup, op10_sharding,
     )
 }
