@@ -63,7 +63,99 @@ FROM doc LEFT JOIN size ON size.doc_id = doc.doc_id
 JOIN (SELECT a, min(c) AS component_id FROM reach GROUP BY a) ON a = doc.doc_id
 """
 
+OP5 = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+digest AS (SELECT page_id, payload, strlen(payload) AS bytes, sha1(payload) AS hex FROM page),
+grouped AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id FROM digest)
+SELECT page_id, bytes::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)
+           FOR k IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM grouped
+"""
+
+OP9 = """
+WITH doc AS (
+    SELECT doc_id, md5(text) AS mark, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
+), line AS (
+    SELECT DISTINCT doc_id, mark, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line, len(lines) AS n FROM doc
+), hashed AS (
+    SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM line
+), ended AS (
+    SELECT *, (h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 OR i = n AS e
+    FROM hashed WINDOW w AS (PARTITION BY doc_id, mark ORDER BY i)
+), numbered AS (
+    SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY doc_id, mark ORDER BY i
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ended
+), chunk AS (
+    SELECT doc_id, mark, c, min(i) AS first, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS size
+    FROM numbered GROUP BY doc_id, mark, c
+), placed AS (
+    SELECT doc_id, mark, c, size > 1 AND row_number() OVER (PARTITION BY size > 1, chunk ORDER BY doc_id, mark, first) > 1 AS gone
+    FROM chunk
+), rest AS (
+    SELECT doc_id, mark, count(*) AS n_lines, sum(gone::INT) AS n_removed,
+           coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '') AS text
+    FROM numbered JOIN placed USING (doc_id, mark, c) GROUP BY doc_id, mark
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, rest.text
+FROM documents d LEFT JOIN rest ON rest.doc_id = d.doc_id AND rest.mark = md5(d.text)
+"""
+
+
+def _op1(depth: int = 4, support: int = 5, labels: int = 20) -> str:
+    steps = [
+        f"""
+known AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels
+          WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
+address AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages),
+part AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                   'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM address),
+r0 AS (SELECT page_id, host, path, string_split(regexp_replace(path, '^/', ''), '/') AS segments, '' AS template,
+              (bad IS NOT NULL)::INT AS labelled, coalesce(bad, 0) AS bad
+       FROM part LEFT JOIN known ON doc_id = page_id)"""
+    ]
+    for k in range(1, depth + 1):
+        steps.append(f"""
+s{k} AS (SELECT *, CASE WHEN len(segments) >= {k} THEN segments[{k}] END AS segment FROM r{k - 1}),
+c{k} AS (SELECT host, template, segment, count(*) AS n, sum(labelled) AS l, sum(bad) AS b FROM s{k}
+         WHERE segment IS NOT NULL GROUP BY ALL),
+a{k} AS (SELECT *, sum(l) OVER w AS al, sum(b) OVER w AS ab FROM c{k} WINDOW w AS (PARTITION BY host, template)),
+k{k} AS (SELECT host, template, segment FROM a{k}
+         WHERE n >= {support} AND l >= {labels} AND NOT regexp_matches(segment, '[0-9]') AND al > l
+           AND (b / l - (ab - b) / (al - l)) ** 2 > 1.96 * 1.96 * (ab / al * (1 - ab / al) * (1 / l + 1 / (al - l)))),
+r{k} AS (SELECT s{k}.* EXCLUDE (segment) REPLACE (template || CASE WHEN segment IS NULL THEN ''
+            WHEN k{k}.host IS NOT NULL THEN '/' || segment ELSE '/*' END AS template)
+         FROM s{k} LEFT JOIN k{k} USING (host, template, segment))""")
+    return "WITH " + ",".join(steps) + f""",
+page AS (SELECT page_id, host, path, template || CASE WHEN len(segments) > {depth} THEN '/**' ELSE '' END AS template,
+                labelled, bad FROM r{depth}),
+t AS (SELECT host, template, sum(labelled) AS l, sum(bad) AS b FROM page GROUP BY ALL),
+base AS (SELECT coalesce(1 - sum(b) / nullif(sum(l), 0), 1) AS base FROM t),
+h AS (SELECT host, (sum(l) - sum(b) + 10 * any_value(base)) / (sum(l) + 10) AS share FROM t, base GROUP BY host),
+good AS (SELECT host, template, (l - b + 10 * share) / (l + 10) AS good FROM t JOIN h USING (host)),
+rules(rule, name, start, decision) AS (VALUES
+    ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+    ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+    ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+fit AS (SELECT DISTINCT host, path, arg_max(rule, length(rule)) AS rule, arg_max(decision, length(rule)) AS decision
+        FROM (SELECT DISTINCT host, path FROM page) p
+        JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(decision, CASE WHEN good < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM page JOIN good USING (host, template) LEFT JOIN fit USING (host, path)
+"""
+
+
+OP1 = _op1()
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": OP1,
     "op2_benchmark_decontamination": OP2,
+    "op5_warc": OP5,
     "op7_ngram_jaccard_join": OP7,
+    "op9_line_dedup": OP9,
 }
