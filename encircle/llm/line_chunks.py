@@ -20,6 +20,8 @@ from encircle.llm.shared import written
 
 WINDOW = 3
 DIVISOR = 4
+#: Classes of digests by which texts that cannot be repeated are left out of the comparison.
+BUCKETS = 1 << 20
 #: Multipliers of the line hashes (below 2^32) inside the rolling hash.
 _FACTORS = (1, 31, 961)
 
@@ -66,7 +68,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     place = F.struct(F.col("id").isNull().alias("_last"), "id", "mark", "first")
     often = chunks.groupBy("digest").agg(F.count("*").alias("_n"), F.min(place).alias("place")).where("_n > 1")
     often = written(often.select("digest", "place"), "often")
-    compared = chunks.join(often, "digest").groupBy("digest").agg(
+    # at most BUCKETS rows: texts of other chunks need not move
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).alias("_bucket")
+    held = F.broadcast(often.select(bucket).distinct())
+    likely = chunks.select("digest", "chunk", bucket).join(held, "_bucket", "left_semi")
+    compared = likely.join(often.hint("merge"), "digest").groupBy("digest").agg(
         F.min("chunk").alias("_low"), F.max("chunk").alias("_high"), F.min("place").alias("place")
     )
     equal = written(compared.where("_low = _high").select("digest", "place"), "equal")
@@ -80,7 +86,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     at = dict(zip(docs.columns, own))
     rows = docs.toDF(*own).withColumn("_text_mark", F.md5(at[text]))
     same = rows[at[doc_id]].cast("bigint").eqNullSafe(spans._id) & (rows["_text_mark"] == spans._mark)
-    joined = rows.join(spans, same, "left")
+    joined = rows.join(spans.hint("merge"), same, "left")
     lines = F.split(at[text], "\n", -1)
     joined = _once(joined, "_lines", lines)
     joined = _once(joined, "_out", F.flatten(F.transform("_gone", lambda g: F.sequence(g.first, g.last))))
