@@ -13,9 +13,10 @@ The join is exact on 64-bit shingle hashes:
    of those; pair lists are much shorter.  Where light ends is chosen by cost: the largest size at
    which writing all pairs costs no more than scanning the lists of single shingles.  Light sets
    that may meet a heavy one enter single lists too.  Shingles of one document have no list.
-3. *Scan.*  Equal sets are one.  Each set is first compared with the leader of its lists, a few
-   times over; lists whose members are already connected are finished without looking at pairs.
-   The rest is compared member by member across components, after a bound from sketches.
+3. *Scan.*  Equal sets are one.  Each set is first compared with the most central leader of its
+   lists; lists whose members are then connected are finished without looking at pairs.  In the
+   others, members of different components are compared; long lists in blocks, so that no task
+   holds a whole list, and only pairs that a bound from sketches allows leave the task.
 4. *Check.*  Candidates are compared shingle by shingle; links join components.
 
 Nulls and texts without words have empty sets and link with nothing.  A null id takes part but
@@ -38,17 +39,18 @@ from encircle.llm.components import connected_components
 from encircle.llm.shared import written
 
 #: The table of shingle levels has 2^SLOT_BITS bytes: the size bound of the one thing broadcast.
-SLOT_BITS = 26
+SLOT_BITS = 25
 #: Bits of a shingle hash by which occurrences are counted.
 COUNT_BITS = 40
 #: Occurrences a task gathers before it sends counts.
 CHUNK = 4_000_000
 #: Words a task remembers the hashes of.
 WORD_CACHE = 1 << 20
-#: Rounds in which sets are compared with one leader only.
-LEADER_ROUNDS = 3
+#: Members of a list that is joined with itself, and of a block of a longer one.
+SHORT_LIST, BLOCK = 64, 512
 SKETCH = 128
 
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -212,12 +214,11 @@ def light_boundary(rule: Rule, length: float) -> int:
 # --- keys ------------------------------------------------------------------------------------
 
 
-def list_keys(found: np.ndarray, levels: np.ndarray, rule: Rule, boundary: int) -> np.ndarray:
-    """The lists that a set (sorted hashes) enters."""
+def list_keys(found: np.ndarray, level: np.ndarray, rule: Rule, boundary: int) -> np.ndarray:
+    """The lists that a set (sorted hashes and their levels) enters."""
     n = len(found)
     if n == 0:
         return found
-    level = levels[(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
     first = n - rule.needed(n) + 1
     head = np.argsort(level, kind="stable")[: first + 1]
     singles = found[head[:first]][level[head[:first]] > 0]
@@ -238,13 +239,15 @@ def _described(rule: Rule, boundary: int, levels: Broadcast):
             rows = []
             for text in batch.column("_text").to_pylist():
                 found = shingles(text, rule.words, hashes)
-                keys = list_keys(found, table, rule, boundary)
+                level = table[(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                keys = list_keys(found, level, rule, boundary)
                 signature = _mixed(found ^ _PAIR).sum(dtype=np.uint64), found.sum(dtype=np.uint64)
                 held = len(keys) > 0
                 rows.append(
                     (
                         rid,
                         len(found),
+                        int(np.count_nonzero(level == 0) * 1000 // max(1, len(found))),
                         *(int(s.astype(np.int64)) for s in signature),
                         keys.astype(np.int64),
                         found.tobytes() if held else None,
@@ -253,12 +256,12 @@ def _described(rule: Rule, boundary: int, levels: Broadcast):
                     )
                 )
                 rid += 1
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            columns = list(zip(*rows)) or [()] * 8
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), batch.column("_mark"), *arrays],
-                ["_id", "_mark", "rid", "n", "s1", "s2", "keys", "shingles", "sketch"],
+                ["_id", "_mark", "rid", "n", "alone", "s1", "s2", "keys", "shingles", "sketch"],
             )
 
     return run
@@ -315,52 +318,77 @@ def _checked(pairs: DataFrame, sets: DataFrame, rule: Rule, prune: bool) -> Data
     return full.mapInArrow(_linked(rule), "a LONG, b LONG")
 
 
+def _compared(rule: Rule):
+    """All pairs between two blocks of a long list, or within one, that sizes and sketches allow and
+    that are not connected yet."""
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        block = group.column("block").to_numpy()
+        rid, n, component = (group.column(c).to_numpy() for c in ("rid", "n", "component"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        right = np.flatnonzero(block == j)
+        a, b = [], []
+        for x in np.flatnonzero(block == i):
+            y = right[(component[right] != component[x]) & ((rid[right] > rid[x]) | (i != j))]
+            both = n[y] + n[x]
+            most = np.minimum((both - np.abs(sketch[y] - sketch[x]).sum(axis=1)) // 2, np.minimum(n[y], n[x]))
+            y = y[100 * most >= rule.percent * (both - most)]
+            a.append(np.minimum(rid[y], rid[x]))
+            b.append(np.maximum(rid[y], rid[x]))
+        flat = [np.concatenate(side) if side else np.empty(0, np.int64) for side in (a, b)]
+        return pa.table({"a": pa.array(flat[0], pa.int64()), "b": pa.array(flat[1], pa.int64())})
+
+    return run
+
+
+def _candidates(lists: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs ``a, b`` of different components that share a list.
+
+    Short lists are joined with themselves, which gives SHORT_LIST rows per member at most.  Long
+    ones are cut into blocks; blocks are compared two at a time where they meet, and only pairs that
+    their sketches allow leave the task.
+    """
+    sizes = lists.groupBy("key").agg(
+        F.count("*").alias("_m"), F.min("component").alias("_lo"), F.max("component").alias("_hi")
+    ).where("_lo < _hi").select("key", "_m")
+    open_lists = written(lists.join(sizes, "key"), "open")
+    short, long = open_lists.where(F.col("_m") <= SHORT_LIST), open_lists.where(F.col("_m") > SHORT_LIST)
+    other = short.select("key", *[F.col(c).alias(f"{c}_2") for c in ("rid", "n", "component")])
+    met = short.join(other, "key").where(
+        (F.col("rid") < F.col("rid_2")) & (F.col("component") != F.col("component_2"))
+        & _sizes_fit(rule, F.col("n"), F.col("n_2"))
+    ).select(F.col("rid").alias("a"), F.col("rid_2").alias("b"))
+    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
+    own = long.join(sets.select("rid", "sketch"), "rid").withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int"))
+    dealt = own.withColumn("_k", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "key", F.least("block", "_k").alias("i"), F.greatest("block", "_k").alias("j"), "block", "rid", "n", "component", "sketch"
+    )
+    compared = dealt.groupBy("key", "i", "j").applyInArrow(_compared(rule), "a LONG, b LONG")
+    return met.union(compared).distinct()
+
+
 def _links(sets: DataFrame, rule: Rule) -> DataFrame:
     """Links ``a, b`` that connect everything that any links connect.  ``sets``: one row per set."""
-    entries = sets.select("rid", "n", F.explode("keys").alias("key"))
-    lists = entries.groupBy("key").agg(F.count("*").alias("_c")).where("_c >= 2").select("key")
-    lists = written(entries.join(lists, "key"), "lists")
-    links = None
-    for round_ in range(LEADER_ROUNDS):
-        members, open_lists = lists, lists
-        if links is not None:
-            found = connected_components(links)
-            members = lists.join(found, lists.rid == found.node, "left").select(
-                "key", "rid", "n", F.coalesce("component", "rid").alias("component")
-            )
-            spread = members.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-            open_lists = members.join(spread.where("_lo < _hi").select("key"), "key")
-            members = written(open_lists, "open")
-            if members.isEmpty():
-                return links
-        else:
-            members = members.withColumn("component", F.col("rid"))
-        # the leader of a list is the same for all its members; another one each round
-        rank = F.xxhash64(F.lit(round_), "component", "rid") if round_ else F.col("rid")
-        leaders = members.groupBy("key").agg(
-            F.min_by(F.struct("rid", "n", "component"), F.struct(rank, "rid")).alias("lead")
-        )
-        near = (
-            members.join(leaders, "key")
-            .where(_sizes_fit(rule, F.col("n"), F.col("lead.n")) & (F.col("component") != F.col("lead.component")))
-            .groupBy("rid").agg(F.min_by("lead.rid", F.struct(F.abs(F.col("n") - F.col("lead.n")), "lead.rid") if round_ else F.col("lead.rid")).alias("lead"))
-        )
-        pairs = near.select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
-        more = written(_checked(pairs, sets, rule, prune=round_ > 0), "links")
-        links = more if links is None else links.union(more)
-    found = connected_components(links)
+    entries = sets.select("rid", "n", "alone", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("_c")).where("_c >= 2").select("key")
+    lists = written(entries.join(shared, "key"), "lists")
+    # leaders are central: few of their shingles are in no other document
+    rank = F.struct("alone", "rid", "n")
+    leaders = lists.groupBy("key").agg(F.min(rank).alias("lead"))
+    near = (
+        lists.join(leaders, "key")
+        .where(_sizes_fit(rule, F.col("n"), F.col("lead.n")) & (F.col("rid") != F.col("lead.rid")))
+        .groupBy("rid").agg(F.min("lead").alias("lead"))
+    )
+    pairs = near.select(F.least("rid", "lead.rid").alias("a"), F.greatest("rid", "lead.rid").alias("b")).distinct()
+    first = written(_checked(pairs, sets, rule, prune=False), "links")
+    found = connected_components(first)
     members = lists.join(found, lists.rid == found.node, "left").select(
         "key", "rid", "n", F.coalesce("component", "rid").alias("component")
     )
-    spread = members.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    left = written(members.join(spread.where("_lo < _hi").select("key"), "key"), "open")
-    other = left.select("key", *[F.col(c).alias(f"{c}_2") for c in ("rid", "n", "component")])
-    across = left.join(other, "key").where(
-        (F.col("rid") < F.col("rid_2")) & (F.col("component") != F.col("component_2"))
-        & _sizes_fit(rule, F.col("n"), F.col("n_2"))
-    )
-    pairs = across.select(F.col("rid").alias("a"), F.col("rid_2").alias("b")).distinct()
-    return links.union(written(_checked(pairs, sets, rule, prune=True), "links"))
+    left = _candidates(members, sets, rule)
+    return first.union(written(_checked(left, sets, rule, prune=True), "links"))
 
 
 def similar_groups(
@@ -382,7 +410,7 @@ def similar_groups(
     described = written(
         rows.mapInArrow(
             _described(rule, boundary, table),
-            "_id LONG, _mark LONG, rid LONG, n LONG, s1 LONG, s2 LONG, keys ARRAY<LONG>, shingles BINARY, sketch BINARY",
+            "_id LONG, _mark LONG, rid LONG, n LONG, alone LONG, s1 LONG, s2 LONG, keys ARRAY<LONG>, shingles BINARY, sketch BINARY",
         ),
         "sets",
     )
@@ -393,7 +421,7 @@ def similar_groups(
         ),
         "distinct",
     )
-    holders = described.where("shingles is not null").select("rid", "n", "keys", "shingles", "sketch")
+    holders = described.where("shingles is not null").select("rid", "n", "alone", "keys", "shingles", "sketch")
     sets = holders.join(distinct_sets.select("rid"), "rid", "left_semi")
     found = connected_components(_links(sets, rule))
     placed = distinct_sets.join(found, distinct_sets.rid == found.node, "left").select(
