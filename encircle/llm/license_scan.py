@@ -5,7 +5,8 @@ every WINDOW consecutive runs is a fingerprint.  The fingerprints of all templat
 index of (template, position).  A text is fingerprinted the same way; runs with words that no
 template has can never match and count as infinitely large, which only adds fingerprints.  Hits that
 lie near one diagonal are one candidate.  A banded alignment of the template around that diagonal
-counts the words that agree in order, and gives the coverage of the template and the span of words in
+(at most BAND words wide to either side, a quarter of the template for short ones) counts the words
+that agree in order, and gives the coverage of the template and the span of words in
 the text.  A shared run of GRAM + WINDOW - 1 words always gives a candidate.
 
 The templates are a parameter, sent to the tasks with the code; texts are read whole, row by row,
@@ -135,7 +136,7 @@ def _scanner(templates: Mapping[str, str], coverage: float):
                     if last is not None and start - last <= BAND // 2:
                         continue  # the same candidate
                     last = start
-                    common, first, end = aligned(numbered[t], plain, start)
+                    common, first, end = aligned(numbered[t], plain, start, min(BAND, len(numbered[t]) // 4))
                     share = common / len(numbered[t])
                     if share >= coverage:
                         kept.append((-share, first, end + 1, common))

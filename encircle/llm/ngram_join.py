@@ -43,9 +43,9 @@ SLOT_BITS = 25
 #: Bits of a shingle hash by which occurrences are counted.
 COUNT_BITS = 40
 #: Occurrences a task gathers before it sends counts.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Words a task remembers the hashes of.
-WORD_CACHE = 1 << 20
+WORD_CACHE = 1 << 18
 #: Members of a list that is joined with itself, and of a block of a longer one.
 SHORT_LIST, BLOCK = 64, 512
 SKETCH = 128
