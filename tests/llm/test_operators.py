@@ -307,7 +307,7 @@ def test_shared_lines_go_where_no_article_is_marked(spark):
 
 
 def test_common_lines():
-    assert page_text.common_lines(list("abcabd"), list("xabdab")) == {0, 1, 5} 
+    assert page_text.common_lines(list("abcabd"), list("xabdab")) == {0, 1, 3, 4}
     assert page_text.common_lines([], ["a"]) == set()
 
 
