@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from encircle.operators.skew import hot_keys, sliced_join
+from encircle.operators.skew import hot_keys, null_safe_join, sliced_join
 
 #: Consecutive sequence numbers handled by one task.
 BUCKET = 1_000_000
@@ -31,7 +31,8 @@ def segment_by_marker(
 
     One log may hold a large share of all events, so it is cut into buckets of consecutive
     sequence numbers.  Rows are numbered inside their bucket; what the buckets before contribute
-    is summed over one row per bucket and joined back on the same partitioning.
+    is summed over one row per bucket and joined back on the same partitioning.  Rows with a null
+    key form one log; rows with a null sequence number come before all others of their log.
     """
     counted = F.lit(False) if counted is None else counted
     within = Window.partitionBy(key, "_bucket").orderBy(seq)
@@ -60,7 +61,7 @@ def segment_by_marker(
     seen = F.col("_seen_0") + F.col("_seen")
     # rows in front of the first marker count from the start of the log
     start = F.coalesce(F.col("_seen_0") + F.col("_start"), F.col("_start_0"), F.lit(0))
-    result = local.join(carried, [key, "_bucket"]).withColumn(
+    result = null_safe_join(local, carried, [key, "_bucket"]).withColumn(
         "segment", F.col("_segments_0") + F.col("_segments")
     )
     columns = [*events.columns, "segment"]
@@ -68,14 +69,19 @@ def segment_by_marker(
 
 
 def latest_run(events: DataFrame, key: str, seq: str, marker: Column) -> DataFrame:
-    """Every log from its last marker on (included); the whole log when it has none."""
+    """Every log from its last marker on (included); the whole log when it has none.
+
+    Rows with a null key form one log.  Rows with a null sequence number come before all others:
+    they belong to logs without a marker, or whose markers have no number either.
+    """
     last = events.groupBy(key).agg(
-        F.coalesce(F.max(F.when(marker, F.col(seq))), F.min(seq)).alias("_from"),
+        F.max(F.when(marker, F.col(seq))).alias("_from"),
         F.count("*").alias("_n"),
     )
     hot = hot_keys(last, [key], "_n")
     joined = sliced_join(events, last.select(key, "_from"), [key], hot, (seq,))
-    return joined.where(F.col(seq) >= F.col("_from")).select(*events.columns)
+    kept = F.col("_from").isNull() | (F.col(seq) >= F.col("_from"))
+    return joined.where(kept).select(*events.columns)
 
 
 def guess_series(events: DataFrame, bucket: int = BUCKET) -> DataFrame:

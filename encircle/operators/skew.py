@@ -26,14 +26,20 @@ def hot_keys(counts: DataFrame, keys: list[str], count: str) -> DataFrame:
 def sliced_join(
     many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, spread_by: tuple[str, ...]
 ) -> DataFrame:
-    """Inner equi-join that survives hot keys on the ``many`` side."""
+    """Inner equi-join that survives hot keys on the ``many`` side; null keys are equal."""
     slices = F.coalesce("_slices", F.lit(1))
-    dealt = many.join(F.broadcast(hot), keys, "left").withColumn(
+    dealt = null_safe_join(many, F.broadcast(hot), keys, "left").withColumn(
         "_slice", F.pmod(F.xxhash64(*spread_by), slices).cast("int")
     )
-    repeated = few.join(F.broadcast(hot), keys, "left").withColumn(
+    repeated = null_safe_join(few, F.broadcast(hot), keys, "left").withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), slices - 1))
     )
-    return (
-        dealt.drop("_slices").join(repeated.drop("_slices"), [*keys, "_slice"]).drop("_slice")
-    )
+    joined = null_safe_join(dealt.drop("_slices"), repeated.drop("_slices"), [*keys, "_slice"])
+    return joined.drop("_slice")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns both sides have, where null equals null; each key appears once."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_same_{k}" for k in keys])

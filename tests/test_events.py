@@ -72,6 +72,22 @@ def test_guess_series(spark, bucket):
     assert rows(found, "run_id", "series", "step", "gain", "coverage") == sorted(want)
 
 
+def test_null_keys_and_numbers_keep_their_rows(spark):
+    log = [(1, 5, "b"), (1, None, "a"), (1, 6, "m"), (None, 1, "m"), (None, 2, "b"), (None, None, "b"), (2, None, "b")]
+    frame = spark.createDataFrame(log, "run BIGINT, seq BIGINT, type STRING")
+    marker = F.col("type") == "m"
+    found = events.segment_by_marker(frame, "run", "seq", marker, F.col("type") == "b", bucket=2)
+    got = {(r.run, r.seq): (r.segment, r.position) for r in found.collect()}
+    assert got == {
+        (1, None): (0, 0), (1, 5): (0, 1), (1, 6): (1, 0),
+        (None, None): (0, 1), (None, 1): (1, 0), (None, 2): (1, 1), (2, None): (0, 1),
+    }
+    latest = events.latest_run(frame, "run", "seq", marker).collect()
+    assert {(r.run, r.seq) for r in latest} == {(1, 6), (None, 1), (None, 2), (2, None)}
+    empty = events.segment_by_marker(frame.limit(0), "run", "seq", marker)
+    assert empty.count() == 0
+
+
 def test_latest_run(spark):
     log = [e for e in random_log(3) if e["run_id"] != 2 or e["type"] != "INIT"]
     log += [{"run_id": 9, "seq": s, "type": "STATUS"} for s in range(400)]  # hot, no marker
