@@ -235,12 +235,12 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary:
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns.
 
-    The first pass gives the bands; the second measures again and filters in place, so no text is
-    shuffled.
+    The rows are written once with their measures, which give the bands and are then filtered by
+    them: no text is split into tokens twice, and none is shuffled.
     """
     own = [f"d{i}" for i in range(len(docs.columns))]
     hidden = docs.toDF(*own)
     at = {name: own[docs.columns.index(name)] for name in (text, lang)}
-    measures = measured(hidden, at[text], at[lang], vocabulary)
+    measures = written(measured(hidden, at[text], at[lang], vocabulary), "measures")
     limits = written(bands(measures), "bands")
     return judged(measures, limits).where("kept").select(*own).toDF(*docs.columns)
