@@ -49,6 +49,8 @@ WORD_CACHE = 1 << 18
 #: Members of a list that is joined with itself, and of a block of a longer one.
 SHORT_LIST, BLOCK = 64, 512
 SKETCH = 128
+#: Bits of the table that tells which documents surely stay: the size bound of its broadcast.
+GONE_BITS = 27
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -451,5 +453,31 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule:
         "component_id is not null and not (component_id <=> doc_id)"
     )
     gone = written(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct(), "gone")
-    here = F.col("_gone_id").eqNullSafe(docs[doc_id].cast("bigint")) & (F.col("_gone_text") == F.xxhash64(docs[text]))
-    return docs.join(gone, here, "left_anti")
+    return _without(docs, gone, doc_id, text)
+
+
+def _without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` without the rows of ``gone`` (an id, which may be null, and a text hash).
+
+    A table of 2^GONE_BITS bits, 64 in a row, says which rows are surely not in ``gone``: these
+    stay where they are.  Only the others, which are the ones to go and a few by chance, are
+    shuffled and compared.  The table has 2^(GONE_BITS - 6) rows at most, whatever the input; when
+    it fills, more rows are shuffled and the result stays the same.
+    """
+    own = [f"d{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, own))
+    slot = f"pmod(xxhash64(_gone_id, _gone_text), {1 << GONE_BITS}L)"
+    bit = "shiftleft(1L, cast(_slot & 63 as int))"
+    slots = gone.selectExpr(f"{slot} as _slot")
+    words = written(slots.groupBy(F.expr("_slot >> 6").alias("_word")).agg(F.expr(f"bit_or({bit})").alias("_bits")), "bits")
+    marked = docs.toDF(*own).withColumns(
+        {"_gone_id": F.col(at[doc_id]).cast("bigint"), "_gone_text": F.xxhash64(at[text])}
+    ).withColumn("_slot", F.expr(slot)).withColumn("_word", F.expr("_slot >> 6"))
+    met = marked.join(F.broadcast(words), "_word", "left").withColumn(
+        "_maybe", F.expr(f"coalesce(_bits & {bit}, 0L) <> 0")
+    ).select(*own, "_gone_id", "_gone_text", "_maybe")
+    other = gone.toDF("_id", "_text").hint("merge")  # the same plan at every size
+    same = F.col("_gone_id").eqNullSafe(F.col("_id")) & (F.col("_gone_text") == F.col("_text"))
+    stayed = met.where("not _maybe").select(*own)
+    compared = met.where("_maybe").join(other, same, "left_anti").select(*own)
+    return stayed.unionAll(compared).toDF(*docs.columns)

@@ -93,6 +93,23 @@ def test_keep_one_keeps_columns_and_repeated_rows(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 3, 8, 9]
 
 
+@pytest.mark.parametrize("bits", [6, 27])
+def test_without_is_exact_when_the_bits_are_full(spark, monkeypatch, bits):
+    monkeypatch.setattr(ngram_join, "GONE_BITS", bits)
+    texts = [f"t{i % 300}" if i % 50 else None for i in range(600)]
+    ids = [None if i % 40 == 0 else i for i in range(600)]
+    docs = docs_of(spark, texts, ids).withColumnsRenamed({"size": "_slot", "shard": "d0"})
+    gone = docs.where("_slot = 1 and (doc_id % 3 = 0 or doc_id is null)").select(
+        F.col("doc_id"), F.xxhash64("text")
+    ).distinct()
+    want = [i for i in ids if i is not None and i % 3]
+    kept = ngram_join._without(docs, gone.toDF("_gone_id", "_gone_text"), "doc_id", "text")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    none = ngram_join._without(docs, gone.limit(0).toDF("_gone_id", "_gone_text"), "doc_id", "text")
+    assert none.count() == 600
+
+
 def test_boundary_grows_with_list_length():
     rule = ngram_join.Rule()
     assert 1 <= ngram_join.light_boundary(rule, 2.0) < ngram_join.light_boundary(rule, 10.0)
