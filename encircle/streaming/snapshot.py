@@ -24,14 +24,19 @@ def read_event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1
 
 
 def start_snapshots(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Process what is there, then stop; a restart goes on where the checkpoint ends."""
+    """Process what is there, then stop; a restart goes on where the checkpoint ends.
+
+    ``out`` holds an empty batch from the start, so a stream without events has no snapshots.
+    """
+    snapshots = run_snapshot(events)
+    none = events.sparkSession.createDataFrame([], snapshots.schema)
+    none.write.mode("overwrite").parquet(f"{out}/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
-        run_snapshot(events)
-        .writeStream.outputMode("update")
+        snapshots.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write)

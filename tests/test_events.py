@@ -153,3 +153,10 @@ def test_stream_equals_batch(spark, tmp_path):
         return sorted(map(str, rs.select(*batch.columns).collect()))
 
     assert plain(got) == plain(batch)
+
+
+def test_stream_without_events(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    found = snapshot.stream_snapshot(snapshot.read_event_stream(spark, str(tmp_path / "in")))
+    assert found.columns == events.run_snapshot(run_log(spark, [])).columns
+    assert found.count() == 0
