@@ -76,13 +76,16 @@ def stratified_sample(
     )
 
 
-def display_sample(points: DataFrame, bounds: Bounds) -> DataFrame:
-    """Everything, a uniform or a stratified sample, by the number of points."""
+def display_sample(
+    points: DataFrame, bounds: Bounds, all_up_to: int = SHOW_ALL_UP_TO, uniform_up_to: int = UNIFORM_UP_TO
+) -> DataFrame:
+    """Everything up to ``all_up_to`` points, then that many drawn uniformly up to
+    ``uniform_up_to`` points, beyond that a stratified sample."""
     total = points.count()
-    if total <= SHOW_ALL_UP_TO:
+    if total <= all_up_to:
         return points
-    if total <= UNIFORM_UP_TO:
-        return uniform_sample(points, total=total)
+    if total <= uniform_up_to:
+        return uniform_sample(points, all_up_to, total=total)
     return stratified_sample(points, bounds).select(*points.columns)
 
 

@@ -48,6 +48,10 @@ def test_display_sample_by_size(spark):
     large = sampling.display_sample(scattered(spark, 50_001), BOX)
     assert large.columns == ["point_id", "x", "y"]
     assert large.count() <= 25_000
+    points = scattered(spark, 3_000)
+    assert 800 < sampling.display_sample(points, BOX, all_up_to=1_000).count() < 1_200
+    cells = sampling.display_sample(points, BOX, all_up_to=10, uniform_up_to=20)
+    assert cells.count() == sampling.stratified_sample(points, BOX).count()
 
 
 def test_sampling_info(spark):
