@@ -373,21 +373,22 @@ def _candidates(lists: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 def _links(sets: DataFrame, rule: Rule) -> DataFrame:
     """Links ``a, b`` that connect everything that any links connect.  ``sets``: one row per set."""
     entries = sets.select("rid", "n", "alone", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("_c")).where("_c >= 2").select("key")
-    lists = written(entries.join(shared, "key"), "lists")
     # leaders are central: few of their shingles are in no other document
     rank = F.struct("alone", "rid", "n")
-    leaders = lists.groupBy("key").agg(F.min(rank).alias("lead"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("_c"), F.min(rank).alias("lead")).where("_c >= 2")
+    lists = written(entries.join(shared, "key").select("key", "rid", "n", "lead"), "lists")
     near = (
-        lists.join(leaders, "key")
-        .where(_sizes_fit(rule, F.col("n"), F.col("lead.n")) & (F.col("rid") != F.col("lead.rid")))
+        lists.where(_sizes_fit(rule, F.col("n"), F.col("lead.n")) & (F.col("rid") != F.col("lead.rid")))
         .groupBy("rid").agg(F.min("lead").alias("lead"))
     )
     pairs = near.select(F.least("rid", "lead.rid").alias("a"), F.greatest("rid", "lead.rid").alias("b")).distinct()
     first = written(_checked(pairs, sets, rule, prune=False), "links")
     found = connected_components(first)
-    members = lists.join(found, lists.rid == found.node, "left").select(
-        "key", "rid", "n", F.coalesce("component", "rid").alias("component")
+    members = written(
+        lists.join(found, lists.rid == found.node, "left").select(
+            "key", "rid", "n", F.coalesce("component", "rid").alias("component")
+        ),
+        "members",
     )
     left = _candidates(members, sets, rule)
     return first.union(written(_checked(left, sets, rule, prune=True), "links"))
