@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encircle.llm.components import connected_components
-from encircle.llm.shared import written
+from encircle.llm.shared import in_slices, written
 
 #: The table of shingle levels has 2^SLOT_BITS bytes: the size bound of the one thing broadcast.
 SLOT_BITS = 25
@@ -139,7 +139,7 @@ def _occurrences(k: int, part_bits: int):
 
     def run(batches):
         hashes, held, size = _Hashes(), [], 0
-        for batch in batches:
+        for batch in in_slices(batches):
             for text in batch.column(0).to_pylist():
                 found = shingles(text, k, hashes) >> np.uint64(64 - COUNT_BITS)
                 held.append(found)
@@ -237,7 +237,7 @@ def _described(rule: Rule, boundary: int, levels: Broadcast):
     def run(batches):
         hashes, table = _Hashes(), np.frombuffer(levels.value, np.uint8)
         rid = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for text in batch.column("_text").to_pylist():
                 found = shingles(text, rule.words, hashes)
@@ -295,7 +295,7 @@ def _close_sketches(rule: Rule):
 
 def _linked(rule: Rule):
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             kept = []
             columns = (batch.column(c) for c in ("shingles_a", "shingles_b"))
             for x, y in zip(*columns):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,8 @@ from encircle.session import scratch_path
 #: White space of the word contracts; words are the runs of everything else.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = " \t\n\x0b\x0c\r"
+#: Rows that a task turns into Python objects at a time.
+SLICE = 256
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +47,17 @@ def replacing(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return frame.select(*kept, *[value.alias(name) for name, value in columns.items()])
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows in batches of at most SLICE: what Spark puts into one batch may be large as objects.
+
+    At the end the memory that Arrow has ready for more is given back, since workers are used again.
+    """
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+    pa.default_memory_pool().release_unused()
+
+
 def row_step(
     frame: DataFrame,
     inputs: dict[str, Column],
@@ -72,7 +85,7 @@ def row_step(
 
     def run(batches):
         work = make()
-        for batch in batches:
+        for batch in in_slices(batches):
             given = pa.RecordBatch.from_arrays([batch.column(f"in_{k}") for k in wanted], wanted)
             yield pa.RecordBatch.from_arrays([*(batch.column(o) for o in own), *work(given)], [*own, *made])
 
