@@ -96,13 +96,6 @@ def _normal(text: str, wave: str) -> str:
     )
 
 
-def _cluster(n_clusters: str) -> str:
-    """Cluster of point ``i`` out of ``n``."""
-    base, extra = f"(n // {n_clusters})", f"(n % {n_clusters})"
-    return f"""cast(case when i < {extra} * ({base} + 1) then i // ({base} + 1)
-      else {extra} + (i - {extra} * ({base} + 1)) // greatest({base}, 1) end as int)"""
-
-
 def _placed(axis: str, start: int, wave: str) -> str:
     centre = f"1000.0::double * {_uniform('''concat('centre42:', cluster)''', start)}"
     offset = f"80.0::double * {_normal('''concat('point42:', i)''', wave)}"
@@ -111,8 +104,6 @@ def _placed(axis: str, start: int, wave: str) -> str:
     )
 
 
-_ORDER_IDS = "(select unnest(range((select count(*) from orders))) i)"
-_ORDER_COUNT = "(select count(*) n from orders)"
 
 _CELL_X = "least(cast(trunc(x/cast(20 as double)) as int), 49)"
 _CELL_Y = "least(cast(trunc(y/cast(20 as double)) as int), 49)"
@@ -213,16 +204,18 @@ ORACLE_SQL: dict[str, str] = {
         from ({_CIRCLES})""",
     "gen_points": f"""select i as point_id, cluster, {_placed('x', 1, 'cos')},
         {_placed('y', 14, 'sin')}
-        from (select i, {_cluster('(select count(*) from nation)')} cluster
-              from {_ORDER_IDS}, {_ORDER_COUNT})""",
+        from (select o_orderkey i, cast(c_nationkey as int) cluster
+              from orders join customer on o_custkey = c_custkey)""",
     "gen_circles": f"""select i as circle_id,
         round(1000.0::double * {_uniform("concat('circle43:', i)")}, 6) as cx,
         round(1000.0::double * {_uniform("concat('circle43:', i)", 14)}, 6) as cy,
         round(30.0::double + 70.0::double * {_uniform("concat('radius43:', i)")}, 6) as r
-        from (select unnest(range((select count(*) from part))) i)""",
-    "gen_preset_counts": f"""select preset, cluster, count(*) as points
-        from (select preset, {_cluster('n_clusters')} cluster from {_ORDER_IDS}, {_ORDER_COUNT},
-          (values ('small', 8), ('medium', 20), ('large', 50)) p(preset, n_clusters))
+        from (select p_partkey i from part)""",
+    "gen_preset_counts": f"""select preset, cluster, count(*) as points,
+          count(*) filter (x in (0, 1000) or y in (0, 1000)) as at_border
+        from (select preset, cluster, {_placed('x', 1, 'cos')}, {_placed('y', 14, 'sin')}
+          from (select preset, o_orderkey i, cast(o_custkey % n_clusters as int) cluster from orders,
+            (values ('small', 8), ('medium', 20), ('large', 50)) p(preset, n_clusters)))
         group by preset, cluster""",
     "trace_json": f"""{_GREEDY}, shown as (select count(*) n_shown from ({_DISPLAY})),
         total as (select count(*) n from points),

@@ -42,28 +42,41 @@ def circle_ordinal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gen_points(spark: SparkSession, d: str) -> DataFrame:
-    """As many points as orders, in as many clusters as nations."""
-    n = tables.table(spark, d, "orders").count()
-    clusters = tables.table(spark, d, "nation").count()
-    made = generate.generate_points(spark, n, clusters)
+    """A generated point per order, in the cluster of the customer's nation."""
+    orders = tables.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    customers = tables.table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("point_id"), F.col("c_nationkey").cast("int").alias("cluster")
+    )
+    made = generate.place_points(rows)
     return made.select("point_id", "cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 def gen_circles(spark: SparkSession, d: str) -> DataFrame:
-    """As many circles as parts."""
-    made = generate.generate_circles(spark, tables.table(spark, d, "part").count())
+    """A generated circle per part."""
+    rows = tables.table(spark, d, "part").select(F.col("p_partkey").alias("circle_id"))
+    made = generate.place_circles(rows)
     return made.select("circle_id", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "r")])
 
 
 def gen_preset_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Points per cluster when each preset's number of clusters shares out all orders."""
-    n = tables.table(spark, d, "orders").count()
-    parts = []
-    for name, preset in generate.PRESETS.items():
-        made = generate.generate_points(spark, n, preset.n_clusters)
-        parts.append(made.select(F.lit(name).alias("preset"), "cluster"))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return every.groupBy("preset", "cluster").agg(F.count("*").alias("points"))
+    """A point per order, placed in each preset's number of clusters by customer: points per
+    cluster, and how many of them the box holds back at its border."""
+    presets = F.array(
+        *[F.struct(F.lit(n).alias("preset"), F.lit(p.n_clusters).alias("k")) for n, p in generate.PRESETS.items()]
+    )
+    orders = tables.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.explode(presets).alias("p"))
+    made = generate.place_points(
+        orders.select(
+            F.col("o_orderkey").alias("point_id"),
+            "p.preset",
+            F.pmod(F.col("o_custkey"), F.col("p.k")).cast("int").alias("cluster"),
+        )
+    )
+    at_border = F.round("x", 6).isin(0.0, 1000.0) | F.round("y", 6).isin(0.0, 1000.0)
+    return made.groupBy("preset", "cluster").agg(
+        F.count("*").alias("points"), F.count_if(at_border).alias("at_border")
+    )
 
 
 def trace_json(spark: SparkSession, d: str) -> DataFrame:

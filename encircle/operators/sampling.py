@@ -16,6 +16,9 @@ GRID = 50
 PER_CELL = 10
 SEED = 42
 
+#: Slices of a cell when a large sample of it is cut in two steps.
+SLICES = 256
+
 
 def clamp_points(points: DataFrame, bounds: Bounds) -> DataFrame:
     """Points moved to the nearest place inside the box."""
@@ -62,18 +65,23 @@ def stratified_sample(
 ) -> DataFrame:
     """At most ``per_cell`` points of every cell, in a scrambled order fixed by the id.
 
-    The rank filter is also applied inside each task before the shuffle, so a crowded cell sends
-    at most ``per_cell`` rows per task, however many points it holds.
+    Spark also applies the rank filter inside each task before the shuffle, so a crowded cell sends
+    at most ``per_cell`` rows per task, however many points it holds.  It does so up to a limit of
+    its own (``spark.sql.optimizer.windowGroupLimitThreshold``); beyond it, every cell is first cut
+    slice by slice, so that no task sorts a whole crowded cell.  The sample is the same.
     """
-    order = Window.partitionBy("cell_x", "cell_y").orderBy(
-        sample_order(F.col("point_id")), "point_id"
-    )
-    return (
-        grid_cells(points, bounds, grid)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= per_cell)
-        .drop("rank")
-    )
+    cells = grid_cells(points, bounds, grid)
+    cut_early = int(points.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if per_cell > cut_early:
+        sliced = cells.withColumn("_slice", F.pmod(F.xxhash64("point_id"), F.lit(SLICES)))
+        cells = _first_of(sliced, ["cell_x", "cell_y", "_slice"], per_cell).drop("_slice")
+    return _first_of(cells, ["cell_x", "cell_y"], per_cell)
+
+
+def _first_of(rows: DataFrame, key: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of every key in the scrambled order."""
+    order = Window.partitionBy(*key).orderBy(sample_order(F.col("point_id")), "point_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("rank")
 
 
 def display_sample(

@@ -52,25 +52,33 @@ def generate_points(
     std: float = DEFAULT_STD,
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
-    """Gaussian clusters around uniform centres, clamped to the box."""
+    """Gaussian clusters around uniform centres, clamped to the box; clusters of even size."""
     if n < 0 or clusters < 1:
         raise ValueError("need n >= 0 and at least one cluster")
-    ident = F.col("point_id")
-    cluster = F.col("cluster")
-    centre_u, centre_v = hash_uniform_pair(seed, "centre", cluster)
-    normal_x, normal_y = hash_normal_pair(seed, "point", ident)
-    centre_x = F.lit(bounds.min_x) + F.lit(bounds.max_x - bounds.min_x) * centre_u
-    centre_y = F.lit(bounds.min_y) + F.lit(bounds.max_y - bounds.min_y) * centre_v
-    return (
-        spark.range(n)
-        .select(F.col("id").alias("point_id"))
-        .withColumn("cluster", cluster_of(ident, n, clusters))
-        .select(
-            "point_id",
-            "cluster",
-            clamp(centre_x + F.lit(float(std)) * normal_x, bounds.min_x, bounds.max_x).alias("x"),
-            clamp(centre_y + F.lit(float(std)) * normal_y, bounds.min_y, bounds.max_y).alias("y"),
-        )
+    ids = spark.range(n).select(F.col("id").alias("point_id"))
+    numbered = ids.withColumn("cluster", cluster_of(F.col("point_id"), n, clusters))
+    return place_points(numbered, bounds, std, seed)
+
+
+def place_points(
+    rows: DataFrame, bounds: Bounds = DEFAULT_BOUNDS, std: float = DEFAULT_STD, seed: int = DEFAULT_SEED
+) -> DataFrame:
+    """``rows`` with ``x, y``: Gaussian around the centre of their ``cluster``, fixed by ``point_id``.
+
+    Works row by row.  A null cluster or id has null coordinates.
+    """
+    centre_u, centre_v = hash_uniform_pair(seed, "centre", F.col("cluster"))
+    normal_x, normal_y = hash_normal_pair(seed, "point", F.col("point_id"))
+
+    def coordinate(low: float, high: float, centre: Column, normal: Column) -> Column:
+        place = F.lit(low) + F.lit(high - low) * centre + F.lit(float(std)) * normal
+        return F.when(place.isNotNull(), clamp(place, low, high))
+
+    return rows.withColumns(
+        {
+            "x": coordinate(bounds.min_x, bounds.max_x, centre_u, normal_x),
+            "y": coordinate(bounds.min_y, bounds.max_y, centre_v, normal_y),
+        }
     )
 
 
@@ -82,16 +90,25 @@ def generate_circles(
     seed: int = DEFAULT_SEED + 1,
 ) -> DataFrame:
     """Uniform centres and radii."""
+    return place_circles(spark.range(n).select(F.col("id").alias("circle_id")), bounds, radii, seed)
+
+
+def place_circles(
+    rows: DataFrame,
+    bounds: Bounds = DEFAULT_BOUNDS,
+    radii: tuple[float, float] = DEFAULT_RADII,
+    seed: int = DEFAULT_SEED + 1,
+) -> DataFrame:
+    """``rows`` with ``cx, cy, r``: uniform, fixed by ``circle_id``; null for a null id."""
     ident = F.col("circle_id")
     u, v = hash_uniform_pair(seed, "circle", ident)
     low, high = radii
-    return spark.range(n).select(
-        F.col("id").alias("circle_id")
-    ).select(
-        "circle_id",
-        (F.lit(bounds.min_x) + F.lit(bounds.max_x - bounds.min_x) * u).alias("cx"),
-        (F.lit(bounds.min_y) + F.lit(bounds.max_y - bounds.min_y) * v).alias("cy"),
-        (F.lit(low) + F.lit(high - low) * hash_uniform(seed, "radius", ident)).alias("r"),
+    return rows.withColumns(
+        {
+            "cx": F.lit(bounds.min_x) + F.lit(bounds.max_x - bounds.min_x) * u,
+            "cy": F.lit(bounds.min_y) + F.lit(bounds.max_y - bounds.min_y) * v,
+            "r": F.lit(low) + F.lit(high - low) * hash_uniform(seed, "radius", ident),
+        }
     )
 
 

@@ -34,6 +34,21 @@ def test_stratified_sample_is_bounded_and_repeatable(spark):
     assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString()
 
 
+def test_large_samples_of_a_cell_are_cut_in_slices(spark):
+    points = scattered(spark, 4_000)
+    whole = sampling.stratified_sample(points, BOX, grid=1, per_cell=1_000)
+    limit = "spark.sql.optimizer.windowGroupLimitThreshold"
+    spark.conf.set(limit, "10")
+    try:
+        sliced = sampling.stratified_sample(points, BOX, grid=1, per_cell=1_000)
+        assert "_slice" in sliced._jdf.queryExecution().optimizedPlan().toString()
+        got = rows(sliced)
+    finally:
+        spark.conf.unset(limit)
+    assert got == rows(whole)
+    assert len(got) >= 1_000
+
+
 def test_uniform_sample(spark):
     points = scattered(spark, 20_000)
     found = sampling.uniform_sample(points, max_rows=5_000)
