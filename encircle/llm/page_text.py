@@ -3,10 +3,16 @@
 Pages are range-partitioned by host, path and id, so that neighbours meet in one task whatever the
 size of a host.  Each page becomes text lines (one per block) that know whether they stand inside an
 article and inside something that is never main text (menus, forms, adverts, ...).  It is paired with
-the neighbour of the same host whose path shares the longest beginning (the earlier one in a tie),
-the lines of both are aligned by their longest common subsequence, and shared lines are deleted.
-The page's own article element vouches for its lines: they stay.  Two pages without one that share
-most of their text are copies rather than pages in one frame; their lines stay as well.
+the page of the same host whose path shares the longest beginning (the earlier one in a tie), the
+lines of both are aligned by their longest common subsequence, and shared lines are deleted.  The
+page's own article element vouches for single lines only: a shared line stays if neither line beside
+it is shared.
+
+Two pages that share most of their text may be copies.  A run of such pages looks beyond the run,
+for pages before and after it that it does not share most with.  If its host has no other pages, an
+article stays whole, and pages without one are still compared with the nearest that differs: there
+short pages in one large frame are likelier.  Pages of equal text delete nothing from each other.
+Runs that wait for their end leave memory for a temporary file.
 
 The main text are the lines of the article and main elements if the page has any, else those of the
 body, without what is never main text.  Null pages are empty; a page without text gives the empty
@@ -17,9 +23,12 @@ the page; a cut-off tag is no text.  Repeated rows extract alike.  An empty tabl
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
+import tempfile
 from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import chain
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -28,9 +37,9 @@ from pyspark.sql import functions as F
 
 from encircle.llm.url_filter import url_parts
 
-#: Characters of text after which a task hands over a batch.
+#: Characters of text after which a task hands over a batch, or puts waiting pages into a file.
 BATCH_CHARS = 4 << 20
-#: Pages without an article that share more than this part of their text are copies.
+#: Pages that share more than this part of their text may be copies.
 COPY_SHARE = 0.5
 
 #: HTML elements by what they do to text.
@@ -171,46 +180,132 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
-    """Lines of the article, without those that the neighbour shows as part of the frame."""
+def _body(lines: list[Line]) -> list[int]:
     own = any(line.article and not line.never for line in lines)
-    body = [i for i, line in enumerate(lines) if not line.never and (line.article or not own)]
-    if neighbour and not own:
-        shared = common_lines([line.text for line in lines], [line.text for line in neighbour])
+    return [i for i, line in enumerate(lines) if not line.never and (line.article or not own)]
+
+
+def _shared(lines: list[Line], neighbour: list[Line]) -> set[int]:
+    return common_lines([line.text for line in lines], [line.text for line in neighbour])
+
+
+def may_be_copies(a: list[Line], b: list[Line]) -> bool:
+    """Whether each shows most of its main text in the other; a page without text shows no frame."""
+    for lines, other in ((a, b), (b, a)):
+        body, shared = _body(lines), _shared(lines, other)
         total = sum(len(lines[i].text) for i in body)
-        if sum(len(lines[i].text) for i in body if i in shared) <= COPY_SHARE * total:
-            body = [i for i in body if i not in shared]
+        if total and sum(len(lines[i].text) for i in body if i in shared) <= COPY_SHARE * total:
+            return False
+    return True
+
+
+def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
+    """Lines of the article or body, without those that the neighbour shows as part of the frame."""
+    body = _body(lines)
+    if neighbour:
+        shared = _shared(lines, neighbour)
+        # the article vouches for single lines
+        frame = {i for i in shared if not lines[i].article or i - 1 in shared or i + 1 in shared}
+        if not all(i in shared for i in body):  # else the pages have the same text
+            body = [i for i in body if i not in frame]
     return "\n".join(lines[i].text for i in body)
 
 
+class _Run:
+    """Pages of a host one after the other that may be copies of each other, by equal lines.
+
+    A group is its lines and the ``page_id, url, path`` of its pages.  All but the last go to a
+    file when they hold more than BATCH_CHARS.
+    """
+
+    def __init__(self, host: str | None):
+        self.host, self.last = host, None
+        self.held, self.groups, self.file = 0, [], None
+
+    def add(self, page: tuple, lines: list[Line]) -> None:
+        self.held += len(page[1] or "")
+        if self.last and self.last[0] == lines and self.held <= BATCH_CHARS:
+            self.last[1].append(page)
+            return
+        self.held += sum(len(line.text) for line in lines)
+        if self.last:
+            self.groups.append(self.last)
+        if self.held > BATCH_CHARS:
+            self.file = self.file or tempfile.TemporaryFile()
+            for group in self.groups:
+                pickle.dump(group, self.file)
+            self.held, self.groups = 0, []
+        self.last = (lines, [page])
+
+    def _all(self):
+        if self.file:
+            end = self.file.tell()
+            self.file.seek(0)
+            while self.file.tell() < end:
+                yield pickle.load(self.file)
+            self.file.close()
+        yield from self.groups
+        yield self.last
+
+    def texts(self, earlier: tuple | None, later: tuple | None):
+        """``page_id, url, text, n_chars`` of all pages, with the groups before and after the run."""
+        before = current = None
+        for following in chain(self._all(), [None]):
+            if current and (following is None or following[0] != current[0]):
+                yield from _settled(current, before, earlier, following, later)
+                before = current
+            elif current:  # equal lines that were parted by the limit
+                yield from _settled(current, before, earlier, None, later)
+            current = following
+
+
+def _settled(group, before, earlier, after, later):
+    lines, pages = group
+    # a group before gives its last path, one after its first
+    others = [(g[0], g[1][k][2]) for g, k in ((before, -1), (earlier, -1), (after, 0), (later, 0)) if g]
+    copies = [may_be_copies(lines, other) for other, _ in others]
+    article = any(line.article and not line.never for line in lines)
+    found: dict[int | None, str] = {}
+    for page_id, url, path in pages:
+        near = sorted(range(len(others)), key=lambda k: -len(commonprefix([others[k][1], path])))
+        best = next((k for k in near if not copies[k]), near[0] if near and not article else None)
+        if best not in found:
+            found[best] = main_text(lines, others[best][0] if best is not None else None)
+        yield page_id, url, found[best], len(found[best])
+
+
 def _extracted(batches):
-    """Pages arrive in the order of host, path and id; each waits until the next one is seen."""
-    rows, held = [], 0
-    earlier = current = None  # (page_id, url, host, path, lines)
+    """Pages arrive in the order of host, path and id; a run waits until the next one begins."""
+
+    def rows_of():
+        run, earlier = _Run(None), None
+        for batch in batches:
+            for page_id, url, host, path, source in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = page_lines(source)
+                if not lines:  # shows no frame to others
+                    yield page_id, url, "", 0
+                    continue
+                if run.last and not (run.host == host and (run.last[0] == lines or may_be_copies(run.last[0], lines))):
+                    same = run.host == host
+                    yield from run.texts(earlier, (lines, [(page_id, url, path)]) if same else None)
+                    run, earlier = _Run(host), run.last if same else None
+                run.host = host
+                run.add((page_id, url, path), lines)
+        if run.last:
+            yield from run.texts(earlier, None)
 
     def batch_of(rows):
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
         columns = list(zip(*rows)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "url", "text", "n_chars"])
 
-    def shown(before, page, after):
-        near = [other for other in (before, after) if other and other[2] == page[2]]
-        best = max(near, key=lambda other: len(commonprefix([other[3], page[3]])), default=None)
-        text = main_text(page[4], best[4] if best else None)
-        return page[0], page[1], text, len(text)
-
-    for batch in batches:
-        for page_id, url, host, path, source in zip(*(c.to_pylist() for c in batch.columns)):
-            following = (page_id, url, host, path, page_lines(source))
-            if current:
-                rows.append(shown(earlier, current, following))
-                held += rows[-1][3]
-            earlier, current = current, following
-            if held >= BATCH_CHARS:
-                yield batch_of(rows)
-                rows, held = [], 0
-    if current:
-        rows.append(shown(earlier, current, None))
+    rows, held = [], 0
+    for row in rows_of():
+        rows.append(row)
+        held += row[3] + len(row[1] or "")
+        if held >= BATCH_CHARS:
+            yield batch_of(rows)
+            rows, held = [], 0
     yield batch_of(rows)
 
 

@@ -323,6 +323,33 @@ def test_shared_lines_go_where_no_article_is_marked(spark):
     assert page_text.extract_text(pages.limit(0)).isEmpty()
 
 
+def test_shared_runs_go_inside_an_article():
+    frame = "<article><div class='x1'><p>Home</p><p>Shop</p></div><p>{}</p><p>See also</p><p>{}</p><div>Tell a friend</div><div>Print</div></article>"
+    one, two = [sentence(20), sentence(20)], [sentence(20), sentence(20)]
+    # the article vouches for the single line
+    assert text_of(frame.format(*one), frame.format(*two)) == "\n".join([one[0], "See also", one[1]])
+
+
+def test_copies_look_for_a_page_that_differs(spark, monkeypatch):
+    frame = "<{0}><p>Home</p><p>Shop</p><p>{1}</p><p>{2}</p></{0}>"
+    own, other = [sentence(30), sentence(10)], [sentence(30), sentence(10)]
+    short = "<p>" + "</p><p>".join(["A long notice " * 9, "Second notice " * 9]) + "</p><p>{}</p>"
+    pages = [(i, f"http://h/a/{i}", frame.format("article", *own)) for i in range(3)]
+    pages += [(3, "http://h/a/3", frame.format("article", own[0], "changed")), (4, "http://h/b", frame.format("article", *other)), (5, "http://h/c", None)]
+    pages += [(10 + i, f"http://g/{i}", short.format(f"Own text {i}")) for i in range(3)]
+    pages += [(20 + i, f"http://k/{i}", frame.format("main", own[0], f"end {i}")) for i in range(2)]
+    table = spark.createDataFrame(pages, "page_id BIGINT, url STRING, html STRING").coalesce(1)
+    want = {i: "\n".join(own) for i in range(3)} | {3: own[0] + "\nchanged", 4: "\n".join(other), 5: ""}
+    want |= {10 + i: f"Own text {i}" for i in range(3)}
+    want |= {20 + i: f"Home\nShop\n{own[0]}\nend {i}" for i in range(2)}  # nothing but near copies
+    assert {r.page_id: r.text for r in page_text.extract_text(table).collect()} == want
+    arrow = [(i, u, u.split("/")[2], "/" + u.split("/", 3)[3], h) for i, u, h in sorted(pages, key=lambda p: p[1].split("/")[2:])]
+    batch = page_text.pa.RecordBatch.from_arrays([page_text.pa.array(c) for c in zip(*arrow)], list("iuhps"))
+    monkeypatch.setattr(page_text, "BATCH_CHARS", 30)  # waiting pages go through the file
+    got = [r for b in page_text._extracted([batch]) for r in b.to_pylist()]
+    assert {r["page_id"]: r["text"] for r in got} == want and len(got) == len(pages)
+
+
 def test_common_lines():
     assert page_text.common_lines(list("abcabd"), list("xabdab")) == {0, 1, 3, 4}
     assert page_text.common_lines([], ["a"]) == set()
