@@ -5,19 +5,23 @@ every WINDOW consecutive runs is a fingerprint.  The fingerprints of all templat
 index of (template, position).  A text is fingerprinted the same way; runs with words that no
 template has can never match and count as infinitely large, which only adds fingerprints.  Hits that
 lie near one diagonal are one candidate.  A banded alignment of the template around that diagonal
-(at most BAND words wide to either side, a quarter of the template for short ones) counts the words
-that agree in order, and gives the coverage of the template and the span of words in
-the text.  A shared run of GRAM + WINDOW - 1 words always gives a candidate.
-
-The templates are a parameter, sent to the tasks with the code; texts are read whole, row by row,
-without a shuffle.  Null and empty texts have no matches.  Repeated rows match alike.  Of overlapping
-matches of one template the better one stays, of equal ones the earlier.
+(BAND words wide to either side, a quarter of the template for short ones, a fiftieth for long ones)
+counts the words that agree in order, and gives the coverage of the template and the span of words in
+the text.  A shared run of GRAM + WINDOW - 1 words always gives a candidate for templates of up to
+LONG words; longer ones, which share common phrases with any text, need a hit per HIT_WORDS words.
+
+The templates are short notices, and the standard headers (``-header``) and whole texts (``-full``)
+of the files in ``licenses``, named by SPDX identifier; ``read_templates`` reads other folders.
+They are sent to the tasks with the code; texts are read whole, row by row, without a shuffle.  Null and empty texts have no matches.  Repeated rows match alike.  Of overlapping
+matches of one template the better one stays, of equal ones the earlier.  So does the better one of
+two templates for much the same words, as the headers of the GNU licences are.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +33,11 @@ from encircle.llm.shared import row_step
 
 GRAM, WINDOW = 3, 2
 BAND = 8
+#: Words of a template up to which one hit is enough, and words per hit that longer ones need.
+LONG, HIT_WORDS = 200, 20
 COVERAGE = 0.8
 
-#: Notices of common licences, by SPDX identifier.
+#: Short notices of common licences, by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-2-Clause": (
@@ -49,6 +55,9 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+#: Headers and whole texts, one file per template.
+FOLDER = Path(__file__).parent / "licenses"
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -56,6 +65,25 @@ def _words(text: str | None) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
 
 
+def read_templates(folder: str | Path = FOLDER) -> dict[str, str]:
+    """The texts of the ``.txt`` files in a folder by their names; read on the driver."""
+    return {file.stem: file.read_text("utf-8") for file in sorted(Path(folder).glob("*.txt"))}
+
+
+def _band(words: int) -> int:
+    return max(min(BAND, words // 4), words // 50)
+
+
+def _best_of(found: list[dict]) -> list[dict]:
+    """Without matches that share most of their span with a better one of another template."""
+    kept: list[dict] = []
+    for m in sorted(found, key=lambda m: (-m["coverage"], -m["matched"], m["license"])):
+        common = ((min(m["past"], o["past"]) - max(m["first"], o["first"]), o) for o in kept)
+        if all(2 * c <= max(m["past"] - m["first"], o["past"] - o["first"]) for c, o in common):
+            kept.append(m)
+    return kept
+
+
 def _winnowed(codes: np.ndarray) -> np.ndarray:
     """Places of the fingerprints of a sequence of run codes (below zero: a run that cannot match)."""
     if not len(codes):
@@ -92,6 +120,19 @@ def aligned(template: list[int], text: list[int], start: int, band: int = BAND)
     return words, -first, -last
 
 
+def common_words(template: list[int], text: list[int]) -> int:
+    """Length of the longest common subsequence, which no alignment exceeds; bit-parallel."""
+    masks: dict[int, int] = {}
+    for j, word in enumerate(text):
+        masks[word] = masks.get(word, 0) | 1 << j
+    full = (1 << len(text)) - 1
+    row = full
+    for word in template:
+        met = row & masks.get(word, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(text) - row.bit_count()
+
+
 def _scanner(templates: Mapping[str, str], coverage: float):
     def make():
         names = sorted(templates)
@@ -122,22 +163,31 @@ def _scanner(templates: Mapping[str, str], coverage: float):
             words = _words(text)
             ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
             codes = coded(ids)
-            if not np.isin(codes, wanted).any():
+            if not len(wanted) or not (wanted[np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)] == codes).any():
                 return []
-            starts: dict[int, set[int]] = {}
+            starts: dict[int, dict[int, int]] = {}  # template -> diagonal -> hits
             for place in _winnowed(codes):
                 for t, position in index.get(int(codes[place]), ()):
-                    starts.setdefault(t, set()).add(int(place) - position)
+                    hits = starts.setdefault(t, {})
+                    hits[int(place) - position] = hits.get(int(place) - position, 0) + 1
             plain, found = ids.tolist(), []
             for t, diagonals in sorted(starts.items()):
                 kept: list[tuple] = []
                 last = None
-                for start in sorted(diagonals):
+                size = len(numbered[t])
+                band = _band(size)
+                order = sorted(diagonals)
+                upto = np.cumsum([0, *(diagonals[s] for s in order)])
+                near = upto[np.searchsorted(order, np.add(order, band), "right")] - upto[np.searchsorted(order, np.subtract(order, band))]
+                for start in np.array(order)[near >= (size // HIT_WORDS if size > LONG else 1)].tolist():
                     if last is not None and start - last <= BAND // 2:
                         continue  # the same candidate
                     last = start
-                    common, first, end = aligned(numbered[t], plain, start, min(BAND, len(numbered[t]) // 4))
-                    share = common / len(numbered[t])
+                    around = plain[max(0, start - band) : max(0, start + size + band)]
+                    if common_words(numbered[t], around) / size < coverage:
+                        continue
+                    common, first, end = aligned(numbered[t], plain, start, band)
+                    share = common / size
                     if share >= coverage:
                         kept.append((-share, first, end + 1, common))
                 taken: list[tuple] = []
@@ -147,7 +197,7 @@ def _scanner(templates: Mapping[str, str], coverage: float):
                 found += [
                     {"license": names[t], "coverage": -m[0], "matched": m[3], "first": m[1], "past": m[2]} for m in taken
                 ]
-            return sorted(found, key=lambda m: (m["first"], m["license"]))
+            return sorted(_best_of(found), key=lambda m: (m["first"], m["license"]))
 
         kind = pa.list_(
             pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("first", pa.int32()), ("past", pa.int32())])
@@ -158,10 +208,14 @@ def _scanner(templates: Mapping[str, str], coverage: float):
 
 
 def scan_licenses(
-    docs: DataFrame, text: str = "text", templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE
+    docs: DataFrame, text: str = "text", templates: Mapping[str, str] | None = None, coverage: float = COVERAGE
 ) -> DataFrame:
     """``docs`` with ``matches``: structs of license, coverage, matched words, and the span of words
-    from ``first`` up to ``past``, in the order of the text."""
+    from ``first`` up to ``past``, in the order of the text.
+
+    ``templates``: by name; all that come with the code by default."""
+    if templates is None:
+        templates = TEMPLATES | read_templates()
     match = T.StructType(
         [
             T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()),

@@ -391,6 +391,27 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(docs_of(spark, [])).isEmpty()
 
 
+def test_license_scan_knows_whole_texts(spark, tmp_path):
+    shipped = license_scan.read_templates()
+    names = sorted(shipped)
+    altered = []
+    for name in names:
+        changed = shipped[name].split()
+        for i in range(10, len(changed), 25):
+            changed[i] = "altered"
+        changed[len(changed) // 2 : len(changed) // 2] = ["one", "inserted"]
+        altered.append(sentence(30) + " " + " ".join(changed) + " " + sentence(5))
+    found = license_scan.scan_licenses(docs_of(spark, altered)).collect()
+    best = {r.doc_id: max(r.matches, key=lambda m: m.matched) for r in found}
+    assert [best[i].license for i in range(len(names))] == names
+    assert all(m.coverage >= 0.85 and m.first >= 30 for m in best.values())
+    assert all(sum(m.license.endswith("-header") for m in r.matches) <= 1 for r in found)
+    (tmp_path / "Own-1.0.txt").write_text("Do with this whatever you like but tell us about it")
+    own = license_scan.read_templates(tmp_path)
+    rows = license_scan.scan_licenses(docs_of(spark, ["Well: do with this whatever you like, but tell us about it."]), templates=own)
+    assert [m.license for m in rows.first().matches] == ["Own-1.0"]
+
+
 def test_pipeline_equals_its_operators(spark, tmp_path, texts):
     good = [sentence(60) for _ in range(80)]
     item = " ".join(good[5].split()[10:30])
