@@ -111,6 +111,8 @@ def aligned(template: list[int], text: list[int], start: int, band: int = BAND)
                 options.append((words + 1, first if words else -j, -j))
             left = row[j] = max(options)
         if not row:
+            if start + i < 0:
+                continue  # the text begins inside the template
             break
         lowest = min(row)
         # what was reached before the band moved on stays reachable
@@ -180,8 +182,8 @@ def _scanner(templates: Mapping[str, str], coverage: float):
                 upto = np.cumsum([0, *(diagonals[s] for s in order)])
                 near = upto[np.searchsorted(order, np.add(order, band), "right")] - upto[np.searchsorted(order, np.subtract(order, band))]
                 for start in np.array(order)[near >= (size // HIT_WORDS if size > LONG else 1)].tolist():
-                    if last is not None and start - last <= BAND // 2:
-                        continue  # the same candidate
+                    if last is not None and start - last <= band // 2:
+                        continue  # well inside the band of the one before
                     last = start
                     around = plain[max(0, start - band) : max(0, start + size + band)]
                     if common_words(numbered[t], around) / size < coverage:

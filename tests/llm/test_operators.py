@@ -391,6 +391,15 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(docs_of(spark, [])).isEmpty()
 
 
+def test_license_scan_tries_every_diagonal_outside_the_band(spark):
+    line = license_scan.TEMPLATES["GPL-3.0"]
+    bsd = license_scan.read_templates()["BSD-3-Clause-full"].split()
+    texts = ["This work is licensed. " + line, "Released under the. " + license_scan.TEMPLATES["MIT"], " ".join(bsd[20:])]
+    got = {r.doc_id: [(m.license, m.coverage) for m in r.matches] for r in license_scan.scan_licenses(docs_of(spark, texts)).collect()}
+    assert got[0] == [("GPL-3.0", 1.0)] and got[1] == [("MIT", 1.0)]
+    assert [m[0] for m in got[2]] == ["BSD-3-Clause-full"] and got[2][0][1] > 0.9
+
+
 def test_license_scan_knows_whole_texts(spark, tmp_path):
     shipped = license_scan.read_templates()
     names = sorted(shipped)
