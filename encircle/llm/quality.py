@@ -6,8 +6,10 @@ and the entropy of the tokens.  What is usual depends on language and length, so
 the bands: per language (per script where ``lang`` is no language code) and length class, the
 quartiles of every measure over all documents that pass the base rules.  A document is rejected
 when a measure lies further from the median than ``width`` robust standard deviations and than a
-floor; entropy and byte share have one-sided bands.  A group of fewer than ``least`` documents has
-no bands and rejects nothing.
+floor; entropy and byte share have one-sided bands.  A group of fewer than ``least`` documents is
+judged by the bands of its language or script over all lengths, and where that has fewer as well by
+those of the whole corpus, which has bands whatever its size: every document that passes the base
+rules is judged.
 
 Base rules: fewer than 20 words, or over 30 % of the words in repeated windows of 8 words.
 
@@ -33,7 +35,7 @@ MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: Robust standard deviations, and documents that a group needs to have bands.
+#: Robust standard deviations, and documents that a group needs to have its own bands.
 WIDTH = 8.0
 LEAST = 50
 #: A band is never narrower than this: a share of the median, or a difference.
@@ -178,19 +180,25 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary
     ).drop("_lang")
 
 
+def _without_length(key: str) -> Column:
+    return F.regexp_replace(key, " [0-9]+$", "")
+
+
 def bands(measures: DataFrame, width: float = WIDTH, least: int = LEAST) -> DataFrame:
     """``band_key`` and the limits of every measure, from all documents that pass the base rules.
 
-    Keys are codes of at most three letters or scripts times length classes (below 64), so there
-    are fewer than 1.2 million possible keys, and one per ``least`` documents at most.
+    Keys are codes of at most three letters or scripts, with length classes (below 64) or alone, so
+    there are fewer than 1.2 million possible keys, two per ``least`` documents at most, and the
+    empty one of the whole corpus.
     """
     def quartiles(name: str) -> Column:
         return F.percentile_approx(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(name)
 
     names = ["chars_per_token", "tokens_per_word", "byte_share", "token_entropy"]
-    found = measures.where("not base_failed").groupBy("band_key").agg(
+    keys = F.explode(F.array("band_key", _without_length("band_key"), F.lit("")))
+    found = measures.where("not base_failed").select(keys.alias("band_key"), *names).groupBy("band_key").agg(
         F.count("*").alias("_n"), *map(quartiles, names)
-    ).where(F.col("_n") >= least)
+    ).where((F.col("_n") >= least) | (F.col("band_key") == ""))
 
     def reach(name: str, floor: Column) -> Column:
         return F.greatest((F.col(name)[2] - F.col(name)[0]) / 1.349 * width, floor)
@@ -218,9 +226,15 @@ def judged(measures: DataFrame, limits: DataFrame) -> DataFrame:
         | (F.col("tokens_per_word") < F.col("fertility_low")) | (F.col("tokens_per_word") > F.col("fertility_high"))
         | (F.col("byte_share") > F.col("bytes_high")) | (F.col("token_entropy") < F.col("entropy_low"))
     )
-    joined = measures.join(F.broadcast(limits), "band_key", "left")
+    names = [c for c in limits.columns if c != "band_key"]
+    joined = measures
+    for i, key in enumerate((F.col("band_key"), _without_length("band_key"), F.lit(""))):
+        level = limits.select(F.col("band_key").alias(f"_key{i}"), F.struct(*names).alias(f"_limits{i}"))
+        joined = joined.join(F.broadcast(level), key == F.col(f"_key{i}"), "left").drop(f"_key{i}")
+    held = [f"_limits{i}" for i in range(3)]
+    joined = joined.withColumn("_limits", F.coalesce(*held)).select("*", "_limits.*").drop("_limits", *held)
     kept = ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))
-    return joined.withColumn("kept", kept).drop(*[c for c in limits.columns if c != "band_key"])
+    return joined.withColumn("kept", kept).drop(*names)
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str = VOCABULARY) -> DataFrame:

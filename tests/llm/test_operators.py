@@ -175,6 +175,17 @@ def test_quality_rejects_only_what_lies_outside_the_bands(spark):
     assert quality.quality(docs.limit(0)).isEmpty()
 
 
+def test_small_groups_are_judged_by_their_language_or_the_corpus(spark):
+    # 40 documents of each length class, and one of a rare language
+    good = [sentence(n) for n in (40, 80, 160) for _ in range(40)]
+    junk = [" ".join("&%" + w + "~^" for w in sentence(n).split()) for n in (80, 2000)]
+    rows = [(i, t, "en") for i, t in enumerate(good + junk)] + [(200, junk[0], "fi"), (201, good[0], "fi")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    kept = {r.doc_id for r in quality.quality(docs).where("kept").collect()}
+    assert kept == set(range(120)) | {201}
+    assert {r.doc_id for r in quality.keep_good(docs.where("doc_id < 5")).collect()} == set(range(5))
+
+
 def test_mixture_meets_targets(spark):
     rows = [(i, sentence(RNG.randint(0, 60)), "big" if i % 3 == 0 else [None, "a", "b", "c"][i % 4]) for i in range(600)]
     rows += [(0, rows[0][1], "big"), (None, None, "a"), (None, "x y", None)]
