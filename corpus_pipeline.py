@@ -35,13 +35,13 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, d: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, d: str) -> DataFrame:
-    """Documents as often as the mixture draws them: between 0 and 3 times."""
+    """Documents as often as the mixture draws them (between 0 and 3 times), by shard, each in its order."""
     hidden, own, at = _numbered(docs)
     sized = hidden.withColumns(
         {"size": word_count(at["text"]), "mark": F.xxhash64(F.col(at["doc_id"]).cast("bigint"), at["text"])}
     )
     mixture = mixing.mix(sized, at["source"], "size", "mark")
-    drawn = mixture.select(*own, F.explode("draws"))
+    drawn = mixing.mixed_rows(mixture.select(*own, "draws"))
     return drawn.select(*own).toDF(*docs.columns)
 
 

@@ -42,7 +42,11 @@ def op3_source_mixing(spark: SparkSession, d: str) -> DataFrame:
         word_count("text").alias("size"),
         F.xxhash64("doc_id", "text").alias("mark"),
     )
-    return mixing.mix(docs, "source", "size", "mark").select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, "source", "size", "mark").select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.array_join(F.transform("draws", lambda x: x.shard.cast("string")), ",").alias("draw_shards"),
+        F.array_join(F.transform("draws", lambda x: x.place.cast("string")), ",").alias("draw_places"),
+    )
 
 
 def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:

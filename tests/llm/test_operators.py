@@ -11,6 +11,7 @@ import corpus_pipeline
 from encircle.llm import (
     decontaminate, license_scan, line_chunks, mixing, ngram_join, page_text, quality, sharding, url_filter, warc,
 )
+from encircle.llm.queries import QUERIES
 from encircle.llm.components import connected_components
 from encircle.llm.shared import word_count
 from encircle.session import scratch_path
@@ -221,6 +222,29 @@ def test_mixture_meets_targets(spark):
     assert mixing.mix(sized.limit(0), "source", "size", "mark").isEmpty()
 
 
+def test_mixture_shows_its_shards_and_their_order(spark, tmp_path):
+    docs_of(spark, [sentence(20) for _ in range(60)]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op3_source_mixing"](spark, str(tmp_path)).collect()
+    for r in rows:
+        draws = r.taken // r.size
+        assert len(r.draw_shards.split(",")) == len(r.draw_places.split(",")) == draws if draws else r.draw_shards == ""
+    assert len({s for r in rows for s in r.draw_shards.split(",") if s}) > 1
+    order = {}
+    for r in rows:
+        for s, p in zip(r.draw_shards.split(","), r.draw_places.split(",")):
+            if s:
+                order.setdefault((int(s), int(p) % 64), []).append((int(p), r.doc_id))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    mixed = dict(corpus_pipeline.STAGES)["mixture"](spark, docs, str(tmp_path))
+    parts = mixed.select("doc_id", F.spark_partition_id().alias("part")).collect()
+    assert sorted(r.doc_id for r in parts) == sorted(d for group in order.values() for _, d in group)
+    where = {}
+    for at, r in enumerate(parts):
+        where.setdefault(r.doc_id, []).append(at)
+    one = [[d for _, d in sorted(group) if len(where[d]) == 1] for group in order.values()]
+    assert all(where[a] < where[b] for group in one for a, b in zip(group, group[1:]))
+
+
 def test_split_keeps_quotas(spark):
     quotas = spark.createDataFrame([(i, q) for i, q in enumerate([50, 1, 0, 33, 70])], "ordinal BIGINT, quota INT")
     parts = mixing._split(quotas, 8, 1).toPandas()
