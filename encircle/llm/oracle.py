@@ -152,10 +152,92 @@ FROM page JOIN good USING (host, template) LEFT JOIN fit USING (host, path)
 
 OP1 = _op1()
 
+OP11 = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), label AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           CASE WHEN len(w) < 50 THEN 1 ELSE 0 END
+           + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+           + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+           + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+           + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+    FROM doc LEFT JOIN label USING (doc_id)
+), cell AS (
+    SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM failed GROUP BY ALL
+), letter(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), permutation AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letter a, letter b, letter c, letter d, letter e
+    WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), place AS (
+    SELECT filter_order, step, bits[step] AS bit, list_sum(bits[:step - 1]) AS before
+    FROM permutation, range(1, 6) r(step)
+), figure AS (
+    SELECT part, filter_order, step, bit, coalesce(before, 0)::INTEGER AS before,
+           coalesce(sum(n) FILTER (mask & (coalesce(before, 0)::INTEGER | bit) = 0), 0)::BIGINT AS kept,
+           coalesce(sum(n) FILTER (mask & coalesce(before, 0)::INTEGER = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+           coalesce(sum(n) FILTER (mask & coalesce(before, 0)::INTEGER <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+           coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+           coalesce(sum(good) FILTER (mask & coalesce(before, 0)::INTEGER = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+           coalesce(sum(toxic) FILTER (mask & coalesce(before, 0)::INTEGER = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+    FROM place, cell GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM figure
+"""
+
+OP13 = rf"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), []) AS w
+    FROM documents
+), word AS (
+    SELECT r, lang, source, unnest(w) AS term FROM doc
+), counted AS (
+    SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS d FROM word GROUP BY ALL
+), kept AS (
+    SELECT lang, term, sum(n) AS n FROM counted GROUP BY ALL HAVING sum(d) >= 30
+), language AS (
+    SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+), in_group AS (
+    SELECT lang, source, coalesce(sum(n), 0) AS n
+    FROM (SELECT DISTINCT lang, source FROM doc)
+    LEFT JOIN (SELECT counted.* FROM counted JOIN kept USING (lang, term)) USING (lang, source)
+    GROUP BY ALL
+), share AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS cnt,
+           1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.n + 5 * l.v) AS p,
+           1 + (1000000000::HUGEINT * (k.n + 5)) // (l.n + 5 * l.v) AS q
+    FROM in_group g JOIN language l USING (lang) JOIN kept k USING (lang)
+    LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), apart AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pair AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+    FROM in_group a JOIN in_group b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM (SELECT * FROM pair UNION ALL
+          SELECT lang, source, 'term', term, p - q FROM share WHERE cnt > 0 AND p > q)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": OP1,
     "op2_benchmark_decontamination": OP2,
     "op5_warc": OP5,
     "op7_ngram_jaccard_join": OP7,
     "op9_line_dedup": OP9,
+    "op11_filter_audit": OP11,
+    "op13_source_divergence": OP13,
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encircle.llm import (
-    decontaminate, license_scan, line_chunks, mixing, ngram_join, page_text, quality, sharding, url_filter, warc,
+    decontaminate, divergence, filter_audit, license_scan, line_chunks, mixing, ngram_join, page_text, quality,
+    sharding, simhash_tiles, url_filter, warc,
 )
 from encircle.llm.shared import table, word_count
 from encircle.session import scratch_path
@@ -103,10 +104,27 @@ def op7_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.similar_groups(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, d, "labels").select("doc_id", "quality", "toxic"))
+
+
+def op12_simhash(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return simhash_tiles.near_duplicates(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def op13_source_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return divergence.divergences(table(spark, d, "documents").select("lang", "source", "text"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_benchmark_decontamination, op3_source_mixing, op4_quality_rules, op5_warc,
         op6_license_scans, op7_ngram_jaccard_join, op8_html_extraction, op9_line_dedup, op10_sharding,
+        op11_filter_audit, op12_simhash, op13_source_divergence,
     )
 }
