@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from encircle.operators.skew import hot_keys, null_safe_join, sliced_join
+from encircle.operators.skew import hot_keys, sliced_join
+from encircle.session import cut_lineage
 
 #: Consecutive sequence numbers handled by one task.
 BUCKET = 1_000_000
+#: Buckets whose totals are broadcast (about 100 bytes each); more are shuffled with the log.
+BROADCAST_BUCKETS = 200_000
+_BUCKET_KEY = ["_log", "_no_log", "_bucket"]
 
 RUN_EVENT_SCHEMA = (
     "run_id BIGINT, seq BIGINT, type STRING, message STRING, total_guesses INT, value INT, "
@@ -30,42 +34,73 @@ def segment_by_marker(
     With ``counted``, also append ``position``: how many counted rows the segment holds so far.
 
     One log may hold a large share of all events, so it is cut into buckets of consecutive
-    sequence numbers.  Rows are numbered inside their bucket; what the buckets before contribute
-    is summed over one row per bucket and joined back on the same partitioning.  Rows with a null
-    key form one log; rows with a null sequence number come before all others of their log.
+    sequence numbers, and rows are numbered inside their bucket.  What a log's earlier buckets
+    contribute is known before that: partial sums, which leave every task as one row per bucket,
+    show the logs of several buckets, and a look at these gives what each bucket hands on.  So the
+    log itself is shuffled and sorted once, for the numbering.  Rows with a null key form one log;
+    rows with a null sequence number come before all others of their log.
     """
     counted = F.lit(False) if counted is None else counted
-    within = Window.partitionBy(key, "_bucket").orderBy(seq)
-    local = (
-        events.withColumn("_bucket", F.floor(F.col(seq) / F.lit(bucket)))
-        .withColumn("_marker", F.coalesce(marker, F.lit(False)).cast("bigint"))
-        .withColumn("_counted", F.coalesce(counted, F.lit(False)).cast("bigint"))
-        .withColumn("_segments", F.sum("_marker").over(within))
-        .withColumn("_seen", F.sum("_counted").over(within))
+    flagged = events.withColumns(
+        {
+            "_log": F.coalesce(F.col(key).cast("string"), F.lit("")),
+            "_no_log": F.col(key).isNull(),  # no nulls in what is joined: equal means equal
+            "_bucket": F.coalesce(F.floor(F.col(seq) / F.lit(bucket)), F.lit(-(1 << 63))),
+            "_marker": F.coalesce(marker, F.lit(False)).cast("bigint"),
+            "_counted": F.coalesce(counted, F.lit(False)).cast("bigint"),
+        }
+    )
+    handed = _handed_on(flagged, seq)
+    within = Window.partitionBy(*_BUCKET_KEY).orderBy(seq)
+    numbered = (
+        (flagged if handed is None else flagged.join(handed, _BUCKET_KEY, "left"))
+        .withColumns({"_segments": F.sum("_marker").over(within), "_seen": F.sum("_counted").over(within)})
         .withColumn("_start", F.max(F.when(F.col("_marker") == 1, F.col("_seen"))).over(within))
     )
-    per_bucket = local.groupBy(key, "_bucket").agg(
-        F.max("_segments").alias("_n_segments"),
-        F.max("_seen").alias("_n_seen"),
-        F.max("_start").alias("_last_start"),
+    earlier, open_ = (
+        F.lit(0).cast("bigint") if handed is None else F.coalesce(c, F.lit(0)) for c in ("_earlier", "_open")
     )
-    before = (
-        Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # rows in front of the first marker of their bucket go on counting
+    position = F.coalesce(F.col("_seen") - F.col("_start"), F.col("_seen") + open_)
+    return numbered.select(
+        *events.columns, (F.col("_segments") + earlier).alias("segment"), position.alias("position")
     )
-    carried = (
-        per_bucket.withColumn("_segments_0", F.coalesce(F.sum("_n_segments").over(before), F.lit(0)))
-        .withColumn("_seen_0", F.coalesce(F.sum("_n_seen").over(before), F.lit(0)))
-        .withColumn("_start_0", F.max(F.col("_seen_0") + F.col("_last_start")).over(before))
-        .select(key, "_bucket", "_segments_0", "_seen_0", "_start_0")
+
+
+def _handed_on(flagged: DataFrame, seq: str) -> DataFrame | None:
+    """For every bucket with one before it: the markers ``_earlier`` in its log, and the rows counted
+    since the last of them (``_open``).  None where every log has a single bucket.
+
+    ``flagged`` is read twice, without a shuffle of its rows while the buckets of logs that have
+    several fit a broadcast, whose number is measured.
+    """
+    log = Window.partitionBy("_log", "_no_log")
+    totals = flagged.groupBy(*_BUCKET_KEY).agg(
+        F.sum("_marker").alias("_markers"),
+        F.sum("_counted").alias("_all"),
+        F.max(F.when(F.col("_marker") == 1, F.col(seq))).alias("_last"),
     )
-    seen = F.col("_seen_0") + F.col("_seen")
-    # rows in front of the first marker count from the start of the log
-    start = F.coalesce(F.col("_seen_0") + F.col("_start"), F.col("_start_0"), F.lit(0))
-    result = null_safe_join(local, carried, [key, "_bucket"]).withColumn(
-        "segment", F.col("_segments_0") + F.col("_segments")
+    several = cut_lineage(totals.withColumn("_buckets", F.count("*").over(log)).where("_buckets > 1"))
+    rows = several.count()
+    if not rows:
+        return None
+    small = rows <= BROADCAST_BUCKETS
+    # equal sequence numbers are numbered alike, so only later ones come after the marker
+    marked = several.where("_markers > 0").select(*_BUCKET_KEY, "_last")
+    after = flagged.where("_counted = 1").select(*_BUCKET_KEY, F.col(seq).alias("_seq")).join(
+        F.broadcast(marked) if small else marked, _BUCKET_KEY
     )
-    columns = [*events.columns, "segment"]
-    return result.select(*columns, (seen - start).alias("position"))
+    tails = after.where(F.col("_seq") > F.col("_last")).groupBy(*_BUCKET_KEY).agg(F.count("*").alias("_tail"))
+    upto = log.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    before = log.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    summed = several.join(tails, _BUCKET_KEY, "left").withColumn("_upto", F.sum("_all").over(upto))
+    at_marker = F.when(F.col("_markers") > 0, F.col("_upto") - F.coalesce("_tail", F.lit(0)))
+    handed = summed.withColumn("_marked", at_marker).select(
+        *_BUCKET_KEY,
+        F.sum("_markers").over(before).alias("_earlier"),
+        (F.max("_upto").over(before) - F.coalesce(F.max("_marked").over(before), F.lit(0))).alias("_open"),
+    ).where("_earlier is not null")
+    return F.broadcast(handed) if small else handed
 
 
 def latest_run(events: DataFrame, key: str, seq: str, marker: Column) -> DataFrame:

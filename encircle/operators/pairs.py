@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,11 @@ from encircle.operators.grid import (
     point_key,
     split_circles,
     split_depth,
+    tasks_for,
+    weighted,
 )
 from encircle.operators.skew import hot_keys, sliced_join
-from encircle.session import shuffle_partitions
+from encircle.session import cut_lineage
 
 
 def hits(
@@ -37,8 +41,10 @@ def coverage_pairs(
 ) -> DataFrame:
     """``point_id, circle_id`` for every point inside a circle."""
     grid = circle_grid(circles)
-    if grid.is_dense:
-        points = points.repartition(shuffle_partitions(points), "point_id")
+    if grid.is_dense and grid.fits_broadcast(broadcast_rows):
+        grid, count = weighted(points, grid)
+        if grid.is_dense:
+            points = points.repartition(tasks_for(count * grid.candidates_per_point, points), "point_id")
     return hits(points, grid, broadcast_rows=broadcast_rows).select("point_id", "circle_id")
 
 
@@ -51,10 +57,41 @@ def positions(points: DataFrame) -> DataFrame:
     return points.groupBy("x", "y").agg(F.count("*").alias("w"))
 
 
-def _spread_positions(points: DataFrame) -> DataFrame:
+def _spread_positions(points: DataFrame, tests: float) -> DataFrame:
     # Adaptive execution sizes partitions by bytes and would leave many tests to few tasks.  The
     # hash keeps this from being folded into the shuffle of the merge, which it may shrink.
-    return positions(points).repartition(shuffle_partitions(points), F.xxhash64("x", "y"))
+    return positions(points).repartition(tasks_for(tests, points), F.xxhash64("x", "y"))
+
+
+@dataclass(frozen=True)
+class Meeting:
+    """How points and circles meet: the circles' grid with its measured density, and the points."""
+
+    grid: CircleGrid
+    points: int  #: 0 where there are too few circles for it to matter
+
+    @property
+    def tests(self) -> float:
+        return self.points * self.grid.candidates_per_point
+
+    @property
+    def depth(self) -> int:
+        return split_depth(self.points, self.grid) if self.grid.is_very_dense else 0
+
+    def of_some(self, circles: DataFrame) -> Meeting:
+        """What to expect of the same points and some of the circles, without another look at the points."""
+        grid = circle_grid(circles)
+        share = grid.circles / max(1, self.grid.circles)
+        expected = min(float(grid.circles), self.grid.candidates_per_point * share)
+        return Meeting(replace(grid, candidates_per_point=expected), self.points)
+
+
+def meeting(points: DataFrame, circles: DataFrame) -> Meeting:
+    """Measure how points and circles meet; one pass over the points unless there are few circles."""
+    grid, count = circle_grid(circles), 0
+    if grid.is_dense:
+        grid, count = weighted(points, grid)
+    return Meeting(grid, count)
 
 
 def count_by_circle(
@@ -63,6 +100,7 @@ def count_by_circle(
     name: str,
     broadcast_rows: int = BROADCAST_ROWS,
     depth: int | None = None,
+    met: Meeting | None = None,
 ) -> DataFrame:
     """Circle columns plus the number of points inside, zeros included.
 
@@ -70,43 +108,73 @@ def count_by_circle(
     Where points meet very many circles, cells inside a circle are counted as a whole and only
     points in the cells on its rim are tested; ``depth`` overrules how fine those cells are.
     """
-    grid = circle_grid(circles)
-    if depth is None:
-        # counting the points costs far less than what it may save only where tests abound
-        depth = split_depth(points.count(), grid) if grid.is_very_dense else 0
+    met = met or meeting(points, circles)
     if "w" not in points.columns:
-        points = _spread_positions(points) if grid.is_dense else points.withColumn("w", F.lit(1))
-    points = points.select("x", "y", "w")
-    if depth > 0:
-        parts = _counts_by_cells(points, split_circles(circles, depth), broadcast_rows)
-    else:
-        parts = _counts_by_tests(points, grid, broadcast_rows)
-    # partial sums leave each task with one row per circle, whatever the number of points
-    counted = parts.groupBy("circle_id").agg(F.sum("_n").alias("_n"))
+        points = _spread_positions(points, met.tests) if met.grid.is_dense else points.withColumn("w", F.lit(1))
+    depth = met.depth if depth is None else depth
+    counted = _counts(points.select("x", "y", "w"), circles, met.grid, depth, (), broadcast_rows)
     return circles.join(counted, "circle_id", "left").select(
         *circles.columns, F.coalesce("_n", F.lit(0)).alias(name)
     )
 
 
-def _counts_by_tests(points: DataFrame, grid: CircleGrid, broadcast_rows: int) -> DataFrame:
+def count_by_circle_and(
+    by: tuple[str, ...],
+    points: DataFrame,
+    circles: DataFrame,
+    name: str,
+    broadcast_rows: int = BROADCAST_ROWS,
+    depth: int | None = None,
+    met: Meeting | None = None,
+) -> DataFrame:
+    """``circle_id``, the columns ``by`` of the points and their number, where there are any.
+
+    ``points`` has ``x, y, w`` and ``by``.  Where they meet very many circles, they are counted per
+    cell and value of ``by``; cells inside a circle are joined by these totals, whatever the number
+    of points in them, and only the points in the cells on its rim are tested.
+    """
+    met = met or meeting(points, circles)
+    points = points.select("x", "y", "w", *by)
+    depth = met.depth if depth is None else depth
+    if depth > 0:
+        points = cut_lineage(points)  # used twice
+    return _counts(points, circles, met.grid, depth, by, broadcast_rows).withColumnRenamed("_n", name)
+
+
+def _counts(
+    points: DataFrame, circles: DataFrame, grid: CircleGrid, depth: int, by: tuple[str, ...], broadcast_rows: int
+) -> DataFrame:
+    if depth > 0:
+        parts = _counts_by_cells(points, split_circles(circles, depth), by, broadcast_rows)
+    else:
+        parts = _counts_by_tests(points, grid, by, broadcast_rows)
+    # partial sums leave each task with one row per circle (and group), whatever the number of points
+    return parts.groupBy("circle_id", *by).agg(F.sum("_n").alias("_n"))
+
+
+def _counts_by_tests(
+    points: DataFrame, grid: CircleGrid, by: tuple[str, ...], broadcast_rows: int
+) -> DataFrame:
     return hits(points, grid, ("x", "y"), broadcast_rows).select(
-        "circle_id", F.col("w").cast("bigint").alias("_n")
+        "circle_id", *by, F.col("w").cast("bigint").alias("_n")
     )
 
 
-def _counts_by_cells(points: DataFrame, split: SplitCircles, broadcast_rows: int) -> DataFrame:
-    on_rim = _counts_by_tests(points, split.rim, broadcast_rows)
+def _counts_by_cells(
+    points: DataFrame, split: SplitCircles, by: tuple[str, ...], broadcast_rows: int
+) -> DataFrame:
+    on_rim = _counts_by_tests(points, split.rim, by, broadcast_rows)
     if not split.whole_rows:
         return on_rim
     cell = ["_e", "_gx", "_gy"]
-    totals = cell_totals(points, split.whole_exponents)
+    totals = cell_totals(points, split.whole_exponents, by)
     whole = split.whole.select("circle_id", *cell)
     if split.whole_rows <= broadcast_rows:
         inside = totals.join(F.broadcast(whole), cell)
     else:
         hot = hot_keys(whole.groupBy(*cell).agg(F.count("*").alias("_c")), cell, "_c")
         inside = sliced_join(whole, totals, cell, hot, ("circle_id",))
-    return on_rim.unionByName(inside.select("circle_id", "_n"))
+    return on_rim.unionByName(inside.select("circle_id", *by, "_n"))
 
 
 def _with_near(
@@ -170,15 +238,20 @@ def uncovered_points(
 
 
 def _split(points: DataFrame, grid: CircleGrid, covered: bool) -> DataFrame:
-    """Covered or uncovered points, found where they are: no shuffle of the points."""
-    placed, near = _with_near(points, grid, [])
-    inside = F.lit(False)
-    for column in near:
-        found = F.exists(
-            column, lambda c: in_disc(F.col("x"), F.col("y"), c["cx"], c["cy"], c["r"])
-        )
-        inside = inside | F.coalesce(found, F.lit(False))
-    return placed.where(inside if covered else ~inside).select(*points.columns)
+    """Covered or uncovered points, found where they are: no shuffle of the points.
+
+    One existence test per grid: a lookup of the point's cell in the broadcast circles, with the
+    disc test as a condition of the join, in generated code.  It ends at the first circle found.
+    """
+    keys = {f"_cell{i}": point_key(F.lit(e)) for i, e in enumerate(grid.exponents)}
+    # renamed: no column of the points can be taken for one of the circles
+    circles = grid.cells.select("cell", "cx", "cy", "r").toDF("_at", "_cx", "_cy", "_r")
+    inside = in_disc(F.col("x").outer(), F.col("y").outer(), F.col("_cx"), F.col("_cy"), F.col("_r"))
+    found = F.lit(False)
+    for key in keys:
+        held = circles.where((F.col("_at") == F.col(key).outer()) & inside)
+        found = found | F.broadcast(held).exists()
+    return points.withColumns(keys).where(found if covered else ~found).select(*points.columns)
 
 
 def _covered_ids(points: DataFrame, grid: CircleGrid, broadcast_rows: int) -> DataFrame:

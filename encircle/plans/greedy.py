@@ -30,7 +30,9 @@ from pyspark.storagelevel import StorageLevel
 
 from encircle.functions.numbers import check_parameters, guess_count, percentage
 from encircle.operators.grid import BROADCAST_ROWS, CELLS_PER_CIRCLE, circle_grid
-from encircle.operators.pairs import count_by_circle, hits, positions, with_circles_at
+from encircle.operators.pairs import (
+    Meeting, count_by_circle, count_by_circle_and, meeting, positions, with_circles_at,
+)
 from encircle.session import cut_lineage, local_frame
 
 #: Candidates per guess settled in one round.
@@ -105,10 +107,11 @@ def run_cover(
     placed = positions(points).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         candidates = circles.select("circle_id", "cx", "cy", "r")
-        gains = cut_lineage(count_by_circle(placed, candidates, "gain", broadcast_rows))
+        met = meeting(placed, candidates)
+        gains = cut_lineage(count_by_circle(placed, candidates, "gain", broadcast_rows, met=met))
         best = gains.agg(F.max("gain")).first()[0] or 0
         guesses = [_Guess(j, tau) for j, tau in ladder(best, k, epsilon)] if best > 0 else []
-        _run(spark, placed, gains, guesses, k, window, broadcast_rows)
+        _run(spark, placed, met, gains, guesses, k, window, broadcast_rows)
         total_points = placed.agg(F.sum("w")).first()[0] or 0
     finally:
         placed.unpersist()
@@ -140,9 +143,10 @@ def greedy_threshold(
     placed = positions(points).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         candidates = circles.select("circle_id", "cx", "cy", "r")
-        gains = cut_lineage(count_by_circle(placed, candidates, "gain", broadcast_rows))
+        met = meeting(placed, candidates)
+        gains = cut_lineage(count_by_circle(placed, candidates, "gain", broadcast_rows, met=met))
         guess = _Guess(0, float(threshold))
-        _run(spark, placed, gains, [guess], k, window, broadcast_rows)
+        _run(spark, placed, met, gains, [guess], k, window, broadcast_rows)
     finally:
         placed.unpersist()
     return _trace(spark, [guess])
@@ -207,6 +211,7 @@ def running_coverage(trace: DataFrame, keys: tuple[str, ...] = ("guess_j",)) ->
 def _run(
     spark: SparkSession,
     placed: DataFrame,
+    met: Meeting,
     gains: DataFrame,
     guesses: list[_Guess],
     k: int,
@@ -222,12 +227,13 @@ def _run(
     size = max(1, min(TOGETHER, fitting))
     for start in range(0, len(guesses), size):
         batch = guesses[start : start + size]
-        _run_together(spark, placed, gains, batch, k, window, broadcast_rows)
+        _run_together(spark, placed, met, gains, batch, k, window, broadcast_rows)
 
 
 def _run_together(
     spark: SparkSession,
     placed: DataFrame,
+    met: Meeting,
     gains: DataFrame,
     guesses: list[_Guess],
     k: int,
@@ -262,7 +268,7 @@ def _run_together(
         last = {bit: windows[bit][-1][0] for bit in active}
         behind = _behind(alive, last)
         before = {bit: before[bit] for bit in active}
-        alive = cut_lineage(_reduce_gains(spark, placed, behind, new, before, broadcast_rows))
+        alive = cut_lineage(_reduce_gains(spark, placed, met, behind, new, before, broadcast_rows))
 
 
 def _next_windows(alive: DataFrame, window: int) -> dict[int, list[tuple]]:
@@ -372,6 +378,7 @@ def _behind(alive: DataFrame, last: dict[int, int]) -> DataFrame:
 def _reduce_gains(
     spark: SparkSession,
     placed: DataFrame,
+    met: Meeting,
     behind: DataFrame,
     new: dict[int, list[tuple]],
     before: dict[int, list[tuple]],
@@ -380,11 +387,9 @@ def _reduce_gains(
     """Candidates that still reach their threshold, with their new gain."""
     around = with_circles_at(placed, circle_grid(_in_use(spark, new, before)), ["first", "second"])
     lost = around.select("x", "y", "w", _first_only().alias("lost_to")).where("lost_to <> 0")
-    candidates = circle_grid(behind.select("circle_id", "cx", "cy", "r").distinct())
+    candidates = behind.select("circle_id", "cx", "cy", "r").distinct()
     losses = (
-        hits(lost, candidates, ("x", "y"), broadcast_rows)
-        .groupBy("circle_id", "lost_to")
-        .agg(F.sum("w").alias("n"))
+        count_by_circle_and(("lost_to",), lost, candidates, "n", broadcast_rows, met=met.of_some(candidates))
         .withColumn("bit", F.explode(_bits(F.col("lost_to"))))
         .groupBy("circle_id", "bit")
         .agg(F.sum("n").alias("loss"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encircle.functions.geometry import is_finite
-from encircle.session import cut_lineage
+from encircle.session import cut_lineage, shuffle_partitions
+
+#: Equal rows that one task numbers.
+SLICE = 1 << 14
 
 
 def points_from(
@@ -37,13 +40,14 @@ def with_ordinal(frame: DataFrame, order_by: list[str], name: str = "circle_id")
 
     A global window would pull every row into one task.  Here the rows are range-partitioned and
     sorted, numbered inside their partition, and shifted by the number of rows in the partitions
-    before; only those counts (one row per partition) meet in one place.  Rows that tie on all
-    columns are ordered by a hash of the row.
+    before; only those counts (one row per partition) meet in one place.  Rows that tie on the
+    given columns are ordered by a hash of the row.  Equal rows are numbered first, so that ranges
+    may cut between them: no task gets all copies of a row that makes up much of the table.
     """
-    order = [F.col(c) for c in order_by] + [F.xxhash64(*frame.columns)]
+    order = [F.col(c) for c in order_by] + [F.xxhash64(*frame.columns), F.col("_copy")]
     local = F.monotonically_increasing_id()  # partition number << 33 | position
     numbered = cut_lineage(
-        frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_local", local)
+        _copies(frame).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_local", local)
     )
     part = F.shiftright("_local", 33).alias("_part")
     sizes = numbered.groupBy(part).agg(F.count("*").alias("_size"))
@@ -57,3 +61,23 @@ def with_ordinal(frame: DataFrame, order_by: list[str], name: str = "circle_id")
         .join(F.broadcast(offsets), "_part")  # one row per partition
         .select((F.col("_offset") + position).alias(name), *frame.columns)
     )
+
+
+def _copies(frame: DataFrame) -> DataFrame:
+    """The rows with ``_copy``, which tells equal rows apart whatever partition they come from.
+
+    Copies are counted before they are shuffled and written out again slice by slice.
+    """
+    counted = frame.groupBy(*frame.columns).agg(F.count("*").alias("_n"))
+
+    def numbers(first: Column, past: Column) -> Column:
+        return F.explode(F.sequence(first, past - 1)).alias("_copy")
+
+    few = counted.where(F.col("_n") <= SLICE).select(*frame.columns, numbers(F.lit(0).cast("bigint"), F.col("_n")))
+    slices = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_n - 1) div {SLICE}")))
+    many = counted.where(F.col("_n") > SLICE).select(*frame.columns, "_n", slices.alias("_slice"))
+    start = F.col("_slice") * SLICE
+    dealt = many.repartition(shuffle_partitions(frame), F.xxhash64(*frame.columns, "_slice")).select(
+        *frame.columns, numbers(start, F.least(start + SLICE, F.col("_n")))
+    )
+    return few.unionAll(dealt)

@@ -39,8 +39,9 @@ def random_log(seed, runs=4, length=120):
     return entries
 
 
-@pytest.mark.parametrize("bucket", [3, 17, 10**6])
-def test_segments_in_buckets(spark, bucket):
+@pytest.mark.parametrize("bucket, limit", [(3, 10**5), (3, 0), (17, 10**5), (10**6, 10**5)])
+def test_segments_in_buckets(spark, monkeypatch, bucket, limit):
+    monkeypatch.setattr(events, "BROADCAST_BUCKETS", limit)
     log = random_log(1)
     marker, counted = F.col("type") == "INIT", F.col("type") == "CIRCLE_ADDED"
     found = events.segment_by_marker(run_log(spark, log), "run_id", "seq", marker, counted, bucket)
@@ -55,6 +56,29 @@ def test_segments_in_buckets(spark, bucket):
     assert rows(found, "run_id", "seq", "segment", "position") == sorted(want)
 
 
+def exchanges_of_rows(frame):
+    """Shuffles of the log's own rows; those of one row per bucket leave partial sums."""
+    plan = frame._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [
+        line for line, below in zip(plan, plan[1:])
+        if "Exchange hashpartitioning" in line and "functions=" not in below
+    ]
+
+
+@pytest.mark.parametrize("bucket, limit", [(5, 10**5), (5, 0), (10**6, 10**5)])
+def test_the_log_is_shuffled_once(spark, monkeypatch, tmp_path, bucket, limit):
+    monkeypatch.setattr(events, "BROADCAST_BUCKETS", limit)
+    run_log(spark, random_log(1)).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    starts = F.col("type") == "INIT"
+    found = events.segment_by_marker(log, "run_id", "seq", starts, F.col("type") == "CIRCLE_ADDED", bucket)
+    wide = [line for line in exchanges_of_rows(found) if "_bucket" in line and "_log" in line]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the log's scan with all its columns appears once, below one exchange
+    assert sum("message" in line for line in plan.splitlines() if "FileScan" in line) == 1
+    assert wide
+
+
 @pytest.mark.parametrize("bucket", [5, 10**6])
 def test_guess_series(spark, bucket):
     log = random_log(2)

@@ -6,6 +6,7 @@ import pytest
 from frames import circles_frame, points_frame, rows
 
 from encircle.functions.numbers import guess_count
+from encircle.operators import pairs
 from encircle.plans import greedy
 
 
@@ -39,6 +40,22 @@ def test_trace_equals_rescanning(spark, seed):
     assert len(picked) <= k
 
 
+@pytest.mark.parametrize("limit", [0, 10**6], ids=["shuffled", "broadcast"])
+def test_rounds_with_cell_totals(spark, monkeypatch, limit):
+    """Several rounds whose losses are counted by cell and set of guesses."""
+    points, circles = instance(21, n=150, m=30)
+    p, c = points_frame(spark, points), circles_frame(spark, circles)
+    passes = []
+    counted = pairs.count_by_circle_and
+    monkeypatch.setattr(
+        greedy, "count_by_circle_and",
+        lambda *a, **k: passes.append(a[0]) or counted(*a, **(k | {"depth": 2})),
+    )
+    run = greedy.run_cover(p, c, 6, 0.5, window=3, broadcast_rows=limit)
+    assert rows(run.trace, *COLUMNS) == brute.trace(points, circles, 6, 0.5)
+    assert len(passes) >= 2 and set(passes) == {("lost_to",)}
+
+
 def test_batches_of_guesses_do_not_change_the_trace(spark, monkeypatch):
     points, circles = instance(7)
     p, c = points_frame(spark, points), circles_frame(spark, circles)

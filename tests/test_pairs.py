@@ -4,8 +4,11 @@ import brute
 import pytest
 from frames import circles_frame, points_frame, rows
 
+from pyspark.sql import functions as F
+
 from encircle.operators import gains, pairs
-from encircle.operators.grid import CircleGrid, circle_grid, split_depth
+from encircle.operators.grid import Census, CircleGrid, candidate_join, circle_grid, lifted_levels, split_circles, split_depth, weighted, with_cells
+from encircle.operators.skew import HOT_SHARE, _slices, hot_products
 
 
 def cloud(seed, n, m, hot=False):
@@ -146,3 +149,115 @@ def test_plans(spark):
     # small circle sides: the points are filtered where they are
     scanned = pairs.uncovered_points(p, c)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in scanned and "ShuffledHashJoin" not in scanned
+
+
+def test_existence_tests_are_joins(spark):
+    points, _ = cloud(6, 80, 1)
+    circles = [(i % 50, i // 50 * 9, 1.5) for i in range(300)] + [(0, 0, 90), (30, 0, 100)]
+    p, c = points_frame(spark, points), circles_frame(spark, circles)
+    assert {r[0] for r in rows(pairs.covered_points(p, c))} == brute.cover(points, circles)
+    for found, kind in ((pairs.covered_points(p, c), "ExistenceJoin"), (pairs.uncovered_points(p, c), "LeftAnti")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert kind in plan and "lambda" not in plan and "collect_list" not in plan
+    one = pairs.covered_points(p, circles_frame(spark, [(0, 0, 3)]))
+    assert "LeftSemi" in one._jdf.queryExecution().executedPlan().toString()
+
+
+STACKED = 20_000
+
+
+def stacked(spark, n):
+    """Very many circles and points on one spot, all points in one partition, among quiet ones."""
+    spot = spark.range(STACKED).selectExpr("id circle_id", "100.5D cx", "100.5D cy", "1D + id % 7 / 100 r")
+    quiet = spark.range(3000).selectExpr("id + 1000000 circle_id", "id * 40D cx", "id * 3D cy", "1D r")
+    there = spark.range(n).selectExpr("id point_id", "100.5D + id % 5 / 1000 x", "100.5D y")
+    apart = spark.range(n).selectExpr("id + 1000000 point_id", "id * 40D x", "id * 3D y")
+    return there.union(apart).coalesce(1), spot.union(quiet)
+
+
+@pytest.mark.parametrize("limit", [0, 10**7], ids=["shuffled", "broadcast"])
+def test_stacked_circles_are_spread_over_all_tasks(spark, limit):
+    points, circles = stacked(spark, 400)
+    found = pairs.coverage_pairs(points, circles, limit)
+    per_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(per_task) >= tasks
+    assert sum(per_task) == 400 * STACKED + 400
+    assert max(per_task) < 2 * sum(per_task) / len(per_task)
+
+
+def test_hot_products_cover_the_work(spark):
+    left = spark.createDataFrame([(1, 1000), (2, 3), (3, 5000), (4, 1)], "cell LONG, _n LONG")
+    right = spark.createDataFrame([(1, 2000), (2, 3), (4, 30), (5, 8)], "cell LONG, _m LONG")
+    hot, tests = hot_products(left, right, "cell")
+    found = {r[0]: r[1:] for r in hot.collect()}
+    assert tests == 1000 * 2000 + 9 + 30
+    assert set(found) == {1, 3} and found[3][1] == 1  # key 3 costs its rows only
+    across, down = found[1]
+    assert HOT_SHARE * 0.8 <= across * down <= HOT_SHARE * 1.2 and across < down
+    for n, m, wanted in ((1, 10**6, 200), (10**6, 1, 200), (10**6, 0, 9), (50, 50, 256), (3, 2, 100)):
+        a, b = _slices(n, m, wanted)
+        assert 1 <= a <= max(1, n) and 1 <= b <= max(1, m) and a * b <= 2 * wanted
+
+
+def test_density_is_weighted_by_points(spark):
+    points, circles = stacked(spark, 2000)
+    grid = circle_grid(circles)
+    seen, count = weighted(points, grid)
+    exact = with_cells(points, grid.exponents).join(grid.cells, "cell").count()
+    assert count == 4000 and seen.is_very_dense
+    assert seen.candidates_per_point == pytest.approx(exact / 4000, rel=0.02)
+    alone, count = weighted(points.where("point_id >= 1000000"), grid)
+    assert count == 2000 and not alone.is_dense
+    assert weighted(points.limit(0), grid) == (grid, 0)
+
+
+@pytest.mark.parametrize("limit", [0, 10**6], ids=["shuffled", "broadcast"])
+@pytest.mark.parametrize("depth", [None, 0, 1, 3])
+def test_counts_by_circle_and_mask(spark, limit, depth):
+    points, circles = cloud(8, 200, 40, hot=True)
+    masked = [(x, y, 1 + i % 3, (None, 5, 2**40, -1)[i % 4]) for i, (x, y) in enumerate(points)]
+    p = spark.createDataFrame([(float(x), float(y), w, m) for x, y, w, m in masked], "x DOUBLE, y DOUBLE, w INT, mask LONG")
+    found = pairs.count_by_circle_and(("mask",), p, circles_frame(spark, circles), "n", limit, depth)
+    want = {}
+    for i, circle in enumerate(circles):
+        for x, y, w, mask in masked:
+            if brute.inside((x, y), circle):
+                want[i, mask] = want.get((i, mask), 0) + w
+    assert {(r.circle_id, r.mask): r.n for r in found.collect()} == want
+
+
+def test_disc_tests_fall_with_depth(spark):
+    """The mask totals leave the points on the rims alone to be tested."""
+    p = spark.range(20_000).selectExpr("id point_id", "id % 141 * 1D x", "id div 141 * 1D y")
+    c = spark.range(60).selectExpr("id circle_id", "20D + id x", "70D - id / 2 y", "30D + id % 11 r").toDF("circle_id", "cx", "cy", "r")
+    tests = [candidate_join(p, circle_grid(c), ("point_id",)).count()]
+    for depth in (1, 2, 3, 4):
+        tests.append(candidate_join(p, split_circles(c, depth).rim, ("point_id",)).count())
+    assert tests == sorted(tests, reverse=True) and tests[-1] < tests[0] / 5
+
+
+def test_sparse_grids_are_lifted(spark):
+    """30 sizes of circles on few grids, whatever their number on each where lookups pay."""
+    rng = random.Random(5)
+    circles = [(rng.uniform(0, 1000), rng.uniform(0, 1000), 2.0**e * 1.3) for e in range(-10, 20) for _ in range(2)]
+    points = [(rng.uniform(-50, 1050), rng.uniform(-50, 1050)) for _ in range(300)]
+    p, c = points_frame(spark, points), circles_frame(spark, circles)
+    grid = circle_grid(c)
+    assert len(grid.exponents) <= 3
+    assert with_cells(p, grid.exponents).count() <= 3 * 300
+    want = expected_pairs(points, circles)
+    for limit in (0, 10**6):
+        assert rows(pairs.coverage_pairs(p, c, limit)) == want
+    assert {r[0] for r in rows(pairs.covered_points(p, c.where("r < 50")))} == brute.cover(points, [x for x in circles if x[2] < 50])
+
+
+def test_levels_follow_the_cost():
+    sparse = Census({e: 1 for e in range(30)}, 1e6)
+    assert lifted_levels(sparse) == [29]
+    assert lifted_levels(Census(dict.fromkeys((0, 5, 10), 10**6), 2.0**30)) == [0, 5, 10]
+    assert lifted_levels(Census(dict.fromkeys((0, 5, 10), 10**6), 2.0**80)) == [10]  # rarely met
+    # a few small circles are lifted to the crowded grid, not the crowd to the coarse one
+    assert lifted_levels(Census({0: 3, 6: 50_000, 20: 2}, 1e6)) == [6, 20]
+    assert lifted_levels(Census({4: 9}, 0.0)) == [4] and lifted_levels(Census({}, 0.0)) == []
+    assert lifted_levels(Census({-500: 1, 1000: 2}, 0.0)) == [1000]

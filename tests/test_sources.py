@@ -81,3 +81,33 @@ def test_trace_without_guesses(spark):
     events = trace.trace_events(greedy.run_cover(p, c, 2, 0.2), c, p, BOX)
     kinds = [r.type for r in events.orderBy("seq").collect()]
     assert kinds == ["INIT", "STATUS", "FINAL_SOLUTION", "FINISHED"]
+
+
+def test_equal_rows_are_numbered_by_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(datasets, "SLICE", 1000)
+    n = 200_000
+    frame = spark.range(n).selectExpr("IF(id % 10 = 0, id, 5L) AS v", "cast(null as string) AS s").coalesce(1)
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")  # what is small here would be put into one partition again
+    try:
+        numbered = datasets.with_ordinal(frame, ["v"], "number")
+    finally:
+        spark.conf.unset(coalesced)
+    seen = numbered.agg(F.count("*"), F.countDistinct("number"), F.min("number"), F.max("number")).first()
+    assert tuple(seen) == (n, n, 0, n - 1)
+    ordered = numbered.selectExpr("number", "v", "lag(v) OVER (ORDER BY number) AS before")
+    assert ordered.where("before > v").isEmpty()
+    per_task = [r["count"] for r in numbered.groupBy(F.spark_partition_id()).count().collect()]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(per_task) >= tasks and max(per_task) < 2 * n / tasks
+
+
+def test_ordinals_of_repeated_rows_do_not_depend_on_partitions(spark):
+    rows = [(i % 3, "ab"[i % 2]) for i in range(60)]
+    want = None
+    for n in (1, 7):
+        frame = spark.createDataFrame(rows, "v INT, s STRING").repartition(n)
+        found = sorted(map(tuple, datasets.with_ordinal(frame, ["v"], "number").collect()))
+        assert [r[0] for r in found] == list(range(60))
+        want = want or found
+        assert found == want
