@@ -43,6 +43,8 @@ PENDING = 1 << 18
 #: Counts (terms x sources) of a shard, and sources that a task compares with all others.
 SHARD_CELLS = 1 << 17
 TILE = 1024
+#: Languages up to which their totals are broadcast (a row each).
+FEW_LANGUAGES = 10_000
 
 _PARTIAL = "lang string, source string, term string, occurrences bigint, documents bigint"
 _KEYS = ["lang", "source", "term"]
@@ -158,7 +160,7 @@ def divergences(docs: DataFrame, least: int = LEAST, ranks: int = RANKS) -> Data
     terms = written(kept_terms(docs, least), "terms")
     groups, shares = _totals(docs, terms)
     shards = F.col("_shards")
-    sharded = terms.join(shares.select("lang", "_shards", "_tiles"), "lang").select(
+    sharded = terms.join(shares, "lang").select(
         "lang", "term", "total", "counts",
         F.pmod(F.xxhash64("term"), shards).cast("int").alias("shard"),
         F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("tile"),
@@ -201,11 +203,16 @@ def _totals(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     v = F.coalesce("v", F.lit(0))
     # a shard has no fewer terms than sources, so the pairs it adds to are no more than its counts
     dealt = F.ceil(v * F.col("_sources") / F.greatest(F.lit(SHARD_CELLS), F.col("_sources") * F.col("_sources")))
-    return groups, sources.join(vocabulary, "lang", "left").select(
-        "lang", v.alias("v"), "lang_n",
-        F.greatest(dealt, F.lit(1)).cast("int").alias("_shards"),
-        F.ceil(F.col("_sources") / TILE).cast("int").alias("_tiles"),
+    shares = written(
+        sources.join(vocabulary, "lang", "left").select(
+            "lang", v.alias("v"), "lang_n",
+            F.greatest(dealt, F.lit(1)).cast("int").alias("_shards"),
+            F.ceil(F.col("_sources") / TILE).cast("int").alias("_tiles"),
+        ),
+        "shares",
     )
+    # then the terms of a language need not meet in one place
+    return groups, F.broadcast(shares) if shares.count() <= FEW_LANGUAGES else shares
 
 
 def _share(count: np.ndarray, whole: int | np.ndarray) -> np.ndarray:
