@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from encircle.llm.shared import lower_ascii, replacing, row_step, written
+from encircle.llm.shared import lower_ascii, own_text, row_step, written
 
 WORDS = 10
 #: Characters of windows in one broadcast block.
@@ -143,7 +143,7 @@ def contamination(
     """All columns of ``docs`` and ``n_words, n_hit, items, spans``.
 
     ``items`` are the sorted ids of the items found, ``spans`` the word positions of the
-    occurrences as start, end, start, end, ...
+    occurrences as start, end, start, end, ...  Columns of these names give way.
     """
     spark = docs.sparkSession
     made = written(windows(benchmark, words=words), "windows")
@@ -153,15 +153,14 @@ def contamination(
         "n_words": T.LongType(), "n_hit": T.LongType(),
         "items": T.ArrayType(T.StringType()), "spans": T.ArrayType(T.IntegerType()),
     }
-    own = F.col(f"`{text}`").cast("string")
-    found = replacing(docs, {"_text": own})
+    found = docs
     none = {"items": F.array().cast("array<string>"), "spans": F.array().cast("array<int>")}
     for block in range(blocks):
         mine = made.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast([(r.window, r["items"]) for r in mine])
         before = {c: F.col(c) for c in none} if block else none
-        found = row_step(found, {"text": F.col("_text"), **before}, _search(shared), results)
-    return found.drop("_text")
+        found = row_step(found, {"text": own_text(found, text), **before}, _search(shared), results)
+    return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -14,10 +14,11 @@ The join is exact on 64-bit shingle hashes:
    which writing all pairs costs no more than scanning the lists of single shingles.  Light sets
    that may meet a heavy one enter single lists too.  Shingles of one document have no list.
 3. *Scan.*  Equal sets are one.  Each set is first compared with the most central leader of its
-   lists; lists whose members are then connected are finished without looking at pairs.  In the
-   others, members of different components are compared; long lists in blocks, so that no task
-   holds a whole list, and only pairs that a bound from sketches allows leave the task.
-4. *Check.*  Candidates are compared shingle by shingle; links join components.
+   lists, then with that of another component; lists whose members are then connected are finished
+   without looking at pairs.  In the others, members of different components are compared; in long
+   lists those outside the largest component with all, in blocks, so that no task holds a whole list.
+4. *Check.*  Candidates are compared shingle by shingle, those of blocks where they meet.  A pair
+   of blocks reports a spanning forest of its links, never its pairs.  Links join components.
 
 Nulls and texts without words have empty sets and link with nothing.  A null id takes part but
 names nothing: a component's id is its smallest id that is not null.  Repeated rows are equal sets.
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encircle.llm.components import connected_components
-from encircle.llm.shared import in_slices, written
+from encircle.llm.shared import give_back, in_slices, written
 
 #: The table of shingle levels has 2^SLOT_BITS bytes: the size bound of the one thing broadcast.
 SLOT_BITS = 25
@@ -46,8 +47,10 @@ COUNT_BITS = 40
 CHUNK = 2_000_000
 #: Words a task remembers the hashes of.
 WORD_CACHE = 1 << 18
-#: Members of a list that is joined with itself, and of a block of a longer one.
-SHORT_LIST, BLOCK = 64, 512
+#: Members of a list that is joined with itself, and members and shingles of a block of a longer one.
+SHORT_LIST, BLOCK, BLOCK_SHINGLES = 64, 512, 1 << 20
+#: Rounds after the first, in which every set is compared with a leader of another component.
+MORE_LEADERS = 1
 SKETCH = 128
 #: Bits of the table that tells which documents surely stay: the size bound of its broadcast.
 GONE_BITS = 27
@@ -149,6 +152,8 @@ def _occurrences(k: int, part_bits: int):
                     held, size = [], 0
         if size:
             yield send(held)
+        hashes = held = None
+        give_back()
 
     return run
 
@@ -265,6 +270,9 @@ def _described(rule: Rule, boundary: int, levels: Broadcast):
                 [batch.column("_id"), batch.column("_mark"), *arrays],
                 ["_id", "_mark", "rid", "n", "alone", "s1", "s2", "keys", "shingles", "sketch"],
             )
+            del batch, rows, columns, arrays
+        hashes = None
+        give_back()
 
     return run
 
@@ -320,54 +328,128 @@ def _checked(pairs: DataFrame, sets: DataFrame, rule: Rule, prune: bool) -> Data
     return full.mapInArrow(_linked(rule), "a LONG, b LONG")
 
 
-def _compared(rule: Rule):
-    """All pairs between two blocks of a long list, or within one, that sizes and sketches allow and
-    that are not connected yet."""
+def _common(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many of the sorted hashes ``x`` each of the others (not empty) holds."""
+    flat = np.concatenate(others)
+    place = np.searchsorted(x, flat)
+    held = x[np.minimum(place, len(x) - 1)] == flat
+    starts = np.cumsum([0, *(len(o) for o in others[:-1])])
+    return np.add.reduceat(held, starts, dtype=np.int64)
+
+
+def _block_links(rule: Rule):
+    """Links between members of two blocks of a long list that are not connected yet.
+
+    Sizes and sketches say which pairs are worth a comparison, and a pair that the links found so
+    far connect is not compared: at most members - 1 rows leave the task.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        block = group.column("block").to_numpy()
         rid, n, component = (group.column(c).to_numpy() for c in ("rid", "n", "component"))
+        own = group.column("own").to_numpy(zero_copy_only=False)
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-        right = np.flatnonzero(block == j)
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+        # components that come in are trees of their own; links found here join them
+        _, tree = np.unique(component, return_inverse=True)
+        left, right = np.flatnonzero(own), np.flatnonzero(~own)
         a, b = [], []
-        for x in np.flatnonzero(block == i):
-            y = right[(component[right] != component[x]) & ((rid[right] > rid[x]) | (i != j))]
+        for x in left:
+            y = right[tree[right] != tree[x]]
             both = n[y] + n[x]
             most = np.minimum((both - np.abs(sketch[y] - sketch[x]).sum(axis=1)) // 2, np.minimum(n[y], n[x]))
             y = y[100 * most >= rule.percent * (both - most)]
-            a.append(np.minimum(rid[y], rid[x]))
-            b.append(np.maximum(rid[y], rid[x]))
-        flat = [np.concatenate(side) if side else np.empty(0, np.int64) for side in (a, b)]
-        return pa.table({"a": pa.array(flat[0], pa.int64()), "b": pa.array(flat[1], pa.int64())})
+            for start in range(0, len(y), SHORT_LIST):
+                some = y[start : start + SHORT_LIST]
+                some = some[tree[some] != tree[x]]
+                if not len(some):
+                    continue
+                common = _common(found[x], [found[i] for i in some])
+                linked = some[100 * common >= rule.percent * (n[some] + n[x] - common)]
+                for i in linked:
+                    if tree[i] != tree[x]:
+                        a.append(min(rid[i], rid[x]))
+                        b.append(max(rid[i], rid[x]))
+                        tree[tree == tree[i]] = tree[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _candidates(lists: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs ``a, b`` of different components that share a list.
+_MEMBER = ["key", "rid", "n", "alone", "component"]
 
-    Short lists are joined with themselves, which gives SHORT_LIST rows per member at most.  Long
-    ones are cut into blocks; blocks are compared two at a time where they meet, and only pairs that
-    their sketches allow leave the task.
+
+def _open(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of the lists that hold several components of the links found so far.
+
+    Their columns, and of the list: members and shingles (``_m``, ``_n``), the largest component
+    ``_main`` and how many members are outside of it (``_out``).
     """
-    sizes = lists.groupBy("key").agg(
-        F.count("*").alias("_m"), F.min("component").alias("_lo"), F.max("component").alias("_hi")
-    ).where("_lo < _hi").select("key", "_m")
-    open_lists = written(lists.join(sizes, "key"), "open")
-    short, long = open_lists.where(F.col("_m") <= SHORT_LIST), open_lists.where(F.col("_m") > SHORT_LIST)
+    found = connected_components(links)
+    placed = lists.join(found, lists.rid == found.node, "left").withColumn("component", F.coalesce("component", "rid"))
+    members = written(placed.select(_MEMBER), "members")
+    per_component = members.groupBy("key", "component").agg(F.count("*").alias("_c"), F.sum("n").alias("_s"))
+    sums = per_component.groupBy("key").agg(
+        F.sum("_c").alias("_m"), F.sum("_s").alias("_n"), F.count("*").alias("_parts"),
+        F.max(F.struct("_c", "component")).alias("_most"),
+    )
+    several = sums.where("_parts > 1").select(
+        "key", "_m", "_n", F.col("_most.component").alias("_main"), (F.col("_m") - F.col("_most._c")).alias("_out")
+    )
+    return written(members.join(several, "key"), "open")
+
+
+def _links_in(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links between members of different components that share a list.
+
+    Short lists are joined with themselves, which gives SHORT_LIST rows per member at most, and
+    the pairs are checked.  Of long ones, the members outside the largest component are dealt into
+    blocks, all members into others, and a block of the first kind meets every one of the second.
+    """
+    short, long = members.where(F.col("_m") <= SHORT_LIST), members.where(F.col("_m") > SHORT_LIST)
     other = short.select("key", *[F.col(c).alias(f"{c}_2") for c in ("rid", "n", "component")])
     met = short.join(other, "key").where(
         (F.col("rid") < F.col("rid_2")) & (F.col("component") != F.col("component_2"))
         & _sizes_fit(rule, F.col("n"), F.col("n_2"))
     ).select(F.col("rid").alias("a"), F.col("rid_2").alias("b"))
-    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
-    own = long.join(sets.select("rid", "sketch"), "rid").withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int"))
-    dealt = own.withColumn("_k", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "key", F.least("block", "_k").alias("i"), F.greatest("block", "_k").alias("j"), "block", "rid", "n", "component", "sketch"
-    )
-    compared = dealt.groupBy("key", "i", "j").applyInArrow(_compared(rule), "a LONG, b LONG")
-    return met.union(compared).distinct()
+    checked = _checked(met.distinct(), sets, rule, prune=True)
+
+    def blocks(members: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+    def number(count: str) -> Column:
+        return F.pmod(F.xxhash64("rid"), F.col(count)).cast("int")
+
+    def all_of(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    m, out = F.col("_m"), F.col("_out")
+    dealt = long.withColumns({"_lefts": blocks(out, F.col("_n") * out / m), "_rights": blocks(m, F.col("_n"))})
+    parts = ["key", "rid", "n", "component"]
+    outside = dealt.where(F.col("component") != F.col("_main"))
+    lefts = outside.select(*parts, number("_lefts").alias("i"), all_of("_rights").alias("j"), F.lit(True).alias("own"))
+    rights = dealt.select(*parts, all_of("_lefts").alias("i"), number("_rights").alias("j"), F.lit(False).alias("own"))
+    there = lefts.unionByName(rights).join(sets.select("rid", "sketch", "shingles"), "rid")
+    found = there.groupBy("key", "i", "j").applyInArrow(_block_links(rule), "a LONG, b LONG")
+    return checked.union(found)
+
+
+def _pairs(near: DataFrame) -> DataFrame:
+    """The pairs of sets and the most central of their leaders."""
+    chosen = near.groupBy("rid").agg(F.min("lead").alias("lead"))
+    return chosen.select(F.least("rid", "lead.rid").alias("a"), F.greatest("rid", "lead.rid").alias("b")).distinct()
+
+
+def _other_leaders(members: DataFrame, rule: Rule) -> DataFrame:
+    """For every set one ``a, b``: with the most central set of another component in its lists.
+
+    A list names its most central member, and the most central one outside that one's component.
+    """
+    lead = F.struct("alone", "rid", "n", "component")
+    first = members.groupBy("key").agg(F.min(lead).alias("one"))
+    named = members.join(first, "key")
+    second = named.where(F.col("component") != F.col("one.component")).groupBy("key").agg(F.min(lead).alias("two"))
+    other = F.when(F.col("component") != F.col("one.component"), F.col("one")).otherwise(F.col("two"))
+    return _pairs(named.join(second, "key").withColumn("lead", other).where(_sizes_fit(rule, F.col("n"), F.col("lead.n"))))
 
 
 def _links(sets: DataFrame, rule: Rule) -> DataFrame:
@@ -376,22 +458,14 @@ def _links(sets: DataFrame, rule: Rule) -> DataFrame:
     # leaders are central: few of their shingles are in no other document
     rank = F.struct("alone", "rid", "n")
     shared = entries.groupBy("key").agg(F.count("*").alias("_c"), F.min(rank).alias("lead")).where("_c >= 2")
-    lists = written(entries.join(shared, "key").select("key", "rid", "n", "lead"), "lists")
-    near = (
-        lists.where(_sizes_fit(rule, F.col("n"), F.col("lead.n")) & (F.col("rid") != F.col("lead.rid")))
-        .groupBy("rid").agg(F.min("lead").alias("lead"))
-    )
-    pairs = near.select(F.least("rid", "lead.rid").alias("a"), F.greatest("rid", "lead.rid").alias("b")).distinct()
-    first = written(_checked(pairs, sets, rule, prune=False), "links")
-    found = connected_components(first)
-    members = written(
-        lists.join(found, lists.rid == found.node, "left").select(
-            "key", "rid", "n", F.coalesce("component", "rid").alias("component")
-        ),
-        "members",
-    )
-    left = _candidates(members, sets, rule)
-    return first.union(written(_checked(left, sets, rule, prune=True), "links"))
+    lists = written(entries.join(shared, "key").select("key", "rid", "n", "alone", "lead"), "lists")
+    near = lists.where(_sizes_fit(rule, F.col("n"), F.col("lead.n")) & (F.col("rid") != F.col("lead.rid")))
+    links = written(_checked(_pairs(near), sets, rule, prune=False), "links")
+    members = _open(lists.drop("lead"), links)
+    for _ in range(MORE_LEADERS):
+        links = links.union(written(_checked(_other_leaders(members, rule), sets, rule, prune=False), "links"))
+        members = _open(members.select("key", "rid", "n", "alone"), links)
+    return links.union(written(_links_in(members, sets, rule), "links"))
 
 
 def similar_groups(
@@ -417,6 +491,7 @@ def similar_groups(
         ),
         "sets",
     )
+    table.destroy()  # the sets are written: nothing reads the levels again
     signature = ["s1", "s2", "n"]
     distinct_sets = written(
         described.where("n > 0").groupBy(*signature).agg(

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from encircle.llm.shared import SPACE_BYTES, row_step, written
+from encircle.llm.shared import SPACE_BYTES, own_text, row_step, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MIN_WORDS = 20
@@ -167,7 +167,7 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", vocabulary
     with open(vocabulary, "rb") as file:  # a few MB on the driver; the tasks get it by broadcast
         model = spark.sparkContext.broadcast(file.read())
     language = F.col(f"`{lang}`").cast("string")
-    inputs = {"text": F.col(f"`{text}`").cast("string"), "coded": _is_code(language)}
+    inputs = {"text": own_text(docs, text), "coded": _is_code(language)}
     held = docs.withColumn("_lang", language)
     found = row_step(held, inputs, _measured(model), BASE | MEASURES)
     group = F.when(_is_code(F.col("_lang")), F.col("_lang")).otherwise(F.concat(F.lit("script "), "script"))

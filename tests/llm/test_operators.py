@@ -86,6 +86,32 @@ def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     assert got == dict(enumerate(components([shingle_set(t) for t in family])))
 
 
+def test_one_long_list_of_families(spark, monkeypatch):
+    """1,200 texts share a passage, so they meet in long lists; most are too different to link."""
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK", 100)
+    passage = sentence(40).split()
+    tails = [sentence(9).split() for _ in range(60)]
+    texts = []
+    for i in range(1200):
+        tail = list(tails[i % 60]) if i % 3 else sentence(14).split()
+        if i % 4 == 1:
+            tail[RNG.randrange(9)] = RNG.choice(WORDS)
+        texts.append(" ".join(passage[i % 7:] + tail))
+    sets = [shingle_set(t) for t in texts]
+    links, compared = [], ngram_join._links
+
+    def kept(*given):
+        links.append(compared(*given))
+        return links[-1]
+
+    monkeypatch.setattr(ngram_join, "_links", kept)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(components(sets)))
+    assert 1 < len(set(got.values())) < 1200
+    assert links[0].count() < 6 * 1200  # two rounds of leaders and forests, no pairs
+
+
 def test_keep_one_keeps_columns_and_repeated_rows(spark):
     text = sentence(40)
     docs = docs_of(spark, [text, text, text, None, "", text], [3, 5, 3, 8, 9, None])
