@@ -316,6 +316,17 @@ ORACLE_SQL: dict[str, str] = {
           gain, threshold, coverage
         from (select *, row_number() over (partition by run_id, series order by seq) as position
           from numbered where type = 'CIRCLE_ADDED')""",
+    "run_setup": f"""with points as ({_POINTS}), circles as ({_CIRCLES}),
+        d as (select count(*) displayed from ({_DISPLAY})), t as (select count(*) total from points)
+        select 0::bigint as run_id, (select count(*) from circles) as n_circles, 10 as k,
+          0.2::double as epsilon, 14 as total_guesses, 0.0::double as min_x, 0.0::double as min_y,
+          1000.0::double as max_x, 1000.0::double as max_y, total > displayed as is_sampled,
+          displayed, total,
+          case when total > displayed then round(displayed * 100.0::double / total, 1)
+            else 100.0::double end as percentage,
+          case when total > displayed then
+            format('{{:,}}', total) || ' (' || format('{{:,}}', displayed) || ' shown)'
+            else format('{{:,}}', total) end as points_label from d, t""",
     "run_snapshot": f"{_WITH_EVENTS} {_SNAPSHOT}",
     "stream_snapshot": f"{_WITH_EVENTS} {_SNAPSHOT}",
     "run_display": f"""{_WITH_EVENTS}, flags as (select *,
@@ -325,6 +336,9 @@ ORACLE_SQL: dict[str, str] = {
           cast(coalesce(case when has_final then best_guess end, guess_j) + 1 as int)
             as guess_number,
           case when threshold is not null then printf('%.2f', threshold) end as threshold_text,
+          coverage || case when has_final then ' (' ||
+              regexp_replace(printf('%.1f', coverage_percentage), '\\.0$', '') || '%)' else '' end
+            as coverage_text,
           case when has_final then 'FINAL SOLUTION: ' ||
               regexp_replace(printf('%.1f', coverage_percentage), '\\.0$', '') || '% Coverage'
             when finished then 'OPTIMIZATION COMPLETE' else 'SYSTEM CONNECTED' end as headline,
@@ -342,7 +356,15 @@ ORACLE_SQL: dict[str, str] = {
           cast(o_orderkey%31 as int) as coresused, cast(o_orderkey%65536 as int) as memory,
           cast(case when o_orderkey%10 = 3 then 0 else o_orderkey%4096 end as int) as memoryused,
           cast(case when o_orderkey%17 = 0 then 0 else o_orderkey%4 end as int) as n_workers,
-          cast((o_orderkey+1)%3 as int) as n_apps from orders""",
+          cast((o_orderkey+1)%3 as int) as n_apps,
+          cast(case when o_orderkey%19 = 0 then 0 else least(o_orderkey%5, 4) end as int) as n_completed
+        from orders""",
+    "cluster_headline": f"""with mine as (select snapshot_id, min_by(state, position) as my_state
+          from ({_APPS}) where name = 'cover-run' group by snapshot_id)
+        select o_orderkey as snapshot_id, my_state,
+          case my_state when 'WAITING' then 'WAITING FOR RESOURCES...'
+            when 'RUNNING' then 'CLUSTER RUNNING' end as headline
+        from orders left join mine on snapshot_id = o_orderkey""",
     "active_apps": f"""select snapshot_id, position, name, cores, state,
           case when seconds >= 60 then concat(seconds // 60, 'm ', seconds % 60, 's')
             else concat(seconds, 's') end as elapsed,

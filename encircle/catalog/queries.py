@@ -292,6 +292,16 @@ def run_display(spark: SparkSession, d: str) -> DataFrame:
     return events.run_display(run_snapshot(spark, d))
 
 
+def run_setup(spark: SparkSession, d: str) -> DataFrame:
+    """Read back from the JSON of a stored run."""
+    points, circles = tables.points(spark, d), tables.circles(spark, d)
+    run = greedy.run_cover(points, circles, K, EPSILON)
+    shown = sampling.display_sample(points, BOUNDS)
+    stored = trace.events_as_json(trace.trace_events(run, circles, shown, BOUNDS))
+    read = stored.select("run_id", F.from_json("json", trace.TRACE_EVENT_SCHEMA).alias("e"), "seq")
+    return events.run_setup(read.select("run_id", "seq", *[f"e.{c}" for c in ("type", "config", "bounds", "sampling", "total_guesses")]))
+
+
 def stream_snapshot(spark: SparkSession, d: str) -> DataFrame:
     schema = tables.table(spark, d, "events").schema
     arriving = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
@@ -313,6 +323,10 @@ def cluster_totals(spark: SparkSession, d: str) -> DataFrame:
     return status.cluster_totals(tables.status_snapshots(spark, d))
 
 
+def cluster_headline(spark: SparkSession, d: str) -> DataFrame:
+    return status.cluster_headline(tables.status_snapshots(spark, d), APP_NAME)
+
+
 def active_apps(spark: SparkSession, d: str) -> DataFrame:
     return status.active_apps(tables.status_snapshots(spark, d), APP_NAME, NOW_MS)
 
@@ -329,7 +343,7 @@ QUERIES: dict[str, Query] = {
         marginal_gains, first_candidate, set_union_coverage, cell_density,
         greedy_single_tau, greedy_trace, best_guess, greedy_solution, trace_running_coverage,
         uniform_sample, stratified_sample, display_sample, sampling_info,
-        segment_by_marker, latest_run, guess_series, run_snapshot, run_display, stream_snapshot,
-        worker_rows, worker_utilisation, cluster_totals, active_apps,
+        segment_by_marker, latest_run, guess_series, run_snapshot, run_display, run_setup, stream_snapshot,
+        worker_rows, worker_utilisation, cluster_totals, cluster_headline, active_apps,
     )
 }

@@ -148,17 +148,21 @@ def status_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.lit(1_700_000_000_000) + (key * 7919 + i * 61_000) % 900_000).alias("starttime"),
         )
 
+    def ended(i: Column) -> Column:
+        return F.struct(F.lit("cover-run").alias("name"), F.lit("FINISHED").alias("state"))
+
     document = F.struct(
         unless(key % 11 == 0, F.lit("ALIVE")).alias("status"),
         unless(key % 13 == 0, (key % 97).cast("int")).alias("cores"),
         (key % 31).cast("int").alias("coresused"),
         (key % 65536).cast("int").alias("memory"),
         unless(key % 10 == 3, (key % 4096).cast("int")).alias("memoryused"),
-        # at most three workers and two applications per document
+        # at most three workers, two applications and four ended ones per document
         unless(
             key % 17 == 0, F.filter(_up_to(3, worker), lambda w: w["_i"] < key % 4)
         ).alias("workers"),
         F.filter(_up_to(2, app), lambda a: a["_i"] < (key + 1) % 3).alias("activeapps"),
+        unless(key % 19 == 0, F.filter(_up_to(4, ended), lambda a: a["_i"] < key % 5)).alias("completedapps"),
     )
     return table(spark, sf_dir, "orders").select(
         key.alias("snapshot_id"), F.to_json(document).alias("json")

@@ -140,16 +140,8 @@ def guess_series(events: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
 
 
-def _last(value: Column, condition: Column) -> Column:
-    """Last reported value among the events that satisfy a condition."""
-    return F.max_by(value, F.when(condition & value.isNotNull(), F.col("seq")))
-
-
-def run_snapshot(events: DataFrame) -> DataFrame:
-    """Current state of every run: each metric is its last reported value.
-
-    A plain aggregate with one small row of state per run, so it works on a stream as well.
-    """
+def _reports(events: DataFrame) -> dict[str, Column]:
+    """Every metric of a run: the value an event reports, null where it reports none."""
     kind = F.col("type")
     guess, added, final, status, done = (
         kind == name
@@ -166,28 +158,117 @@ def run_snapshot(events: DataFrame) -> DataFrame:
         .when(final, final_text)
         .when(done, F.lit("DONE"))
     )
+    return {
+        "size": F.when(added, F.col("step")).when(final, F.col("n_selected")),
+        "coverage": F.when(added | final, F.col("coverage")),
+        "guess_j": F.when(guess, F.col("value")),
+        "threshold": F.when(guess | added, F.col("threshold")),
+        "total_guesses": F.col("total_guesses"),
+        "status_text": text,
+        "best_guess": F.when(final, F.col("best_guess")),
+        "coverage_percentage": F.when(final, F.col("coverage_percentage")),
+        "last_init": F.when(kind == "INIT", F.col("seq")),
+        "last_final": F.when(final, F.col("seq")),
+        "last_finished": F.when(done, F.col("seq")),
+        "last_seq": F.col("seq"),
+    }
+
+
+def run_state(events: DataFrame) -> DataFrame:
+    """``run_id`` and what is known of each run: a few values, each with its sequence number.
+
+    States of any parts of a log merge (:func:`merged_states`), in any order and however often a
+    part is repeated.  The sequence numbers of additions without a step, and of what starts a set
+    anew, are kept: the rule of a run bounds them by guesses x k and by its guesses.
+    """
+    unsized = (F.col("type") == "CIRCLE_ADDED") & F.col("step").isNull()
+    starts = F.col("type").isin("INIT", "START_GUESS")
+
+    def numbers(condition: Column) -> Column:
+        return F.array_sort(F.collect_set(F.when(condition, F.col("seq"))))
+
     return events.groupBy("run_id").agg(
-        _last(F.when(added, F.col("step")).when(final, F.col("n_selected")), added | final).alias("k"),
-        _last(F.col("coverage"), added | final).alias("coverage"),
-        _last(F.col("value"), guess).alias("guess_j"),
-        _last(F.col("threshold"), guess | added).alias("threshold"),
-        _last(F.col("total_guesses"), F.lit(True)).alias("total_guesses"),
-        _last(text, F.lit(True)).alias("status_text"),
-        _last(F.col("best_guess"), final).alias("best_guess"),
-        _last(F.col("coverage_percentage"), final).alias("coverage_percentage"),
-        F.max(F.when(kind == "INIT", F.col("seq"))).alias("last_init"),
-        F.max(F.when(final, F.col("seq"))).alias("last_final"),
-        F.max(F.when(done, F.col("seq"))).alias("last_finished"),
-        F.max("seq").alias("last_seq"),
+        *[
+            F.max(F.when(value.isNotNull() & F.col("seq").isNotNull(), F.struct("seq", value.alias("value")))).alias(name)
+            for name, value in _reports(events).items()
+        ],
+        numbers(unsized).alias("unsized"),
+        numbers(starts).alias("starts"),
+    )
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """One state per run out of any number of them."""
+    lists = ("unsized", "starts")
+    return states.groupBy("run_id").agg(
+        *[F.max(c).alias(c) for c in states.columns if c != "run_id" and c not in lists],
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists],
+    )
+
+
+def snapshot_of(states: DataFrame) -> DataFrame:
+    """Current state of every run: each metric is its last reported value.
+
+    ``k`` is the step of the last addition or the size of a later final set.  Additions without a
+    step are counted on from the last step, final set or start of a set in front of them.
+    """
+    last = F.array_max("unsized")
+    started = F.array_max(F.filter("starts", lambda s: s < last))
+    sized = F.when(F.col("size.seq") < last, F.col("size.seq"))
+    base = F.greatest(started, sized)  # nulls give way
+    counted = F.size(F.filter("unsized", lambda s: (s > base) | base.isNull()))
+    before = F.when(sized.isNotNull() & (sized == base), F.col("size.value")).otherwise(F.lit(0))
+    reported_later = last.isNull() | F.coalesce(F.col("size.seq") > last, F.lit(False))
+    k = F.when(reported_later, F.col("size.value")).otherwise((before + counted).cast("int"))
+    others = [c for c in states.columns if c not in ("run_id", "size", "unsized", "starts")]
+    return states.select("run_id", k.alias("k"), *[F.col(f"{c}.value").alias(c) for c in others])
+
+
+def run_snapshot(events: DataFrame) -> DataFrame:
+    """Current state of every run, see :func:`snapshot_of`; rows without a number report nothing."""
+    return snapshot_of(run_state(events))
+
+
+def run_setup(events: DataFrame) -> DataFrame:
+    """Configuration, bounds and sampling of the last INIT of every run, as columns.
+
+    ``events`` are trace events (``sources/trace.py``).  A run that was not sampled shows all its
+    points: 100 percent.
+    """
+    last = F.max(F.when(F.col("type") == "INIT", F.struct("seq", "config", "bounds", "sampling", "total_guesses")))
+    sampled = F.coalesce("i.sampling.is_sampled", F.lit(False))
+    shown = F.col("i.config.n_points")
+    total = F.when(sampled, F.col("i.sampling.total")).otherwise(shown)
+    displayed = F.when(sampled, F.col("i.sampling.displayed")).otherwise(shown)
+    label = F.when(
+        sampled, F.concat(F.format_number(total, 0), F.lit(" ("), F.format_number(displayed, 0), F.lit(" shown)"))
+    ).otherwise(F.format_number(shown, 0))
+    return events.groupBy("run_id").agg(last.alias("i")).where("i is not null").select(
+        "run_id",
+        "i.config.n_circles",
+        "i.config.k",
+        "i.config.epsilon",
+        "i.total_guesses",
+        *[F.col(f"i.bounds.{side}{axis}").alias(f"{side}_{axis.lower()}") for side in ("min", "max") for axis in "XY"],
+        sampled.alias("is_sampled"),
+        displayed.alias("displayed"),
+        total.alias("total"),
+        F.when(sampled, F.col("i.sampling.percentage")).otherwise(F.lit(100.0)).alias("percentage"),
+        label.alias("points_label"),
     )
 
 
 def run_display(snapshot: DataFrame) -> DataFrame:
-    """Display fields of a run snapshot: 1-based guess, 2-decimal threshold, headline, state."""
+    """Display fields of a run snapshot: 1-based guess, 2-decimal threshold, coverage, headline, state.
+
+    Once there is a final solution, its percentage stands behind the coverage.
+    """
     start = F.coalesce("last_init", F.lit(-1))
     finished = F.coalesce(F.col("last_finished") > start, F.lit(False))
     has_final = F.coalesce(F.col("last_final") > start, F.lit(False))
     guess = F.coalesce(F.when(has_final, F.col("best_guess")), F.col("guess_j"))
+    percent = F.regexp_replace(F.format_string("%.1f", "coverage_percentage"), r"\.0$", "")
+    covered = F.col("coverage").cast("string")
     return snapshot.select(
         "run_id",
         (guess + 1).alias("guess_number"),
@@ -196,11 +277,11 @@ def run_display(snapshot: DataFrame) -> DataFrame:
         ).alias("threshold_text"),
         F.when(
             has_final & F.col("coverage_percentage").isNotNull(),
-            F.concat(
-                F.lit("FINAL SOLUTION: "),
-                F.regexp_replace(F.format_string("%.1f", "coverage_percentage"), r"\.0$", ""),
-                F.lit("% Coverage"),
-            ),
+            F.concat(covered, F.lit(" ("), percent, F.lit("%)")),
+        ).otherwise(covered).alias("coverage_text"),
+        F.when(
+            has_final & F.col("coverage_percentage").isNotNull(),
+            F.concat(F.lit("FINAL SOLUTION: "), percent, F.lit("% Coverage")),
         )
         .when(finished, F.lit("OPTIMIZATION COMPLETE"))
         .otherwise(F.lit("SYSTEM CONNECTED"))

@@ -11,7 +11,8 @@ SNAPSHOT_SCHEMA = (
     "status STRING, cores INT, coresused INT, memory INT, memoryused INT, "
     "workers ARRAY<STRUCT<id STRING, host STRING, port INT, cores INT, coresused INT, "
     "memory INT, memoryused INT, state STRING>>, "
-    "activeapps ARRAY<STRUCT<name STRING, cores INT, state STRING, starttime BIGINT>>"
+    "activeapps ARRAY<STRUCT<name STRING, cores INT, state STRING, starttime BIGINT>>, "
+    "completedapps ARRAY<STRUCT<name STRING, state STRING>>"
 )
 
 # Utilisation above these percentages changes the severity.
@@ -94,6 +95,7 @@ def cluster_totals(snapshots: DataFrame) -> DataFrame:
         _number("memoryused"),
         F.coalesce(F.array_size("workers"), F.lit(0)).alias("n_workers"),
         F.coalesce(F.array_size("activeapps"), F.lit(0)).alias("n_apps"),
+        F.coalesce(F.array_size("completedapps"), F.lit(0)).alias("n_completed"),
     )
 
 
@@ -112,3 +114,18 @@ def active_apps(snapshots: DataFrame, app_name: str, now_ms: int) -> DataFrame:
         elapsed_text(F.col("a.starttime"), F.lit(now_ms)).alias("elapsed"),
         (F.col("position") == F.col("first")).alias("is_mine"),
     )
+
+
+def cluster_headline(snapshots: DataFrame, app_name: str) -> DataFrame:
+    """``snapshot_id, my_state, headline``: what the state of "my" application says of the cluster.
+
+    "My" application is the first active one with the given name; without one, both are null.
+    """
+    mine = F.get(F.filter("activeapps", lambda a: a["name"] == app_name), 0)["state"]
+    return parsed(snapshots).select("snapshot_id", mine.alias("my_state")).select(
+        "snapshot_id",
+        "my_state",
+        F.when(F.col("my_state") == "WAITING", "WAITING FOR RESOURCES...")
+        .when(F.col("my_state") == "RUNNING", "CLUSTER RUNNING")
+        .alias("headline"),
+    )

@@ -16,10 +16,13 @@ from encircle.session import local_frame
 CALCULATING = "Calculating max single coverage f(e)..."
 STARTING = "Starting guesses..."
 
+#: Points in one event.  INIT holds a first piece; more follow in POINTS events.
+PIECE = 1 << 16
+
 _CIRCLE = "STRUCT<cx: DOUBLE, cy: DOUBLE, r: DOUBLE>"
 TRACE_EVENT_SCHEMA = (
     "run_id BIGINT, seq BIGINT, type STRING, message STRING, total_guesses INT, "
-    "points ARRAY<ARRAY<DOUBLE>>, "
+    "points ARRAY<ARRAY<DOUBLE>>, piece INT, "
     "config STRUCT<n_points: BIGINT, n_circles: BIGINT, k: INT, epsilon: DOUBLE>, "
     "bounds STRUCT<minX: DOUBLE, minY: DOUBLE, maxX: DOUBLE, maxY: DOUBLE>, "
     "sampling STRUCT<is_sampled: BOOLEAN, displayed: BIGINT, total: BIGINT, percentage: DOUBLE>, "
@@ -39,21 +42,24 @@ def trace_events(
 ) -> DataFrame:
     """The events of one run in the order they happen.
 
-    ``shown`` is a display sample, so the point list of INIT has the size bound of the sample.
-    A trace has at most guesses x k rows; ``seq`` leaves room for k picks after each guess start.
+    The points ``shown`` are dealt into pieces of about PIECE points, each an event with the number
+    of INIT and a ``piece``; INIT itself is piece 0, so a usual display sample needs no others.  A trace has at most guesses x k rows; ``seq`` leaves room for k picks after each guess start.
     """
     spark = circles.sparkSession
     total = F.lit(run.total_points).cast("bigint")
     selected_circle = F.struct("cx", "cy", "r")
 
     n_circles = circles.agg(F.count("*")).scalar()
-    sampled = shown.agg(
-        F.count("*").alias("n_points"),
+    pieces = F.greatest(F.ceil(F.col("n_points") / PIECE), F.lit(1))
+    sampled = shown.agg(F.count("*").alias("n_points"))
+    dealt = F.pmod(F.xxhash64("point_id", "x", "y"), sampled.select(pieces).scalar()).cast("int")
+    listed = shown.groupBy(dealt.alias("piece")).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("point_id", "x", "y"))),
             lambda p: F.array(p["x"], p["y"]),
-        ).alias("points"),
+        ).alias("points")
     )
+    first = F.coalesce(listed.where("piece = 0").select("points").scalar(), F.array().cast("array<array<double>>"))
     box = F.struct(
         *[
             F.lit(float(value)).alias(name)
@@ -64,7 +70,8 @@ def trace_events(
         F.lit(0).alias("seq"),
         F.lit("INIT").alias("type"),
         F.lit(guess_count(run.k, run.epsilon)).alias("total_guesses"),
-        "points",
+        first.alias("points"),
+        F.lit(0).alias("piece"),
         F.struct(
             "n_points",
             "n_circles",
@@ -123,7 +130,10 @@ def trace_events(
     )
     finished = local_frame(spark, [(end + 1, "FINISHED")], pa.schema(tag))
 
-    events = init
+    events = init.unionByName(
+        listed.where("piece > 0").select(F.lit(0).alias("seq"), F.lit("POINTS").alias("type"), "points", "piece"),
+        allowMissingColumns=True,
+    )
     for part in (status, starts, added, final, finished):
         events = events.unionByName(part, allowMissingColumns=True)
     events = events.withColumn("run_id", F.lit(run_id))
@@ -131,6 +141,16 @@ def trace_events(
     return events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target])
 
 
+def shown_points(events: DataFrame) -> DataFrame:
+    """``run_id, x, y``: the points shown by the last INIT of every run, out of all their pieces."""
+    listed = events.where(F.col("type").isin("INIT", "POINTS"))
+    last = listed.groupBy("run_id").agg(F.max("seq").alias("_last"))
+    point = F.explode("points").alias("p")
+    return listed.join(last, "run_id").where("seq = _last").select("run_id", point).select(
+        "run_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")
+    )
+
+
 def events_as_json(events: DataFrame) -> DataFrame:
     """``run_id, seq, json``; fields an event type does not have are left out."""
     payload = [c for c in events.columns if c not in ("run_id", "seq")]

@@ -184,3 +184,68 @@ def test_stream_without_events(spark, tmp_path):
     found = snapshot.stream_snapshot(snapshot.read_event_stream(spark, str(tmp_path / "in")))
     assert found.columns == events.run_snapshot(run_log(spark, [])).columns
     assert found.count() == 0
+
+
+def k_of(log):
+    """Size of the shown set: counted as it is drawn, a reported step overrules."""
+    size, shown = 0, None
+    for entry in sorted(log, key=lambda e: e["seq"]):
+        kind = entry["type"]
+        if kind in ("INIT", "START_GUESS"):
+            size = 0
+        if kind == "CIRCLE_ADDED":
+            size = shown = size + 1 if entry.get("step") is None else entry["step"]
+        if kind == "FINAL_SOLUTION":
+            size = shown = entry["n_selected"]
+    return shown
+
+
+def test_additions_without_step_are_counted(spark):
+    log = [{"seq": 1, "type": "START_GUESS"}, {"seq": 2, "type": "CIRCLE_ADDED"}, {"seq": 3, "type": "CIRCLE_ADDED"}]
+    assert events.run_snapshot(run_log(spark, log)).first().k == 2
+    log = random_log(7, runs=12)
+    want = {run: k_of([e for e in log if e["run_id"] == run]) for run in {e["run_id"] for e in log}}
+    frame = run_log(spark, log)
+    assert {r.run_id: r.k for r in events.run_snapshot(frame).collect()} == want
+    # states of any parts merge, also of parts that overlap
+    parts = [events.run_state(frame.where(f"seq % 3 {c}")) for c in ("= 0", "< 2", "> 0")]
+    states = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    merged = events.snapshot_of(events.merged_states(states))
+    plain = events.run_snapshot(frame)
+    assert sorted(map(str, merged.collect())) == sorted(map(str, plain.select(merged.columns).collect()))
+
+
+def test_coverage_text(spark):
+    log = [{"seq": 1, "type": "CIRCLE_ADDED", "coverage": 7}]
+    assert events.run_display(events.run_snapshot(run_log(spark, log))).first().coverage_text == "7"
+    log += [{"seq": 2, "type": "FINAL_SOLUTION", "coverage": 9, "coverage_percentage": 45.0, "n_selected": 2, "best_guess": 1}]
+    assert events.run_display(events.run_snapshot(run_log(spark, log))).first().coverage_text == "9 (45%)"
+
+
+def test_buckets_hold_one_version_and_late_events_count(spark, tmp_path):
+    out = str(tmp_path / "out")
+    log = random_log(9, runs=9)
+    frame = run_log(spark, log)
+    snapshot.fold(frame.where("seq >= 40"), 0, out, buckets=4)
+    snapshot.fold(frame.where("seq < 40 and run_id < 3"), 1, out, buckets=4)
+    late = frame.where("seq < 50 and run_id >= 3")
+    snapshot.fold(late, 2, out, buckets=4)
+    current = snapshot._current(spark, out)
+    snapshot.fold(late, 3, out, buckets=4)  # the same events again
+    folders = [p for p in (tmp_path / "out").glob("v=*/bucket=*")]
+    assert len(folders) == len(current) <= 4  # what was replaced is gone
+    got = snapshot.current_snapshots(spark, out)
+    assert got.count() == len({e["run_id"] for e in log})
+    want = events.run_snapshot(frame)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+def test_a_version_without_its_mark_does_not_count(spark, tmp_path):
+    out = str(tmp_path / "out")
+    frame = run_log(spark, random_log(10, runs=3))
+    snapshot.fold(frame, 0, out, buckets=1)
+    want = sorted(map(str, snapshot.current_snapshots(spark, out).collect()))
+    broken = tmp_path / "out" / "v=1" / "bucket=0"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"half")
+    assert sorted(map(str, snapshot.current_snapshots(spark, out).collect())) == want

@@ -5,6 +5,7 @@ from frames import circles_frame, points_frame, rows
 from pyspark.sql import functions as F
 
 from encircle.functions.geometry import Bounds
+from encircle.operators.events import run_setup
 from encircle.plans import greedy
 from encircle.sources import datasets, generate, trace
 
@@ -111,3 +112,22 @@ def test_ordinals_of_repeated_rows_do_not_depend_on_partitions(spark):
         assert [r[0] for r in found] == list(range(60))
         want = want or found
         assert found == want
+
+
+def test_many_shown_points_come_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(trace, "PIECE", 50)
+    n = 700
+    points = spark.range(n).selectExpr("id point_id", "id * 1D x", "id % 7 * 1D y")
+    circles = circles_frame(spark, [(3, 3, 5), (90, 3, 9)])
+    run = greedy.run_cover(points, circles, 2, 0.5)
+    stored = trace.events_as_json(trace.trace_events(run, circles, points, BOX))
+    read = stored.select("run_id", "seq", F.from_json("json", trace.TRACE_EVENT_SCHEMA).alias("e"))
+    read = read.select("run_id", "seq", *[f"e.{c}" for c in ("type", "points", "piece", "config", "bounds", "sampling", "total_guesses")])
+    sizes = [r.n for r in read.where("points is not null").select(F.size("points").alias("n")).collect()]
+    assert len(sizes) > 10 and max(sizes) < 100
+    assert read.where("type = 'INIT'").count() == 1
+    assert rows(trace.shown_points(read), "x", "y") == sorted((float(i), float(i % 7)) for i in range(n))
+    setup = run_setup(read).first()
+    assert (setup.n_circles, setup.k, setup.epsilon, setup.displayed, setup.points_label) == (2, 2, 0.5, n, "700")
+    empty = trace.trace_events(run, circles, points.limit(0), BOX)
+    assert empty.where("type = 'INIT'").first().points == []

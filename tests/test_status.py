@@ -40,8 +40,23 @@ def test_workers_and_defaults(spark):
 def test_totals(spark):
     frame = snapshots(spark, FULL, {"cores": None})
     assert rows(status.cluster_totals(frame)) == [
-        (0, "ALIVE", 8, 4, 100, 30, 2, 3),
-        (1, "UNKNOWN", 0, 0, 0, 0, 0, 0),
+        (0, "ALIVE", 8, 4, 100, 30, 2, 3, 0),
+        (1, "UNKNOWN", 0, 0, 0, 0, 0, 0, 0),
+    ]
+    ended = snapshots(spark, {"completedapps": [{"name": "a"}, {"name": "b", "state": "FINISHED"}]})
+    assert [r.n_completed for r in status.cluster_totals(ended).collect()] == [2]
+
+
+def test_headline_follows_the_first_application_of_the_name(spark):
+    def apps(*named):
+        return {"activeapps": [{"name": name, "state": state} for name, state in named]}
+
+    frame = snapshots(
+        spark, apps(("other", "RUNNING"), ("me", "WAITING"), ("me", "RUNNING")), apps(("me", "RUNNING")),
+        apps(("other", "RUNNING")), apps(("me", None), ("me", "RUNNING")), {}, "no json",
+    )
+    assert [tuple(r)[1:] for r in status.cluster_headline(frame, "me").orderBy("snapshot_id").collect()] == [
+        ("WAITING", "WAITING FOR RESOURCES..."), ("RUNNING", "CLUSTER RUNNING"), *[(None, None)] * 4,
     ]
 
 
