@@ -155,6 +155,7 @@ class _Forest:
 
 def _stretches(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prints ordered by the counts of their bytes; lowest and highest counts of every stretch."""
+    prints = np.ascontiguousarray(prints)
     counts = np.bitwise_count(prints.view(np.uint8).reshape(-1, 8))
     order = np.lexsort(counts.T)
     counts = counts[order].astype(np.int16)
