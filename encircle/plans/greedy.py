@@ -14,8 +14,9 @@ whole *window* of the next candidates of every guess:
 3. one more pass counts, per remaining candidate, the points the new picks took away, and drops
    the candidates that fell below their threshold.  They can never come back.
 
-The driver holds windows, group counts and picks only, all bounded by the parameters.  Candidate
-gains stay distributed and are checkpointed once per round.
+The driver holds windows, group counts and picks only, all bounded by the parameters.  Candidates
+stay distributed, a row for each with its gain for every guess and the set of guesses it still lives
+for, and are checkpointed once per round.
 """
 
 from __future__ import annotations
@@ -240,12 +241,14 @@ def _run_together(
     window: int,
     broadcast_rows: int,
 ) -> None:
-    levels = F.array(
-        *[F.struct(F.lit(b).alias("bit"), F.lit(g.tau).alias("tau")) for b, g in enumerate(guesses)]
-    )
-    reached = F.filter(levels, lambda level: F.col("gain") >= level["tau"])
-    alive = gains.select(
-        "circle_id", "cx", "cy", "r", "gain", F.inline(reached).alias("bit", "tau")
+    taus = {bit: guess.tau for bit, guess in enumerate(guesses)}
+    alive = _living(
+        gains.select(
+            "circle_id", "cx", "cy", "r",
+            F.array_repeat("gain", len(guesses)).alias("gains"),
+            F.lit((1 << len(guesses)) - 1).cast("bigint").alias("live"),
+        ),
+        {bit: F.col("gains")[bit] >= F.lit(tau) for bit, tau in taus.items()},
     )
     active = dict(enumerate(guesses))
     while True:
@@ -266,15 +269,31 @@ def _run_together(
             return
         new = {bit: guess.picks[len(before[bit]):] for bit, guess in active.items()}
         last = {bit: windows[bit][-1][0] for bit in active}
-        behind = _behind(alive, last)
+        behind = _living(alive, {bit: F.col("circle_id") > F.lit(end) for bit, end in last.items()})
         before = {bit: before[bit] for bit in active}
-        alive = cut_lineage(_reduce_gains(spark, placed, met, behind, new, before, broadcast_rows))
+        open_taus = {bit: taus[bit] for bit in active}
+        alive = cut_lineage(_reduce_gains(spark, placed, met, behind, open_taus, new, before, broadcast_rows))
+
+
+def _living(candidates: DataFrame, conditions: dict[int, Column]) -> DataFrame:
+    """Candidates that still live for some guess: ``live`` keeps the guesses whose condition holds.
+
+    One row per candidate, whatever the number of guesses it lives for.
+    """
+    mask = F.lit(0).cast("bigint")
+    for bit, condition in conditions.items():
+        mask = mask + F.when(condition, F.lit(1 << bit).cast("bigint")).otherwise(F.lit(0))
+    return candidates.withColumn("live", F.col("live").bitwiseAND(mask)).where("live <> 0")
 
 
 def _next_windows(alive: DataFrame, window: int) -> dict[int, list[tuple]]:
-    """The next candidates of every guess, by ascending id: guesses x window rows at most."""
+    """The next candidates of every guess, by ascending id: guesses x window rows at most.
+
+    A task sends on no more than that either: the rank is cut off before the shuffle.
+    """
+    each = alive.select("circle_id", "cx", "cy", "r", F.explode(_bits(F.col("live"))).alias("bit"))
     rank = F.row_number().over(Window.partitionBy("bit").orderBy("circle_id"))
-    rows = alive.withColumn("rank", rank).where(F.col("rank") <= window).collect()
+    rows = each.withColumn("rank", rank).where(F.col("rank") <= window).collect()
     windows: dict[int, list[tuple]] = {}
     for row in sorted(rows, key=lambda row: (row.bit, row.circle_id)):
         windows.setdefault(row.bit, []).append((row.circle_id, row.cx, row.cy, row.r))
@@ -365,42 +384,33 @@ def _walk(
             covered.update(fresh)
 
 
-def _behind(alive: DataFrame, last: dict[int, int]) -> DataFrame:
-    """Candidates of the open guesses behind the window they have just walked."""
-    ends = F.array(
-        *[F.struct(F.lit(bit).alias("bit"), F.lit(end).alias("id")) for bit, end in last.items()]
-    )
-    return alive.where(
-        F.exists(ends, lambda e: (e["bit"] == F.col("bit")) & (F.col("circle_id") > e["id"]))
-    )
-
-
 def _reduce_gains(
     spark: SparkSession,
     placed: DataFrame,
     met: Meeting,
     behind: DataFrame,
+    taus: dict[int, float],
     new: dict[int, list[tuple]],
     before: dict[int, list[tuple]],
     broadcast_rows: int,
 ) -> DataFrame:
-    """Candidates that still reach their threshold, with their new gain."""
+    """Candidates that still reach the threshold of an open guess, with their new gains."""
     around = with_circles_at(placed, circle_grid(_in_use(spark, new, before)), ["first", "second"])
     lost = around.select("x", "y", "w", _first_only().alias("lost_to")).where("lost_to <> 0")
-    candidates = behind.select("circle_id", "cx", "cy", "r").distinct()
-    losses = (
-        count_by_circle_and(("lost_to",), lost, candidates, "n", broadcast_rows, met=met.of_some(candidates))
-        .withColumn("bit", F.explode(_bits(F.col("lost_to"))))
-        .groupBy("circle_id", "bit")
-        .agg(F.sum("n").alias("loss"))
+    candidates = behind.select("circle_id", "cx", "cy", "r")
+    counted = count_by_circle_and(
+        ("lost_to",), lost, candidates, "n", broadcast_rows, met=met.of_some(candidates)
+    )
+    losses = counted.groupBy("circle_id").agg(
+        *[F.sum(F.when(F.getbit("lost_to", F.lit(bit)) == 1, F.col("n"))).alias(f"lost{bit}") for bit in taus]
     )
-    gain = F.col("gain") - F.coalesce("loss", F.lit(0))
-    return (
-        behind.join(losses, ["circle_id", "bit"], "left")
-        .withColumn("gain", gain)
-        .where(F.col("gain") >= F.col("tau"))
-        .select(*behind.columns)
+    left = {bit: F.col("gains")[bit] - F.coalesce(F.col(f"lost{bit}"), F.lit(0)) for bit in taus}
+    width = max(taus) + 1
+    reduced = behind.join(losses, "circle_id", "left").withColumn(
+        "gains", F.array(*[left.get(bit, F.lit(0).cast("bigint")) for bit in range(width)])
     )
+    reached = {bit: F.col("gains")[bit] >= F.lit(tau) for bit, tau in taus.items()}
+    return _living(reduced.select(*behind.columns), reached)
 
 
 def _until_full(guesses: list[_Guess], total_points: int) -> list[_Guess]:

@@ -56,6 +56,20 @@ def test_rounds_with_cell_totals(spark, monkeypatch, limit):
     assert len(passes) >= 2 and set(passes) == {("lost_to",)}
 
 
+def test_a_candidate_has_one_row(spark, monkeypatch):
+    points, circles = instance(22, n=150, m=30)
+    p, c = points_frame(spark, points), circles_frame(spark, circles)
+    rounds = []
+    reduce = greedy._reduce_gains
+    monkeypatch.setattr(greedy, "_reduce_gains", lambda *a: rounds.append(reduce(*a)) or rounds[-1])
+    run = greedy.run_cover(p, c, 6, 0.5, window=2)
+    assert rows(run.trace, *COLUMNS) == brute.trace(points, circles, 6, 0.5)
+    assert len(rounds) >= 2
+    for alive in rounds:
+        assert alive.groupBy("circle_id").count().where("count > 1").isEmpty()
+        assert alive.where("live = 0").isEmpty()
+
+
 def test_batches_of_guesses_do_not_change_the_trace(spark, monkeypatch):
     points, circles = instance(7)
     p, c = points_frame(spark, points), circles_frame(spark, circles)
