@@ -196,11 +196,13 @@ def _with_near(
     return placed, near
 
 
-def with_circles_at(points: DataFrame, grid: CircleGrid, payload: list[str]) -> DataFrame:
+def with_circles_at(
+    points: DataFrame, grid: CircleGrid, payload: list[str], keep_outside: bool = False
+) -> DataFrame:
     """Append ``inside``: the payload structs, in order, of the circles that contain the point.
 
     For circle sets of a checked size only: the points are neither moved nor multiplied.  Points
-    outside all circles are dropped.
+    outside all circles are dropped unless they are to be kept, with an empty array.
     """
     placed, near = _with_near(points, grid, payload)
     candidates = near[0]
@@ -212,9 +214,8 @@ def with_circles_at(points: DataFrame, grid: CircleGrid, payload: list[str]) ->
         ),
         lambda c: F.struct(*[c[name].alias(name) for name in payload]),
     )
-    return placed.select(*points.columns, F.array_sort(inside).alias("inside")).where(
-        F.size("inside") > 0
-    )
+    found = placed.select(*points.columns, F.coalesce(F.array_sort(inside), F.array()).alias("inside"))
+    return found if keep_outside else found.where(F.size("inside") > 0)
 
 
 def covered_points(

@@ -14,13 +14,16 @@ whole *window* of the next candidates of every guess:
 3. one more pass counts, per remaining candidate, the points the new picks took away, and drops
    the candidates that fell below their threshold.  They can never come back.
 
-The driver holds windows, group counts and picks only, all bounded by the parameters.  Candidates
+The driver holds one window, its group counts and the picks since the last fold, whose number the
+broadcast limit bounds.  When there are more, the positions are written anew with the guesses that
+cover each (those that all guesses cover are dropped), and the picks go into a table.  Candidates
 stay distributed, a row for each with its gain for every guess and the set of guesses it still lives
 for, and are checkpointed once per round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -39,8 +42,9 @@ from encircle.session import cut_lineage, local_frame
 #: Candidates per guess settled in one round.
 WINDOW = 48
 
-#: Guesses worked on together; a set of them is one BIGINT.
+#: Guesses worked on together; a set of them is one BIGINT.  Cell rows of their windows at most.
 TOGETHER = 62
+WINDOW_ROWS = 2_000_000
 
 TRACE_SCHEMA = pa.schema(
     {
@@ -54,20 +58,21 @@ TRACE_SCHEMA = pa.schema(
 )
 
 
+def growth(k: int, epsilon: float) -> list[float]:
+    """``(1 + epsilon)^j`` for every guess; the one place where it is worked out."""
+    return [(1 + epsilon) ** j for j in range(guess_count(k, epsilon))]
+
+
 def ladder(best_coverage: int, k: int, epsilon: float) -> list[tuple[int, float]]:
     """The guesses ``(j, tau_j)``."""
-    count = guess_count(k, epsilon)
-    return [(j, ((1 + epsilon) ** j * best_coverage) / (2 * k)) for j in range(count)]
+    return [(j, (factor * best_coverage) / (2 * k)) for j, factor in enumerate(growth(k, epsilon))]
 
 
 def threshold_ladder(best: DataFrame, k: int, epsilon: float) -> DataFrame:
-    """``guess_j, tau`` for the coverage in a ``best_single`` row."""
-    guesses = F.explode(F.sequence(F.lit(0), F.lit(guess_count(k, epsilon) - 1)))
-    growth = F.pow(F.lit(1.0 + epsilon), F.col("guess_j").cast("double"))
-    tau = growth * F.col("coverage") / F.lit(float(2 * k))
-    return best.where("coverage > 0").withColumn("guess_j", guesses).select(
-        "guess_j", tau.alias("tau")
-    )
+    """``guess_j, tau`` for the coverage in a ``best_single`` row: the numbers of :func:`ladder`."""
+    factors = F.array(*[F.lit(factor) for factor in growth(k, epsilon)])
+    guesses = best.where("coverage > 0").select("coverage", F.posexplode(factors).alias("guess_j", "factor"))
+    return guesses.select("guess_j", (F.col("factor") * F.col("coverage") / F.lit(float(2 * k))).alias("tau"))
 
 
 @dataclass
@@ -76,11 +81,27 @@ class _Guess:
 
     j: int
     tau: float
-    picks: list[tuple] = field(default_factory=list)  # (circle_id, cx, cy, r, gain)
+    picks: list[tuple] = field(default_factory=list)  # since the last fold: (circle_id, cx, cy, r, gain)
+    folded: int = 0  # picks before, and what they cover
+    folded_coverage: int = 0
+
+    @property
+    def selected(self) -> int:
+        return self.folded + len(self.picks)
 
     @property
     def coverage(self) -> int:
-        return sum(pick[4] for pick in self.picks)
+        return self.folded_coverage + sum(pick[4] for pick in self.picks)
+
+    def trace_rows(self) -> Iterator[tuple]:
+        coverage = self.folded_coverage
+        for step, pick in enumerate(self.picks, start=self.folded + 1):
+            coverage += pick[4]
+            yield (self.j, self.tau, step, pick[0], pick[4], coverage)
+
+    def fold(self) -> None:
+        self.folded, self.folded_coverage = self.selected, self.coverage
+        self.picks = []
 
 
 @dataclass(frozen=True)
@@ -112,13 +133,13 @@ def run_cover(
         gains = cut_lineage(count_by_circle(placed, candidates, "gain", broadcast_rows, met=met))
         best = gains.agg(F.max("gain")).first()[0] or 0
         guesses = [_Guess(j, tau) for j, tau in ladder(best, k, epsilon)] if best > 0 else []
-        _run(spark, placed, met, gains, guesses, k, window, broadcast_rows)
+        parts = _run(spark, placed, met, gains, guesses, k, window, broadcast_rows)
         total_points = placed.agg(F.sum("w")).first()[0] or 0
     finally:
         placed.unpersist()
     needed = _until_full(guesses, total_points)
     return CoverRun(
-        _trace(spark, needed), [(g.j, g.tau) for g in needed], total_points, k, epsilon
+        _trace(spark, needed, parts), [(g.j, g.tau) for g in needed], total_points, k, epsilon
     )
 
 
@@ -147,10 +168,10 @@ def greedy_threshold(
         met = meeting(placed, candidates)
         gains = cut_lineage(count_by_circle(placed, candidates, "gain", broadcast_rows, met=met))
         guess = _Guess(0, float(threshold))
-        _run(spark, placed, met, gains, [guess], k, window, broadcast_rows)
+        parts = _run(spark, placed, met, gains, [guess], k, window, broadcast_rows)
     finally:
         placed.unpersist()
-    return _trace(spark, [guess])
+    return _trace(spark, [guess], parts)
 
 
 def best_guess(trace: DataFrame) -> DataFrame:
@@ -218,17 +239,18 @@ def _run(
     k: int,
     window: int,
     broadcast_rows: int,
-) -> None:
-    """Settle all guesses.  They do not depend on each other, so any grouping will do.
+) -> list[DataFrame]:
+    """Settle all guesses; the parts of the trace that were written on the way.
 
-    Window and picked circles are broadcast in each round, so the group is kept small enough for
-    their cell rows to stay below the broadcast limit.
+    They do not depend on each other, so any grouping will do.  A group's windows are broadcast
+    whatever the limit for tables that grow, so they have a limit of their own.
     """
-    fitting = BROADCAST_ROWS // (CELLS_PER_CIRCLE * (window + k))
-    size = max(1, min(TOGETHER, fitting))
+    size = max(1, min(TOGETHER, WINDOW_ROWS // (CELLS_PER_CIRCLE * window)))
+    parts: list[DataFrame] = []
     for start in range(0, len(guesses), size):
         batch = guesses[start : start + size]
-        _run_together(spark, placed, met, gains, batch, k, window, broadcast_rows)
+        parts += _run_together(spark, placed, met, gains, batch, k, window, broadcast_rows)
+    return parts
 
 
 def _run_together(
@@ -240,7 +262,9 @@ def _run_together(
     k: int,
     window: int,
     broadcast_rows: int,
-) -> None:
+) -> list[DataFrame]:
+    uncovered = placed.withColumn("done", F.lit(0).cast("bigint"))
+    parts: list[DataFrame] = []
     taus = {bit: guess.tau for bit, guess in enumerate(guesses)}
     alive = _living(
         gains.select(
@@ -255,24 +279,41 @@ def _run_together(
         windows = _next_windows(alive, window)
         active = {bit: guess for bit, guess in active.items() if bit in windows}
         if not active:
-            return
+            return parts
         before = {bit: list(guess.picks) for bit, guess in active.items()}
-        regions = _regions(spark, placed, {bit: windows[bit] for bit in active}, before)
+        regions = _regions(spark, uncovered, {bit: windows[bit] for bit in active}, before)
         for bit, guess in active.items():
             _walk(guess, windows[bit], regions.get(bit, []), k)
         active = {
             bit: guess
             for bit, guess in active.items()
-            if len(guess.picks) < k and len(windows[bit]) == window
+            if guess.selected < k and len(windows[bit]) == window
         }
         if not active:
-            return
+            return parts
         new = {bit: guess.picks[len(before[bit]):] for bit, guess in active.items()}
         last = {bit: windows[bit][-1][0] for bit in active}
         behind = _living(alive, {bit: F.col("circle_id") > F.lit(end) for bit, end in last.items()})
         before = {bit: before[bit] for bit in active}
         open_taus = {bit: taus[bit] for bit in active}
-        alive = cut_lineage(_reduce_gains(spark, placed, met, behind, open_taus, new, before, broadcast_rows))
+        alive = cut_lineage(_reduce_gains(spark, uncovered, met, behind, open_taus, new, before, broadcast_rows))
+        if CELLS_PER_CIRCLE * sum(len(guess.picks) for guess in guesses) > broadcast_rows:
+            uncovered = _fold(spark, uncovered, active)
+            parts.append(cut_lineage(_trace(spark, guesses, [])))
+            for guess in guesses:
+                guess.fold()
+
+
+def _fold(spark: SparkSession, uncovered: DataFrame, active: dict[int, _Guess]) -> DataFrame:
+    """The positions with what the picks so far cover in ``done``; those no open guess misses are dropped."""
+    picked = {bit: guess.picks for bit, guess in active.items() if guess.picks}
+    grid = circle_grid(_in_use(spark, {}, picked))
+    around = uncovered
+    if grid.exponents:
+        held = with_circles_at(uncovered, grid, ["second"], keep_outside=True)
+        around = held.select("x", "y", "w", F.col("done").bitwiseOR(_union("second")).alias("done"))
+    every = F.lit(sum(1 << bit for bit in active)).cast("bigint")
+    return cut_lineage(around.where(F.col("done").bitwiseAND(every) != every))
 
 
 def _living(candidates: DataFrame, conditions: dict[int, Column]) -> DataFrame:
@@ -329,8 +370,9 @@ def _union(field: str) -> Column:
 
 
 def _first_only() -> Column:
-    """Guesses that have the point in a circle of the first role and in none of the second."""
-    return _union("first").bitwiseAND(F.bitwise_not(_union("second")))
+    """Guesses that have the point in a circle of the first role, in none of the second and not done."""
+    covered = _union("second").bitwiseOR(F.col("done"))
+    return _union("first").bitwiseAND(F.bitwise_not(covered))
 
 
 def _bits(mask: Column) -> Column:
@@ -348,7 +390,7 @@ def _regions(
     grid = circle_grid(_in_use(spark, windows, taken))
     around = with_circles_at(placed, grid, ["circle_id", "first", "second"])
     # identical sets are merged before anything is expanded per guess
-    regions = around.groupBy("inside").agg(F.sum("w").alias("n"))
+    regions = around.groupBy("inside", "done").agg(F.sum("w").alias("n"))
     members = F.transform(
         F.filter("inside", lambda circle: F.getbit(circle["first"], F.col("bit")) == 1),
         lambda circle: circle["circle_id"],
@@ -375,7 +417,7 @@ def _walk(
             regions_of.setdefault(circle_id, []).append(number)
     covered: set[int] = set()
     for circle in window:
-        if len(guess.picks) == k:
+        if guess.selected == k:
             return
         fresh = [n for n in regions_of.get(circle[0], ()) if n not in covered]
         gain = sum(regions[n][1] for n in fresh)
@@ -420,11 +462,11 @@ def _until_full(guesses: list[_Guess], total_points: int) -> list[_Guess]:
     return guesses
 
 
-def _trace(spark: SparkSession, guesses: list[_Guess]) -> DataFrame:
-    def rows(guess: _Guess):
-        coverage = 0
-        for step, pick in enumerate(guess.picks, start=1):
-            coverage += pick[4]
-            yield (guess.j, guess.tau, step, pick[0], pick[4], coverage)
-
-    return local_frame(spark, list(chain.from_iterable(map(rows, guesses))), TRACE_SCHEMA)
+def _trace(spark: SparkSession, guesses: list[_Guess], parts: list[DataFrame]) -> DataFrame:
+    """Trace of the given guesses: what was written of it, and the picks since."""
+    rows = list(chain.from_iterable(guess.trace_rows() for guess in guesses))
+    trace = local_frame(spark, rows, TRACE_SCHEMA)
+    wanted = F.col("guess_j").isin([guess.j for guess in guesses])
+    for part in parts:
+        trace = trace.unionByName(part.where(wanted))
+    return trace

@@ -56,6 +56,32 @@ def test_rounds_with_cell_totals(spark, monkeypatch, limit):
     assert len(passes) >= 2 and set(passes) == {("lost_to",)}
 
 
+def test_many_picks_are_folded_into_the_positions(spark, monkeypatch):
+    """k larger than what may be held: the driver keeps few picks, the trace is whole."""
+    points, circles = instance(23, n=200, m=60)
+    circles = [(x, y, r / 3) for x, y, r in circles]
+    p, c = points_frame(spark, points), circles_frame(spark, circles)
+    want = brute.trace(points, circles, 100_000, 3.0)
+    held, folds = [], []
+    fold = greedy._fold
+    monkeypatch.setattr(greedy, "_fold", lambda *a: folds.append(fold(*a)) or folds[-1])
+    in_use = greedy._in_use
+    monkeypatch.setattr(greedy, "_in_use", lambda s, first, second: held.append(sum(map(len, second.values()))) or in_use(s, first, second))
+    run = greedy.run_cover(p, c, 100_000, 3.0, window=5, broadcast_rows=25 * 20)
+    assert rows(run.trace, *COLUMNS) == want
+    assert len(folds) >= 2 and len(want) > 60
+    guesses = guess_count(100_000, 3.0)
+    assert max(held) <= 20 + 5 * guesses  # never more than the limit and one window
+    left = [f.count() for f in folds]
+    assert left == sorted(left, reverse=True)
+
+
+def test_ladders_are_one(spark):
+    best = spark.createDataFrame([(1_234_567,)], "coverage LONG")
+    made = [tuple(r) for r in greedy.threshold_ladder(best, 10, 0.2).orderBy("guess_j").collect()]
+    assert made == greedy.ladder(1_234_567, 10, 0.2)
+
+
 def test_a_candidate_has_one_row(spark, monkeypatch):
     points, circles = instance(22, n=150, m=30)
     p, c = points_frame(spark, points), circles_frame(spark, circles)
