@@ -4,7 +4,8 @@ Each word of a text is split by a public vocabulary.  Four measures tell how the
 reads: characters per token, tokens per word, the share of tokens that fall back to single bytes,
 and the entropy of the tokens.  What is usual depends on language and length, so the corpus gives
 the bands: per language (per script where ``lang`` is no language code) and length class, the
-quartiles of every measure over all documents that pass the base rules.  A document is rejected
+quartiles of every measure over all documents that pass the base rules.  They are exact, on
+measures in thousandths, and so the same however the documents are partitioned.  A document is rejected
 when a measure lies further from the median than ``width`` robust standard deviations and than a
 floor; entropy and byte share have one-sided bands.  A group of fewer than ``least`` documents is
 judged by the bands of its language or script over all lengths, and where that has fewer as well by
@@ -24,7 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,8 @@ SYMBOLS = "#*$%&|<>"
 #: Robust standard deviations, and documents that a group needs to have its own bands.
 WIDTH = 8.0
 LEAST = 50
+#: Measures are counted in steps of 1/STEPS, up to LARGEST, for the quartiles.
+STEPS, LARGEST = 1000, 1000
 #: A band is never narrower than this: a share of the median, or a difference.
 CHARS_FLOOR, FERTILITY_FLOOR, ENTROPY_FLOOR, BYTES_FLOOR = 0.05, 0.10, 0.05, 0.20
 #: Words a task remembers the tokens of, and the longest of them in bytes.
@@ -184,6 +187,37 @@ def _without_length(key: str) -> Column:
     return F.regexp_replace(key, " [0-9]+$", "")
 
 
+def quartiles(measures: DataFrame) -> DataFrame:
+    """``band_key, _n`` and per measure the array of its quartiles, for every key and its parents.
+
+    A quartile is the smallest value with at least that share of the documents at or below it.
+    Documents are counted per key, measure and value, in the tasks first, so a key has at most
+    STEPS x LARGEST rows per measure whatever its number of documents.
+    """
+    names = ["chars_per_token", "tokens_per_word", "byte_share", "token_entropy"]
+    keys = F.explode(F.array_distinct(F.array("band_key", _without_length("band_key"), F.lit(""))))
+    values = [
+        F.struct(F.lit(name).alias("measure"), F.round(F.least(F.col(name), F.lit(float(LARGEST))) * STEPS).cast("int").alias("value"))
+        for name in names
+    ]
+    counted = (
+        measures.select("band_key", F.array(*values).alias("values"))
+        .select(keys.alias("band_key"), "values")
+        .select("band_key", F.inline("values"))
+        .groupBy("band_key", "measure", "value").agg(F.count("*").alias("n"))
+    )
+    group = Window.partitionBy("band_key", "measure")
+    upto = F.sum("n").over(group.orderBy("value"))
+    placed = counted.withColumns({"_upto": upto, "_n": F.sum("n").over(group)})
+    at = [
+        F.min(F.when((F.col("measure") == name) & (4 * F.col("_upto") >= quarter * F.col("_n")), F.col("value"))) / F.lit(float(STEPS))
+        for name in names for quarter in (1, 2, 3)
+    ]
+    return placed.groupBy("band_key").agg(
+        F.max("_n").alias("_n"), *[F.array(*at[3 * i : 3 * i + 3]).alias(name) for i, name in enumerate(names)]
+    )
+
+
 def bands(measures: DataFrame, width: float = WIDTH, least: int = LEAST) -> DataFrame:
     """``band_key`` and the limits of every measure, from all documents that pass the base rules.
 
@@ -191,14 +225,7 @@ def bands(measures: DataFrame, width: float = WIDTH, least: int = LEAST) -> Data
     there are fewer than 1.2 million possible keys, two per ``least`` documents at most, and the
     empty one of the whole corpus.
     """
-    def quartiles(name: str) -> Column:
-        return F.percentile_approx(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(name)
-
-    names = ["chars_per_token", "tokens_per_word", "byte_share", "token_entropy"]
-    keys = F.explode(F.array("band_key", _without_length("band_key"), F.lit("")))
-    found = measures.where("not base_failed").select(keys.alias("band_key"), *names).groupBy("band_key").agg(
-        F.count("*").alias("_n"), *map(quartiles, names)
-    ).where((F.col("_n") >= least) | (F.col("band_key") == ""))
+    found = quartiles(measures.where("not base_failed")).where((F.col("_n") >= least) | (F.col("band_key") == ""))
 
     def reach(name: str, floor: Column) -> Column:
         return F.greatest((F.col(name)[2] - F.col(name)[0]) / 1.349 * width, floor)

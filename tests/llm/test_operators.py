@@ -189,6 +189,30 @@ def test_base_counts():
     assert quality.repeated_words(many) == len(marked)
 
 
+def test_quartiles_are_exact_whatever_the_partitions(spark):
+    import math
+
+    rng = random.Random(3)
+    keys = ["en 5", "en 6", "script han 5"]
+    rows = [(rng.choice(keys), *(rng.choice([0.25, 1.5, rng.random() * 9, 5000.0]) for _ in range(4))) for _ in range(900)]
+    names = ["chars_per_token", "tokens_per_word", "byte_share", "token_entropy"]
+    frame = spark.createDataFrame(rows, f"band_key STRING, {', '.join(n + ' DOUBLE' for n in names)}")
+    groups = {}
+    for key, *values in rows:
+        for k in (key, key.rsplit(" ", 1)[0], ""):
+            groups.setdefault(k, []).append(values)
+    want = {}
+    for key, members in groups.items():
+        for i, name in enumerate(names):
+            ordered = sorted(math.floor(min(m[i], 1000.0) * 1000 + 0.5) / 1000 for m in members)
+            want[key, name] = [ordered[-(-len(ordered) * q // 4) - 1] for q in (1, 2, 3)]
+    for n in (1, 3, 17):
+        found = quality.quartiles(frame.repartition(n)).collect()
+        assert {r.band_key: r._n for r in found} == {k: len(m) for k, m in groups.items()}
+        assert {(r.band_key, name): list(r[name]) for r in found for name in names} == want
+    assert quality.quartiles(frame.limit(0)).count() == 0
+
+
 def test_quality_rejects_only_what_lies_outside_the_bands(spark):
     good = [sentence(80) for _ in range(120)]
     bad = ["%%% &&& " + " ".join(w + "&&&" for w in sentence(78).split()), "zz " * 80, None, "", "short text"]
