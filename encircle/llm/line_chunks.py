@@ -1,13 +1,16 @@
 """Line dedup: content-defined chunks of lines.
 
-A rolling hash over the hashes of the last WINDOW lines ends a chunk wherever it is divisible by
-DIVISOR, so boundaries move with the text when lines are inserted or removed.  A chunk of several
-lines that occurs more than once in the corpus stays at its first place (smallest id, then
-position) and is removed elsewhere.  Digests find the repeated chunks; before removal their texts
-are compared byte by byte, and chunks whose digest stands for different texts stay.
+A hash rolls over the lines that hold text, two at a time, blank lines between them included.  Where
+such a pair of lines occurs more than once in the corpus, a repeated chunk goes on; where it does
+not, a chunk ends.  So boundaries follow the content of the lines alone, move with them when lines
+are inserted or removed, and a repeated passage of two lines or more is one chunk from its first
+line to its last.  A pair stays at its first place (smallest id, then text, then position) and
+its lines go elsewhere, unless they belong to another pair's first place as well.  Digests find the
+repeated pairs; before removal their texts are compared byte by byte, and pairs whose digest stands
+for different texts stay.
 
 Rows of the same id and text are one document.  Null texts have no lines and stay null, an empty
-text has one line.  Null ids come last.  A text whose chunks all go becomes empty.  Empty tables
+text has one line.  Null ids come last.  A text whose lines all go becomes empty.  Empty tables
 give empty results.
 """
 
@@ -18,12 +21,10 @@ from pyspark.sql import functions as F
 
 from encircle.llm.shared import written
 
-WINDOW = 3
-DIVISOR = 4
 #: Classes of digests by which texts that cannot be repeated are left out of the comparison.
 BUCKETS = 1 << 20
-#: Multipliers of the line hashes (below 2^32) inside the rolling hash.
-_FACTORS = (1, 31, 961)
+#: A line with text holds a character beyond ASCII white space.
+FILLED = r"[^\x20\x09-\x0D]"
 
 
 def _once(frame: DataFrame, name: str, value: Column) -> DataFrame:
@@ -31,65 +32,54 @@ def _once(frame: DataFrame, name: str, value: Column) -> DataFrame:
     return frame.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """``id, mark, lines, ends`` of every text; ends are line numbers from 1."""
-    rows = docs.select(F.col("id"), F.md5("text").alias("mark"), F.split("text", "\n", -1).alias("_split")).where("mark is not null")
+def _chunks(docs: DataFrame) -> DataFrame:
+    """``id, mark, first, last, chunk``: every line with text and the next such line."""
+    rows = docs.select("id", F.unhex(F.md5("text")).alias("mark"), F.split("text", "\n", -1).alias("_split")).where("mark is not null")
     rows = _once(rows, "lines", F.col("_split")).drop("_split")
-    rows = _once(rows, "hashes", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint")))
+    filled = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(FILLED))
+    rows = _once(rows, "filled", filled).where("size(filled) > 1")
+    spans = F.arrays_zip(
+        F.slice("filled", F.lit(1), F.size("filled") - 1).alias("first"), F.slice("filled", F.lit(2), F.size("filled") - 1).alias("last")
+    )
+    spread = rows.select("id", "mark", "lines", F.inline(spans).alias("first", "last"))
+    text = F.array_join(F.slice("lines", F.col("first"), F.col("last") - F.col("first") + 1), "\n")
+    return spread.select("id", "mark", "first", "last", text.alias("chunk"))
 
-    def rolling(i: Column) -> Column:
-        terms = [F.when(i > k, F.element_at("hashes", F.greatest(i - k, F.lit(1)))).otherwise(0) * f for k, f in enumerate(_FACTORS)]
-        return sum(terms[1:], terms[0])
 
-    count = F.size("lines")
-    ends = F.filter(F.sequence(F.lit(1), count), lambda i: (rolling(i) % DIVISOR == 0) | (i == count))
-    return _once(rows, "ends", ends).drop("hashes")
-
-
-def _chunks(docs: DataFrame) -> DataFrame:
-    """``id, mark, first, last, chunk``: all chunks of several lines."""
-    rows = _cut(docs)
-    spans = F.transform(
-        F.sequence(F.lit(1), F.size("ends")),
-        lambda k: F.struct(
-            F.when(k > 1, F.element_at("ends", F.greatest(k - 1, F.lit(1))) + 1).otherwise(1).alias("first"),
-            F.element_at("ends", k).alias("last"),
-        ),
-    )
-    spread = rows.select("id", "mark", "lines", F.explode(spans).alias("s")).where("s.last > s.first")
-    text = F.array_join(F.slice("lines", F.col("s.first"), F.col("s.last") - F.col("s.first") + 1), "\n")
-    return spread.select("id", "mark", "s.first", "s.last", text.alias("chunk"))
+def _lines_of(spans: str) -> Column:
+    return F.flatten(F.transform(spans, lambda g: F.sequence(g.first, g.last)))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, the text without repeated chunks, and ``n_lines``, ``n_removed``."""
     slim = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    chunks = _chunks(slim).withColumn("digest", F.md5("chunk"))
+    chunks = _chunks(slim).withColumn("digest", F.unhex(F.md5("chunk")))
     place = F.struct(F.col("id").isNull().alias("_last"), "id", "mark", "first")
     often = chunks.groupBy("digest").agg(F.count("*").alias("_n"), F.min(place).alias("place")).where("_n > 1")
     often = written(often.select("digest", "place"), "often")
-    # at most BUCKETS rows: texts of other chunks need not move
+    # at most BUCKETS rows: other chunks need not move
     bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).alias("_bucket")
     held = F.broadcast(often.select(bucket).distinct())
-    likely = chunks.select("digest", "chunk", bucket).join(held, "_bucket", "left_semi")
-    compared = likely.join(often.hint("merge"), "digest").groupBy("digest").agg(
-        F.min("chunk").alias("_low"), F.max("chunk").alias("_high"), F.min("place").alias("place")
-    )
-    equal = written(compared.where("_low = _high").select("digest", "place"), "equal")
-    gone = chunks.select("id", "mark", "first", "last", "digest").join(equal, "digest").where(~(place == F.col("place")))
+    likely = chunks.withColumn("_bucket", bucket).join(held, "_bucket", "left_semi")
+    # one text per digest and task leaves the task
+    compared = likely.groupBy("digest").agg(F.min("chunk").alias("_low"), F.max("chunk").alias("_high"))
+    equal = written(compared.where("_low = _high").join(often.hint("merge"), "digest").select("digest", "place"), "equal")
+    met = likely.select("id", "mark", "first", "last", "digest").join(equal.hint("merge"), "digest")
+    span = F.struct("first", "last")
+    lead = place == F.col("place")
     # rows repeated as a whole are one document: its chunks go once
-    spans = gone.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(
-        F.collect_set(F.struct("first", "last")).alias("_gone")
+    spans = met.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(
+        F.collect_set(F.when(~lead, span)).alias("_gone"), F.collect_set(F.when(lead, span)).alias("_leads")
     )
-    spans = written(spans, "gone")
+    spans = written(spans.where("size(_gone) > 0"), "gone")
     own = [f"d{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, own))
-    rows = docs.toDF(*own).withColumn("_text_mark", F.md5(at[text]))
+    rows = docs.toDF(*own).withColumn("_text_mark", F.unhex(F.md5(at[text])))
     same = rows[at[doc_id]].cast("bigint").eqNullSafe(spans._id) & (rows["_text_mark"] == spans._mark)
     joined = rows.join(spans.hint("merge"), same, "left")
     lines = F.split(at[text], "\n", -1)
     joined = _once(joined, "_lines", lines)
-    joined = _once(joined, "_out", F.flatten(F.transform("_gone", lambda g: F.sequence(g.first, g.last))))
+    joined = _once(joined, "_out", F.array_except(_lines_of("_gone"), _lines_of("_leads")))
     kept = F.array_except(F.sequence(F.lit(1), F.size("_lines")), "_out")
     left = F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i)), "\n")
     results = {

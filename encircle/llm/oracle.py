@@ -76,29 +76,28 @@ SELECT page_id, bytes::BIGINT AS payload_bytes,
 FROM grouped
 """
 
-OP9 = """
+OP9 = r"""
 WITH doc AS (
-    SELECT doc_id, md5(text) AS mark, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
-), line AS (
-    SELECT DISTINCT doc_id, mark, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line, len(lines) AS n FROM doc
-), hashed AS (
-    SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM line
-), ended AS (
-    SELECT *, (h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0 OR i = n AS e
-    FROM hashed WINDOW w AS (PARTITION BY doc_id, mark ORDER BY i)
-), numbered AS (
-    SELECT *, coalesce(sum(e::INT) OVER (PARTITION BY doc_id, mark ORDER BY i
-                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ended
-), chunk AS (
-    SELECT doc_id, mark, c, min(i) AS first, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS size
-    FROM numbered GROUP BY doc_id, mark, c
+    SELECT DISTINCT doc_id, md5(text) AS mark, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
+), filled AS (
+    SELECT *, list_filter(range(1, len(lines) + 1), lambda x: regexp_matches(lines[x], '[^\x20\x09-\x0D]')) AS f FROM doc
+), pair AS (
+    SELECT doc_id, mark, lines, unnest([{'first': f[k], 'last': f[k + 1]} FOR k IN range(1, len(f))], recursive := true)
+    FROM filled
 ), placed AS (
-    SELECT doc_id, mark, c, size > 1 AND row_number() OVER (PARTITION BY size > 1, chunk ORDER BY doc_id, mark, first) > 1 AS gone
-    FROM chunk
+    SELECT doc_id, mark, first, last, count(*) OVER w > 1 AS often,
+           row_number() OVER (w ORDER BY doc_id, mark, first) = 1 AS lead
+    FROM (SELECT *, array_to_string(lines[first:last], chr(10)) AS chunk FROM pair)
+    WINDOW w AS (PARTITION BY chunk)
+), gone AS (
+    SELECT doc_id, mark, i FROM (SELECT doc_id, mark, unnest(range(first, last + 1)) AS i, lead FROM placed WHERE often)
+    GROUP BY ALL HAVING NOT bool_or(lead)
+), line AS (
+    SELECT doc_id, mark, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM doc
 ), rest AS (
-    SELECT doc_id, mark, count(*) AS n_lines, sum(gone::INT) AS n_removed,
-           coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '') AS text
-    FROM numbered JOIN placed USING (doc_id, mark, c) GROUP BY doc_id, mark
+    SELECT doc_id, mark, count(*) AS n_lines, count(gone.i) AS n_removed,
+           coalesce(string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY line.i), '') AS text
+    FROM line LEFT JOIN gone USING (doc_id, mark, i) GROUP BY doc_id, mark
 )
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, rest.text
 FROM documents d LEFT JOIN rest ON rest.doc_id = d.doc_id AND rest.mark = md5(d.text)

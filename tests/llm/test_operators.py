@@ -450,7 +450,7 @@ def test_line_chunks(spark):
     assert found.count() == len(texts) + 1
     assert got[0].text == texts[0] and got[0].n_removed == 0
     for i in (1, 2):
-        assert got[i].n_removed >= 25 and got[i].n_lines == texts[i].count("\n") + 1
+        assert got[i].n_removed == 40 and got[i].n_lines == texts[i].count("\n") + 1
         kept = got[i].text.split("\n") if got[i].text else []
         assert len(kept) == got[i].n_lines - got[i].n_removed or not kept
     assert got[3].text is None and got[3].n_lines == 0
@@ -458,6 +458,46 @@ def test_line_chunks(spark):
     assert line_chunks.dedup_lines(docs.limit(0)).isEmpty()
 
 
+def lines_left(docs):
+    """Lines that stay, pair by pair: ``docs`` are distinct ``(id, text)`` in the order of places."""
+    pairs, seen = [], {}
+    for d, (_, text) in enumerate(docs):
+        lines = text.split("\n")
+        filled = [i for i, line in enumerate(lines) if line.strip(" \t\n\v\f\r")]
+        pairs += [(d, i, j, "\n".join(lines[i : j + 1])) for i, j in zip(filled, filled[1:])]
+    count = {}
+    for *_, chunk in pairs:
+        count[chunk] = count.get(chunk, 0) + 1
+    gone, lead = set(), set()
+    for d, i, j, chunk in pairs:
+        if count[chunk] > 1:
+            first = seen.setdefault(chunk, (d, i)) == (d, i)
+            (lead if first else gone).update((d, x) for x in range(i, j + 1))
+    return ["\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone - lead) for d, (_, t) in enumerate(docs)]
+
+
+def test_short_passages_are_found_whole(spark):
+    """Passages of 2 to 6 lines between lines of their own, over themselves, with blank lines, cut short."""
+    passages = [[sentence(6) for _ in range(n)] for n in (2, 2, 3, 4, 5, 6)]
+    passages += [["a", "", "b"], ["x", "x", "x", "x"], ["c", " \t", "", "d", "e"], ["", "", ""]]
+    texts = []
+    for _ in range(80):
+        lines = []
+        for _ in range(RNG.randint(1, 4)):
+            passage = RNG.choice(passages)
+            lines += [sentence(5)] * RNG.randint(0, 1) + passage[RNG.randint(0, 1):]
+        texts.append("\n".join(lines))
+    texts = list(dict.fromkeys(texts))
+    got = {r.doc_id: r for r in line_chunks.dedup_lines(docs_of(spark, texts)).collect()}
+    want = lines_left(list(enumerate(texts)))
+    assert [got[i].text for i in range(len(texts))] == want
+    for passage in passages[:6]:  # none stays twice, and no line is lost
+        whole = "\n".join(passage)
+        assert sum(whole in text for text in texts) > 3 and sum(whole in text for text in want) <= 1
+        assert all(any(line in text.split("\n") for text in want) for line in passage)
+    assert all(got[i].n_lines - got[i].n_removed == len(w.split("\n")) for i, w in enumerate(want) if w)
+
+
 def test_license_scan(spark):
     mit = license_scan.TEMPLATES["MIT-text"]
     texts = [
