@@ -4,9 +4,11 @@ Pages are range-partitioned by host, path and id, so that neighbours meet in one
 size of a host.  Each page becomes text lines (one per block) that know whether they stand inside an
 article and inside something that is never main text (menus, forms, adverts, ...).  It is paired with
 the page of the same host whose path shares the longest beginning (the earlier one in a tie), the
-lines of both are aligned by their longest common subsequence, and shared lines are deleted.  The
-page's own article element vouches for single lines only: a shared line stays if neither line beside
-it is shared.
+lines of both are aligned by their longest common subsequence, and shared lines are deleted.  Inside
+the page's own article element whole boxes go: a div, section, list, table or the like, with the
+lines that lie in no smaller box, when all of these are shared.  Of what lies in the article itself,
+shared lines go by twos and more in a row.  The main heading stays, and a box with it or with most of
+the text; nothing outside the article counts as a line of such a row.
 
 Two pages that share most of their text may be copies.  A run of such pages looks beyond the run,
 for pages before and after it that it does not share most with.  If its host has no other pages, an
@@ -55,6 +57,9 @@ NEVER_TEXT = frozenset(
 )
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 ARTICLE = frozenset(("article", "main"))
+#: Boxes inside an article, and its main heading.
+BOXES = frozenset("center details dir div dl fieldset figure hgroup ol section table ul".split())
+HEADING = "h1"
 #: Elements that a following block closes by itself.
 AUTO_CLOSED = frozenset("dd dt li option p td th tr".split())
 #: Words in class, id and role that mark menus, notices, adverts, comments and the like.
@@ -78,6 +83,8 @@ class Line:
     text: str
     article: bool
     never: bool
+    box: int = 0  # innermost box inside the article, 0 for the article itself
+    heading: bool = False
 
 
 def _never(tag: str, attributes: str, in_article: bool) -> bool:
@@ -95,15 +102,17 @@ def _never(tag: str, attributes: str, in_article: bool) -> bool:
 def page_lines(page: str | None) -> list[Line]:
     """Text blocks of a page in order, white space collapsed, references decoded."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, inside an article, never text
+    # open elements: name, inside an article, never text, innermost box, inside the main heading
+    stack: list[tuple[str, bool, bool, int, bool]] = []
+    outside = ("", False, False, 0, False)
+    boxes = 0
     text: list[str] = []
 
     def close_block() -> None:
         joined = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if joined:
-            _, article, never = stack[-1] if stack else ("", False, False)
-            lines.append(Line(joined, article, never))
+            lines.append(Line(joined, *(stack[-1] if stack else outside)[1:]))
 
     at, end, page = 0, len(page or ""), page or ""
     while at < end:
@@ -137,15 +146,18 @@ def page_lines(page: str | None) -> list[Line]:
             if tag in BLOCKS:
                 close_block()
             continue
-        _, article, never = stack[-1] if stack else ("", False, False)
+        _, article, never, box, heading = stack[-1] if stack else outside
         mine = _never(tag, attributes, article)
         if tag in BLOCKS or mine:
             close_block()
             while stack and stack[-1][0] in AUTO_CLOSED and tag in BLOCKS and (stack[-1][0] == tag or stack[-1][0] == "p"):
                 stack.pop()
-            _, article, never = stack[-1] if stack else ("", False, False)
+            _, article, never, box, heading = stack[-1] if stack else outside
         if (tag in BLOCKS or mine) and not attributes.endswith("/"):
-            stack.append((tag, article or tag in ARTICLE and not mine, never or mine))
+            if article and tag in BOXES:
+                boxes += 1
+                box = boxes
+            stack.append((tag, article or tag in ARTICLE and not mine, never or mine, box, heading or tag == HEADING))
     close_block()
     return lines
 
@@ -204,8 +216,25 @@ def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
     body = _body(lines)
     if neighbour:
         shared = _shared(lines, neighbour)
-        # the article vouches for single lines
-        frame = {i for i in shared if not lines[i].article or i - 1 in shared or i + 1 in shared}
+        boxes: dict[int, list[int]] = {}
+        for i in body:
+            if lines[i].article:
+                boxes.setdefault(lines[i].box, []).append(i)
+        total = sum(len(lines[i].text) for i in body)
+        stays = {
+            box for box, held in boxes.items()
+            if not box or not shared.issuperset(held) or any(lines[i].heading for i in held)
+            or sum(len(lines[i].text) for i in held) > COPY_SHARE * total
+        }
+
+        def loose(i: int) -> bool:
+            line = lines[i] if 0 <= i < len(lines) else None
+            return i in shared and line.article and not line.never and not line.box and not line.heading
+
+        frame = {
+            i for i in shared
+            if not lines[i].article or lines[i].box not in stays or loose(i) and (loose(i - 1) or loose(i + 1))
+        }
         if not all(i in shared for i in body):  # else the pages have the same text
             body = [i for i in body if i not in frame]
     return "\n".join(lines[i].text for i in body)

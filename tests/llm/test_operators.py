@@ -415,6 +415,22 @@ def test_shared_runs_go_inside_an_article():
     assert text_of(frame.format(*one), frame.format(*two)) == "\n".join([one[0], "See also", one[1]])
 
 
+def test_an_article_keeps_heading_first_and_last_lines():
+    """Whatever the lines beside it, also those of the frame: only whole boxes of an article go."""
+    frame = (
+        "<div>Menu line</div><article><h1>{0}</h1><p>Opening</p><div><p>{1}</p><p>Shared words</p></div>"
+        "<div><h1>Title</h1></div><ul><li>Share</li><li>Print</li></ul><p>Closing</p></article><div>Imprint</div>"
+    )
+    one, two = frame.format("Same", sentence(20)), frame.format("Same", sentence(20))
+    text = text_of(one, two)
+    assert text.split("\n")[:2] == ["Same", "Opening"] and text.split("\n")[-1] == "Closing"
+    assert "Share\nPrint" not in text and "Shared words" in text and "Title" in text and "Menu" not in text
+    # a box with most of the text stays even if all of it is shared
+    short = "<article><p>{}</p><div><p>" + sentence(30) + "</p></div></article>"
+    longer = short.format("b " * 900)
+    assert text_of(short.format("a"), longer).count("\n") == 1
+
+
 def test_copies_look_for_a_page_that_differs(spark, monkeypatch):
     frame = "<{0}><p>Home</p><p>Shop</p><p>{1}</p><p>{2}</p></{0}>"
     own, other = [sentence(30), sentence(10)], [sentence(30), sentence(10)]
