@@ -1,8 +1,9 @@
 """WARC archives without repeated payloads: revisit records and their resolution.
 
-Writing: the headers of all pages are aggregated by payload digest; of equal payloads the page with
+Writing: the headers of all pages are shuffled by payload digest; of equal payloads the page with
 the smallest id is the response, the others become revisit records that refer to it and carry no
-payload.  Records get fresh headers and leave as gzip-compressed archives, one per task, in the
+payload.  Payloads stay where they are: a table of bits tells which pages are surely responses, and
+only the few that chance puts beside a revisit are compared by id.  Records get fresh headers and leave as gzip-compressed archives, one per task, in the
 shared folder.  Reading streams the archives line by line, so an archive never has to fit in
 memory, and resolution joins every revisit to the response of its digest.
 
@@ -28,6 +29,9 @@ _END = "\r\n"
 #: Fixed value: the profile of revisits with equal payloads.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "urn:page:"
+#: Bits of the tables that keep payloads out of the shuffle, and so the size bound of their broadcast:
+#: 2^(BIT_TABLE - 6) rows.
+BIT_TABLE = 24
 #: Payload characters after which a reading task hands over a batch.
 BATCH_CHARS = 8 << 20
 
@@ -45,11 +49,18 @@ def archive_records(pages: DataFrame, min_bytes: int = MIN_BYTES, date: str = DA
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")
     ).withColumns({"bytes": F.octet_length("payload").cast("bigint"), "digest": base32_sha1("payload")})
-    repeated = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(
+    headers = written(rows.select("page_id", "url", "bytes", "digest"), "headers")
+    repeated = headers.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(
         F.min("page_id").alias("first_id"), F.count("*").alias("_n")
-    ).where("_n > 1").select("digest", "first_id", F.lit(True).alias("shared"))
-    joined = rows.join(written(repeated, "repeated"), "digest", "left")
-    revisit = F.coalesce(F.col("shared"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    ).where("_n > 1").select("digest", "first_id")
+    # the same plan at every size: the planner does not see how many digests are repeated
+    met = headers.join(written(repeated, "repeated").hint("merge"), "digest")
+    revisits = written(met.where("not (page_id <=> first_id)"), "revisits").withColumn("payload", F.lit(""))
+    responses = _without_revisits(rows, headers, revisits)
+    joined = responses.withColumn("first_id", F.lit(None).cast("bigint")).withColumn("_revisit", F.lit(False)).unionByName(
+        revisits.withColumn("_revisit", F.lit(True))
+    )
+    revisit = F.col("_revisit")
     kind = F.when(revisit, "revisit").otherwise("response")
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "),
@@ -74,6 +85,42 @@ def archive_records(pages: DataFrame, min_bytes: int = MIN_BYTES, date: str = DA
     return joined.withColumn("_block", block).select("page_id", kind.alias("record_type"), record.alias("record"))
 
 
+def _bits(frame: DataFrame, seed: int) -> DataFrame:
+    """``_word{seed}, _bits{seed}``: 2^BIT_TABLE bits, 64 in a row; those of the ids and digests are set."""
+    words = frame.select(_slot(seed).alias("_slot")).groupBy(F.expr("_slot >> 6").alias(f"_word{seed}"))
+    return written(words.agg(F.expr("bit_or(shiftleft(1L, cast(_slot & 63 as int)))").alias(f"_bits{seed}")), "bits")
+
+
+def _slot(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "page_id", "digest"), F.lit(1 << BIT_TABLE))
+
+
+def _marked(rows: DataFrame, bits: DataFrame, seed: int) -> DataFrame:
+    """The rows with ``_maybe{seed}``: whether their bit is set.  The table has a proven size."""
+    own = rows.withColumn("_at", _slot(seed))
+    found = own.join(F.broadcast(bits), F.col(f"_word{seed}") == F.expr("_at >> 6"), "left")
+    held = F.expr(f"coalesce(_bits{seed} & shiftleft(1L, cast(_at & 63 as int)), 0L) <> 0")
+    return found.select(*rows.columns, held.alias(f"_maybe{seed}"))
+
+
+def _without_revisits(rows: DataFrame, headers: DataFrame, revisits: DataFrame) -> DataFrame:
+    """``rows`` that are responses.
+
+    A page whose bit no revisit sets is a response.  Of the others, the headers tell the responses,
+    and a second table holds these: pages that it knows are compared by id and digest, the rest are
+    revisits, whose payloads go nowhere.
+    """
+    gone = _bits(revisits, 1)
+    other = revisits.select(F.col("page_id").alias("_page_id"), F.col("digest").alias("_digest")).hint("merge")
+    same = F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.col("digest") == F.col("_digest"))
+    beside = _marked(headers.select("page_id", "digest"), gone, 1).where("_maybe1").drop("_maybe1")
+    beside = written(beside.join(other, same, "left_anti").distinct(), "beside")
+    single = _marked(rows, gone, 1)
+    likely = _marked(single.where("_maybe1").drop("_maybe1"), _bits(beside, 2), 2).where("_maybe2").drop("_maybe2")
+    known = beside.toDF("_page_id", "_digest").hint("merge")
+    return single.where("not _maybe1").drop("_maybe1").unionByName(likely.join(known, same, "left_semi"))
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
     """Records end with two line breaks, which the text writer puts between rows."""
     archive_records(pages, min_bytes).select("record").write.option("lineSep", _END * 2).option(

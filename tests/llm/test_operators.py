@@ -355,6 +355,24 @@ def test_url_rules_and_templates(spark):
     assert url_filter.judge_urls(frame.limit(0), labels.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("bits", [6, 9, 24])
+def test_archives_when_the_bits_are_full(spark, monkeypatch, bits):
+    monkeypatch.setattr(warc, "BIT_TABLE", bits)
+    rows = [(None if i % 97 == 0 else i // 2 * 2, f"http://h/{i}", f"text {i % 400}" if i % 3 else f"own {i}") for i in range(1500)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    first, count = {}, {}
+    for page, _, text in rows:
+        count[text] = count.get(text, 0) + 1
+        if page is not None:
+            first[text] = min(first.get(text, page), page)
+    want = sorted((str(page), "response" if count[text] == 1 or page == first.get(text) else "revisit") for page, _, text in rows)
+    got = warc.archive_records(pages).select("page_id", "record_type", "record").collect()
+    assert sorted((str(r.page_id), r.record_type) for r in got) == want
+    assert all(r.record.endswith("\r\n\r\n") == (r.record_type == "revisit") for r in got)
+    plan = warc.archive_records(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
 def test_archives_round_trip(spark):
     odd = ["a\r\n\r\nb\r\n", "", None, "x", "\r\n", "line\nline\r", "é" * 3000, "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc"]
     pages = [(i, f"http://h/{i}\n?", h) for i, h in enumerate(odd + odd + ["x"] * 5)] + [(0, "http://h/0", odd[0]), (None, None, "x"), (99, None, "alone")]
