@@ -104,39 +104,62 @@ FROM documents d LEFT JOIN rest ON rest.doc_id = d.doc_id AND rest.mark = md5(d.
 """
 
 
-def _op1(depth: int = 4, support: int = 5, labels: int = 20) -> str:
-    steps = [
-        f"""
-known AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels
-          WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
-address AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
-            FROM pages),
-part AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                                   'abcdefghijklmnopqrstuvwxyz') AS host,
-                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM address),
-r0 AS (SELECT page_id, host, path, string_split(regexp_replace(path, '^/', ''), '/') AS segments, '' AS template,
-              (bad IS NOT NULL)::INT AS labelled, coalesce(bad, 0) AS bad
-       FROM part LEFT JOIN known ON doc_id = page_id)"""
+def _apart(l: str, b: str, ol: str, ob: str) -> str:
+    """Likelihood-ratio test of two groups of labelled pages and their bad ones."""
+    total, bad = f"({l} + {ol} + 2)", f"({b} + {ob} + 1)"
+    cells = [
+        (f"({b} + 0.5::DOUBLE)", f"({l} + 1)", bad), (f"({l} - {b} + 0.5::DOUBLE)", f"({l} + 1)", f"({total} - {bad})"),
+        (f"({ob} + 0.5::DOUBLE)", f"({ol} + 1)", bad), (f"({ol} - {ob} + 0.5::DOUBLE)", f"({ol} + 1)", f"({total} - {bad})"),
     ]
-    for k in range(1, depth + 1):
-        steps.append(f"""
-s{k} AS (SELECT *, CASE WHEN len(segments) >= {k} THEN segments[{k}] END AS segment FROM r{k - 1}),
-c{k} AS (SELECT host, template, segment, count(*) AS n, sum(labelled) AS l, sum(bad) AS b FROM s{k}
-         WHERE segment IS NOT NULL GROUP BY ALL),
-a{k} AS (SELECT *, sum(l) OVER w AS al, sum(b) OVER w AS ab FROM c{k} WINDOW w AS (PARTITION BY host, template)),
-k{k} AS (SELECT host, template, segment FROM a{k}
-         WHERE n >= {support} AND l >= {labels} AND NOT regexp_matches(segment, '[0-9]') AND al > l
-           AND (b / l - (ab - b) / (al - l)) ** 2 > 1.96 * 1.96 * (ab / al * (1 - ab / al) * (1 / l + 1 / (al - l)))),
-r{k} AS (SELECT s{k}.* EXCLUDE (segment) REPLACE (template || CASE WHEN segment IS NULL THEN ''
-            WHEN k{k}.host IS NOT NULL THEN '/' || segment ELSE '/*' END AS template)
-         FROM s{k} LEFT JOIN k{k} USING (host, template, segment))""")
-    return "WITH " + ",".join(steps) + f""",
-page AS (SELECT page_id, host, path, template || CASE WHEN len(segments) > {depth} THEN '/**' ELSE '' END AS template,
-                labelled, bad FROM r{depth}),
-t AS (SELECT host, template, sum(labelled) AS l, sum(bad) AS b FROM page GROUP BY ALL),
+    ratio = " + ".join(f"{cell} * ln({cell} * {total} / ({row} * {column}))" for cell, row, column in cells)
+    return f"coalesce({l} > 0 AND {ol} > 0 AND 2 * ({ratio}) > 1.96 * 1.96, false)"
+
+
+def _op1(support: int = 2, testable: int = 4, prior: int = 4) -> str:
+    return f"""
+WITH RECURSIVE known AS (
+    SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels
+    WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id
+), address AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), part AS (
+    SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                              'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM address
+), start AS (
+    SELECT row_number() OVER () AS r, page_id, host, path, string_split(regexp_replace(path, '^/', ''), '/') AS segments,
+           (bad IS NOT NULL)::BIGINT AS l, coalesce(bad, 0)::BIGINT AS b
+    FROM part LEFT JOIN known ON doc_id = page_id
+), tree AS (
+    SELECT r, host, segments, l, b, '' AS template, 0 AS level FROM start
+    UNION ALL
+    SELECT r, host, segments, l, b,
+           template || CASE WHEN side IS NULL THEN '/*' WHEN NOT alike THEN '/' || segment
+               ELSE '/{{' || min(segment) OVER (PARTITION BY host, template, side, alike) || '}}' END, level + 1
+    FROM (
+        SELECT *, side <> 'only' AND sl > cl AND NOT {_apart("cl", "cb", "(sl - cl)", "(sb - cb)")} AS alike FROM (
+            SELECT *, sum(l) OVER w AS sl, sum(b) OVER w AS sb FROM (
+                SELECT *, max(pl) OVER () >= {testable} AS go,
+                       CASE WHEN regexp_matches(segment, '^[0-9]+$') OR cn < {support} THEN NULL WHEN cn = pn THEN 'only'
+                            WHEN {_apart("cl", "cb", "(pl - cl)", "(pb - cb)")}
+                            THEN CASE WHEN cb * (pl - cl) > (pb - cb) * cl THEN 'worse' ELSE 'better' END END AS side
+                FROM (
+                    SELECT *, count(*) OVER c AS cn, sum(l) OVER c AS cl, sum(b) OVER c AS cb,
+                           count(*) OVER p AS pn, sum(l) OVER p AS pl, sum(b) OVER p AS pb
+                    FROM (SELECT *, segments[level + 1] AS segment FROM tree WHERE len(segments) > level)
+                    WINDOW c AS (PARTITION BY host, template, segment), p AS (PARTITION BY host, template)))
+            WINDOW w AS (PARTITION BY host, template, side)))
+    WHERE go
+), grown AS (
+    SELECT r, arg_max(template, level) || CASE WHEN len(any_value(segments)) > max(level) THEN '/**' ELSE '' END AS template
+    FROM tree GROUP BY r
+), page AS (
+    SELECT page_id, host, path, template, l, b FROM start JOIN grown USING (r)
+),
+t AS (SELECT host, template, sum(l) AS l, sum(b) AS b FROM page GROUP BY ALL),
 base AS (SELECT coalesce(1 - sum(b) / nullif(sum(l), 0), 1) AS base FROM t),
-h AS (SELECT host, (sum(l) - sum(b) + 10 * any_value(base)) / (sum(l) + 10) AS share FROM t, base GROUP BY host),
-good AS (SELECT host, template, (l - b + 10 * share) / (l + 10) AS good FROM t JOIN h USING (host)),
+h AS (SELECT host, (sum(l) - sum(b) + {prior} * any_value(base)) / (sum(l) + {prior}) AS share FROM t, base GROUP BY host),
+good AS (SELECT host, template, (l - b + {prior} * share) / (l + {prior}) AS good FROM t JOIN h USING (host)),
 rules(rule, name, start, decision) AS (VALUES
     ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
     ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),

@@ -1,19 +1,22 @@
 """URL filters: explicit rules first, then a tree of path templates per host.
 
-The tree grows one path segment at a time.  A segment that is a number, or that too few pages of
-its branch share, is variable and becomes a wildcard.  So do segments whose labelled pages are not
-told apart from their siblings' by a two-proportion test: statistically similar branches merge.
-Segments beyond ``depth`` are one wildcard.  A template is rejected when the smoothed share of good
-pages among its labelled ones is too low; its prior is the host's share, whose prior is the share
-of all labelled pages.
+The tree grows one path segment at a time.  A segment that is a number, or that occurs on one page
+only, is variable and becomes a wildcard.  So does one whose labelled pages are not told apart from
+its siblings' by a likelihood-ratio test at any count (half a page added to every cell).  Segments
+that are told apart on the same side, all worse or all better than the rest, but not from each other
+are similar branches: they merge into one, named by the first of them in braces.  An only segment of a
+branch is constant.  The tree ends where no branch has enough labelled pages for a test; what lies
+deeper is one wildcard.  A template is rejected when the smoothed share of good pages among its
+labelled ones is too low; its prior is the host's share, whose prior is the share of all labelled pages.
 
 Counts are aggregated before anything is joined, so a hot host costs no more than others; the
-segments that stay (at most one per ``SUPPORT`` pages) are a table, broadcast only if the planner
+segments that stay (told apart, or on two pages at least) are a table, broadcast only if the planner
 finds it small.
 
 A url without ``://`` has an empty host and path; its template is the empty one.  A page without a
 label, or with a null one, counts as unlabelled.  Repeated pages count once each; of repeated labels
-of one id a bad one wins.  Empty tables give empty results.
+of one id a bad one wins.  Templates of equal pages are equal; a very long url is one page like any
+other.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,11 +33,10 @@ RULES = (
     ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
     ("net/es/", "block"), ("net/fr/", "block"),
 )
-DEPTH = 4
-#: Pages that a constant segment needs, labelled pages that tell it apart, and the test's bound.
-SUPPORT, LABELS, Z = 5, 20, 1.96
+#: Pages of a constant segment, labelled pages of a branch worth a test, and the test's bound.
+SUPPORT, TESTABLE, Z = 2, 4, 1.96
 #: Weight of a prior in labelled pages, and the least share of good pages.
-PRIOR_WEIGHT, LEAST_GOOD = 10.0, 0.5
+PRIOR_WEIGHT, LEAST_GOOD = 4.0, 0.5
 
 
 def url_parts(url: str) -> dict[str, Column]:
@@ -60,35 +62,65 @@ def _stats() -> list[Column]:
     return [F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")]
 
 
-def _constant_segments(rows: DataFrame, support: int, labels: int, z: float) -> DataFrame:
-    """``host, template, segment`` of the branches that stay apart."""
-    children = rows.where("segment is not null").groupBy("host", "template", "segment").agg(*_stats())
+def _told_apart(n: Column, bad: Column, others: Column, others_bad: Column, z: float) -> Column:
+    """Whether two groups of labelled pages have different shares of bad ones (likelihood ratio)."""
+    total = n + others + 2
+    rows, columns = (n + 1, others + 1), (bad + others_bad + 1, total - bad - others_bad - 1)
+    cells = ((bad + 0.5, n - bad + 0.5), (others_bad + 0.5, others - others_bad + 0.5))
+    terms = [
+        cell * F.ln(cell * total / (row * column))
+        for row, line in zip(rows, cells) for column, cell in zip(columns, line)
+    ]
+    return (n > 0) & (others > 0) & (2 * (terms[0] + terms[1] + terms[2] + terms[3]) > z * z)
+
+
+def _steps(rows: DataFrame, support: int, z: float) -> tuple[DataFrame, int]:
+    """``host, template, segment, step`` of the segments that are no wildcard, and the labelled pages
+    of the branch that has most."""
+    children = written(
+        rows.where("segment is not null").groupBy("host", "template", "segment").agg(*_stats()), "branches"
+    )
     parents = children.groupBy("host", "template").agg(
-        F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
+        F.sum("n").alias("p_n"), F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad")
     )
-    named = children.where(~F.col("segment").rlike("[0-9]") & (F.col("n") >= support) & (F.col("labelled") >= labels))
-    other, other_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-    share = F.col("all_bad") / F.col("all_labelled")
-    apart = F.col("bad") / F.col("labelled") - other_bad / F.nullif(other, F.lit(0))
-    spread = share * (1 - share) * (1 / F.col("labelled") + 1 / F.nullif(other, F.lit(0)))
-    return named.join(parents, ["host", "template"]).where(apart * apart > z * z * spread).select(
-        "host", "template", "segment"
+    parents = written(parents, "parents")
+    l, b = F.col("labelled"), F.col("bad")
+    others, others_bad = F.col("p_labelled") - l, F.col("p_bad") - b
+    worse = b * others > others_bad * l
+    side = F.when(F.col("n") == F.col("p_n"), "only").when(
+        _told_apart(l, b, others, others_bad, z), F.when(worse, "worse").otherwise("better")
     )
-
-
-def with_templates(
-    pages: DataFrame, depth: int = DEPTH, support: int = SUPPORT, labels: int = LABELS, z: float = Z
-) -> DataFrame:
+    named = children.where(~F.col("segment").rlike("^[0-9]+$") & (F.col("n") >= support))
+    branch = ["host", "template", "side"]
+    sided = written(named.join(parents, ["host", "template"]).withColumn("side", side).where("side is not null").select(*branch, "segment", "labelled", "bad"), "sides")
+    sums = sided.groupBy(*branch).agg(F.sum("labelled").alias("s_labelled"), F.sum("bad").alias("s_bad"))
+    apart = _told_apart(l, b, F.col("s_labelled") - l, F.col("s_bad") - b, z)
+    alike = (F.col("side") != "only") & (F.col("s_labelled") > l) & ~apart
+    grouped = sided.join(sums, branch).select(*branch, "segment", alike.alias("alike"))
+    names = grouped.where("alike").groupBy(*branch).agg(F.min("segment").alias("first"))
+    step = F.when(F.col("alike"), F.concat(F.lit("/{"), "first", F.lit("}"))).otherwise(F.concat(F.lit("/"), "segment"))
+    kept = grouped.join(names, branch, "left").select("host", "template", "segment", step.alias("step"))
+    return written(kept, "segments"), parents.agg(F.max("p_labelled")).first()[0] or 0
+
+
+def with_templates(pages: DataFrame, support: int = SUPPORT, testable: int = TESTABLE, z: float = Z) -> DataFrame:
     """``pages`` with ``template``.  Needs ``host``, ``path`` and the counts ``labelled``, ``bad``."""
     segments = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
     rows = pages.withColumns({"_segments": segments, "template": F.lit("")})
-    for level in range(1, depth + 1):
-        here = F.when(F.size("_segments") >= level, F.element_at("_segments", F.least(F.size("_segments"), F.lit(level))))
-        rows = rows.withColumn("segment", here)
-        kept = written(_constant_segments(rows, support, labels, z), "segments").withColumn("_kept", F.lit(True))
-        step = F.when(F.col("segment").isNull(), "").when(F.col("_kept"), F.concat(F.lit("/"), "segment")).otherwise("/*")
-        rows = rows.join(kept, ["host", "template", "segment"], "left").withColumn("template", F.concat("template", step)).drop("_kept", "segment")
-    rest = F.when(F.size("_segments") > depth, "/**").otherwise("")
+    level = 0
+    while True:
+        here = F.when(F.size("_segments") > level, F.element_at("_segments", F.least(F.size("_segments"), F.lit(level + 1))))
+        grown = rows.withColumn("segment", here)
+        kept, most = _steps(grown, support, z)
+        if most < testable:
+            break
+        step = F.when(F.col("segment").isNull(), "").otherwise(F.coalesce("step", F.lit("/*")))
+        joined = grown.join(kept, ["host", "template", "segment"], "left")
+        rows = joined.withColumn("template", F.concat("template", step)).drop("step", "segment")
+        level += 1
+        if level % 4 == 0:
+            rows = written(rows, "grown")
+    rest = F.when(F.size("_segments") > level, "/**").otherwise("")
     return rows.withColumn("template", F.concat("template", rest)).drop("_segments")
 
 

@@ -355,6 +355,36 @@ def test_url_rules_and_templates(spark):
     assert url_filter.judge_urls(frame.limit(0), labels.limit(0)).isEmpty()
 
 
+def test_small_and_deep_bad_sections_are_found(spark):
+    """Sections of 5 to 19 labelled pages, one six segments deep, similar ones in one branch."""
+    urls, bad = [], {}
+    for host, section, n, share in (
+        ("a", "/spam", 5, 1.0), ("a", "/casino7", 6, 1.0), ("a", "/news", 60, 0.05),
+        ("b", "/u/v/w/x/y/bad", 19, 1.0), ("b", "/u/v/w/x/y/good", 40, 0.0), ("b", "/u/v/w/x/y/fine", 40, 0.0),
+        ("c", "/x", 30, 0.1), ("c", "/y", 30, 0.1),
+    ):
+        for k in range(n):
+            bad[len(urls)] = int(k < n * share)
+            urls.append(f"http://{host}/{section[1:]}/{1000 + len(urls)}")
+    urls += [f"http://a/{i}/page" for i in range(40)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id BIGINT, url STRING")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items()], "doc_id BIGINT, quality INT, toxic INT")
+    by = {r.url: r for r in url_filter.judge_urls(frame, labels).collect()}
+    found = {(r.host, r.template, r.verdict) for r in by.values()}
+    assert {t for h, t, v in found if h == "a" and v == "block"} == {"/{casino7}/*"}
+    assert ("b", "/u/v/w/x/y/bad/*", "block") in found and not any(h == "b" and v == "block" for h, t, v in found if "bad" not in t)
+    assert {t for h, t, v in found if h == "c"} == {"/*/*"}  # not told apart
+    assert all(by[url].verdict == ("block" if "/spam/" in url or "/casino7/" in url or "/bad/" in url else "allow") for url in urls)
+
+
+def test_trees_do_not_depend_on_partitions(spark):
+    urls = [f"http://h{RNG.randrange(3)}/{RNG.choice('abcd')}/{RNG.choice(['x', 'y', '12', ''])}/{i % 9}" for i in range(300)]
+    frame = spark.createDataFrame(list(enumerate([*urls, None, "x://", "h/a"])), "page_id BIGINT, url STRING")
+    labels = spark.createDataFrame([(i, int("/a/" not in u and i % 5 > 0), 0) for i, u in enumerate(urls) if i % 2], "doc_id BIGINT, quality INT, toxic INT")
+    runs = [sorted(map(tuple, url_filter.judge_urls(frame.repartition(n), labels.repartition(n)).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 303
+
+
 @pytest.mark.parametrize("bits", [6, 9, 24])
 def test_archives_when_the_bits_are_full(spark, monkeypatch, bits):
     monkeypatch.setattr(warc, "BIT_TABLE", bits)
