@@ -299,7 +299,8 @@ def run_setup(spark: SparkSession, d: str) -> DataFrame:
     shown = sampling.display_sample(points, BOUNDS)
     stored = trace.events_as_json(trace.trace_events(run, circles, shown, BOUNDS))
     read = stored.select("run_id", F.from_json("json", trace.TRACE_EVENT_SCHEMA).alias("e"), "seq")
-    return events.run_setup(read.select("run_id", "seq", *[f"e.{c}" for c in ("type", "config", "bounds", "sampling", "total_guesses")]))
+    fields = ("type", "config", "bounds", "sampling", "total_guesses")
+    return events.run_setup(read.select("run_id", "seq", *[f"e.{name}" for name in fields]))
 
 
 def stream_snapshot(spark: SparkSession, d: str) -> DataFrame:

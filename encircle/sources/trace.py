@@ -43,7 +43,8 @@ def trace_events(
     """The events of one run in the order they happen.
 
     The points ``shown`` are dealt into pieces of about PIECE points, each an event with the number
-    of INIT and a ``piece``; INIT itself is piece 0, so a usual display sample needs no others.  A trace has at most guesses x k rows; ``seq`` leaves room for k picks after each guess start.
+    of INIT and a ``piece``; INIT itself is piece 0, so a usual display sample needs no others.  A
+    trace has at most guesses x k rows; ``seq`` leaves room for k picks after each guess start.
     """
     spark = circles.sparkSession
     total = F.lit(run.total_points).cast("bigint")
