@@ -1,12 +1,13 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from frames import circles_frame, points_frame, rows
 
 from pyspark.sql import functions as F
 
-from encircle.operators import gains, pairs
+from encircle.operators import gains, pairs, tiles
 from encircle.operators.grid import Census, CircleGrid, candidate_join, circle_grid, lifted_levels, split_circles, split_depth, weighted, with_cells
 from encircle.operators.skew import HOT_SHARE, _slices, hot_products
 
@@ -227,6 +228,49 @@ def test_counts_by_circle_and_mask(spark, limit, depth):
     assert {(r.circle_id, r.mask): r.n for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("sizes", [(7, 3), (10**6, 10**6)], ids=["sliced", "whole"])
+def test_counts_in_tiles_equal_tests(spark, sizes):
+    points, circles = cloud(11, 150, 60, hot=True)
+    points += [(3.0, 4.0), (0.0, 5.0), (float("nan"), 1.0)]
+    circles += [(0, 0, 5), (0, 0, -5), (3, 4, 0), (3.25, -7.5, 0)]
+    weighed = [(float(x), float(y), 1 + i % 3, (None, "a", "b")[i % 3]) for i, (x, y) in enumerate(points)]
+    p = spark.createDataFrame([*weighed, (None, 1.0, 1, "a")], "x DOUBLE, y DOUBLE, w INT, kind STRING")
+    found = tiles.counts_in_tiles(p, circle_grid(circles_frame(spark, circles)), ("kind",), *sizes)
+    want = {}
+    for i, circle in enumerate(circles):
+        for x, y, w, kind in weighed:
+            if brute.inside((x, y), circle):
+                want[i, kind] = want.get((i, kind), 0) + w
+    summed = found.groupBy("circle_id", "kind").agg(F.sum("_n").alias("n")).collect()
+    assert {(r.circle_id, r.kind): r.n for r in summed} == want
+
+
+def test_very_many_tests_are_no_rows(spark, monkeypatch):
+    """Where tests abound, neither pairs nor cells inside circles become rows: the circles' own cells are all that moves."""
+    monkeypatch.setattr(pairs, "TILE_TESTS", 1 << 16, raising=False)
+    rng = random.Random(3)
+    points = [(rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(400)]
+    circles = [(rng.uniform(20, 80), rng.uniform(20, 80), rng.uniform(33, 60)) for _ in range(600)]
+    p, c = points_frame(spark, points), circles_frame(spark, circles)
+    assert pairs.meeting(p, c).tests > 1 << 16
+    found = pairs.count_by_circle(p, c, "n", broadcast_rows=0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate inline" not in plan
+    want = [sum(brute.inside(point, circle) for point in points) for circle in circles]
+    assert rows(found, "circle_id", "n") == list(enumerate(want))
+
+
+def test_disc_counts_do_not_depend_on_the_chunk(monkeypatch):
+    rng = np.random.default_rng(4)
+    for chunk, unit in ((1, 0.5), (40, 1e-3), (1 << 19, 1.0)):
+        monkeypatch.setattr(tiles, "TESTS_AT_ONCE", chunk)
+        x, y = (np.round(rng.uniform(-5, 5, 300) / unit) * unit for _ in "xy")
+        cx, cy, r = (np.round(rng.uniform(-6, 6, 50) / unit) * unit for _ in range(3))
+        w = rng.integers(1, 5, 300)
+        inside = (x - cx[:, None]) ** 2 + (y - cy[:, None]) ** 2 <= (r * r)[:, None]
+        assert (tiles.disc_counts(x, y, w, cx, cy, r) == (inside * w).sum(axis=1)).all()
+
+
 def test_disc_tests_fall_with_depth(spark):
     """The mask totals leave the points on the rims alone to be tested."""
     p = spark.range(20_000).selectExpr("id point_id", "id % 141 * 1D x", "id div 141 * 1D y")
