@@ -53,25 +53,27 @@ def trace_events(
     n_circles = circles.agg(F.count("*")).scalar()
     pieces = F.greatest(F.ceil(F.col("n_points") / PIECE), F.lit(1))
     sampled = shown.agg(F.count("*").alias("n_points"))
-    dealt = F.pmod(F.xxhash64("point_id", "x", "y"), sampled.select(pieces).scalar()).cast("int")
-    listed = shown.groupBy(dealt.alias("piece")).agg(
+    dealt = F.pmod(F.xxhash64("point_id", "x", "y"), F.col("_pieces")).cast("int")
+    # joins with one row: a subquery inside another is not resolved where a reader wants few columns
+    numbered = shown.crossJoin(F.broadcast(sampled.select(pieces.alias("_pieces"))))
+    listed = numbered.groupBy(dealt.alias("piece")).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("point_id", "x", "y"))),
             lambda p: F.array(p["x"], p["y"]),
         ).alias("points")
     )
-    first = F.coalesce(listed.where("piece = 0").select("points").scalar(), F.array().cast("array<array<double>>"))
+    first = listed.where("piece = 0").agg(F.first("points").alias("_first"))
     box = F.struct(
         *[
             F.lit(float(value)).alias(name)
             for name, value in zip(("minX", "minY", "maxX", "maxY"), bounds, strict=True)
         ]
     )
-    init = sampled.withColumn("n_circles", n_circles).select(
+    init = sampled.withColumn("n_circles", n_circles).crossJoin(F.broadcast(first)).select(
         F.lit(0).alias("seq"),
         F.lit("INIT").alias("type"),
         F.lit(guess_count(run.k, run.epsilon)).alias("total_guesses"),
-        first.alias("points"),
+        F.coalesce("_first", F.array().cast("array<array<double>>")).alias("points"),
         F.lit(0).alias("piece"),
         F.struct(
             "n_points",

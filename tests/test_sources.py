@@ -5,6 +5,7 @@ from frames import circles_frame, points_frame, rows
 from pyspark.sql import functions as F
 
 from encircle.functions.geometry import Bounds
+from encircle.operators import sampling
 from encircle.operators.events import run_setup
 from encircle.plans import greedy
 from encircle.sources import datasets, generate, trace
@@ -131,3 +132,18 @@ def test_many_shown_points_come_in_pieces(spark, monkeypatch):
     assert (setup.n_circles, setup.k, setup.epsilon, setup.displayed, setup.points_label) == (2, 2, 0.5, n, "700")
     empty = trace.trace_events(run, circles, points.limit(0), BOX)
     assert empty.where("type = 'INIT'").first().points == []
+
+
+def test_setup_of_a_run_with_a_stratified_sample(spark):
+    """The reader wants few columns, so the sample is needed for its size alone."""
+    points = spark.range(300).selectExpr("id point_id", "id % 100 * 1D x", "id % 7 * 1D y")
+    points = points.join(spark.range(50).toDF("k"), F.col("point_id") % 50 == F.col("k")).drop("k")
+    circles = circles_frame(spark, [(3, 3, 5), (90, 3, 9)])
+    run = greedy.run_cover(points, circles, 2, 0.5)
+    shown = sampling.display_sample(points, BOX, 10, 20)
+    stored = trace.events_as_json(trace.trace_events(run, circles, shown, BOX))
+    read = stored.select("run_id", F.from_json("json", trace.TRACE_EVENT_SCHEMA).alias("e"), "seq")
+    fields = ("type", "config", "bounds", "sampling", "total_guesses")
+    setup = run_setup(read.select("run_id", "seq", *[f"e.{name}" for name in fields])).first()
+    displayed = shown.count()
+    assert (setup.is_sampled, setup.displayed, setup.total) == (displayed < 300, displayed, 300)
