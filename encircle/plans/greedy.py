@@ -439,7 +439,8 @@ def _reduce_gains(
     """Candidates that still reach the threshold of an open guess, with their new gains."""
     around = with_circles_at(placed, circle_grid(_in_use(spark, new, before)), ["first", "second"])
     lost = around.select("x", "y", "w", _first_only().alias("lost_to")).where("lost_to <> 0")
-    candidates = behind.select("circle_id", "cx", "cy", "r")
+    # read three times, and much less than the rows with their gains and conditions
+    candidates = cut_lineage(behind.select("circle_id", "cx", "cy", "r"))
     counted = count_by_circle_and(
         ("lost_to",), lost, candidates, "n", broadcast_rows, met=met.of_some(candidates)
     )
