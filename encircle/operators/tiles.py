@@ -14,10 +14,12 @@ circles in a group of their own, so no group outgrows a task.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -25,6 +27,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from encircle.operators.grid import CircleGrid, with_cells
 from encircle.session import cut_lineage
 
+# sent by value: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Most points and circles that meet in one group, on average over the slices of a cell.
 GROUP_POINTS = 1 << 18
 GROUP_CIRCLES = 1 << 15
