@@ -4,9 +4,10 @@ import random
 import brute
 import pytest
 from frames import circles_frame, points_frame, rows
+from pyspark.sql import functions as F
 
 from encircle.functions.numbers import guess_count
-from encircle.operators import pairs
+from encircle.operators import gains, pairs
 from encircle.plans import greedy
 
 
@@ -173,3 +174,22 @@ def test_running_coverage(spark):
     )
     again = rows(greedy.running_coverage(trace), "guess_j", "step", "running_coverage")
     assert again == rows(trace, "guess_j", "step", "coverage")
+
+
+def crowded(monkeypatch):
+    """Points that all meet some hundred circles, counted as where tests abound; the sizes of all broadcasts."""
+    monkeypatch.setattr(pairs, "TILE_TESTS", 1 << 10, raising=False)
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda frame: sent.append(frame.count()) or broadcast(frame))
+    rng = random.Random(17)
+    points = [(rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(90)]
+    circles = [(rng.uniform(30, 70), rng.uniform(30, 70), rng.uniform(33, 60)) for _ in range(500)]
+    return points, circles, sent
+
+
+def test_ladder_of_many_circles_sends_the_driver_no_cells(spark, monkeypatch):
+    points, circles, sent = crowded(monkeypatch)
+    best = gains.best_single(points_frame(spark, points), circles_frame(spark, circles))
+    found = [tuple(row) for row in greedy.threshold_ladder(best, 3, 0.5).orderBy("guess_j").collect()]
+    assert found == greedy.ladder(max(len(brute.cover(points, [c])) for c in circles), 3, 0.5)
+    assert sum(sent) < len(circles)
