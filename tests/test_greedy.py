@@ -193,3 +193,10 @@ def test_ladder_of_many_circles_sends_the_driver_no_cells(spark, monkeypatch):
     found = [tuple(row) for row in greedy.threshold_ladder(best, 3, 0.5).orderBy("guess_j").collect()]
     assert found == greedy.ladder(max(len(brute.cover(points, [c])) for c in circles), 3, 0.5)
     assert sum(sent) < len(circles)
+
+
+def test_single_pass_over_many_circles_sends_the_driver_a_window(spark, monkeypatch):
+    points, circles, sent = crowded(monkeypatch)
+    found = greedy.greedy_threshold(points_frame(spark, points), circles_frame(spark, circles), 3, 9.0, window=2)
+    assert rows(found, "step", "circle_id", "gain", "coverage") == brute.walk(points, circles, 3, 9.0)
+    assert max(sent) <= 25 * (2 + 3)  # cells of a window and of the picks, never those of the candidates
