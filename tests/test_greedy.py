@@ -200,3 +200,12 @@ def test_single_pass_over_many_circles_sends_the_driver_a_window(spark, monkeypa
     found = greedy.greedy_threshold(points_frame(spark, points), circles_frame(spark, circles), 3, 9.0, window=2)
     assert rows(found, "step", "circle_id", "gain", "coverage") == brute.walk(points, circles, 3, 9.0)
     assert max(sent) <= 25 * (2 + 3)  # cells of a window and of the picks, never those of the candidates
+
+
+def test_cover_of_many_circles_sends_the_driver_windows(spark, monkeypatch):
+    points, circles, sent = crowded(monkeypatch)
+    reduced, reduce = [], greedy._reduce_gains
+    monkeypatch.setattr(greedy, "_reduce_gains", lambda *a: reduced.append(reduce(*a)) or reduced[-1])
+    run = greedy.run_cover(points_frame(spark, points), circles_frame(spark, circles), 3, 1.5, window=2)
+    assert rows(run.trace, *COLUMNS) == brute.trace(points, circles, 3, 1.5)
+    assert reduced and max(sent) <= 25 * (2 + 3) * guess_count(3, 1.5)
